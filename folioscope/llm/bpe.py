@@ -1,6 +1,6 @@
 """Operator 1: byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-1. Each block of texts (about a million characters) is split into pre-tokens, whose positions refer to the block's own
+1. Each block of texts (about two million characters) is split into pre-tokens, whose positions refer to the block's own
    list of distinct words. Each word goes, once per block, to the bucket of its hash.
 2. A bucket holds every occurrence of its words in the corpus: each distinct word is encoded once, and the ids go back
    to each block that asked.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import pretokens
 from folioscope.llm.common import blocks, expand, narrow, pack, partitions, stable, task_id, texts_of, unpack
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 2_000_000
 
 
 # --------------------------------------------------------------------------- vocabulary
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     spark = docs.sparkSession
     docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "bpe-input")
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = 2 * n
     data = _shared_vocabulary(docs, ranks_path)
     packed = "block long, bucket long, payload binary"
     words = docs.mapInArrow(lambda it: _words(it, buckets), packed)

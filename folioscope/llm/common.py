@@ -78,7 +78,7 @@ def crc_mod(col: str, mod: int):
 
 # --------------------------------------------------------------------------- packing
 
-_packer = zstandard.ZstdCompressor(level=1)
+_packer = zstandard.ZstdCompressor(level=3)
 _unpacker = zstandard.ZstdDecompressor()
 
 
