@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.llm.common import blocks, mix, partitions, span_hashes, stable, stored, texts_of
 
@@ -290,3 +291,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = joined.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row of the smallest doc_id (of repeated rows of
+    that doc_id the one of the smallest text); rows with a null doc_id stay."""
+    docs = stable(docs, "dedup-input")
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return first.filter("__row = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
