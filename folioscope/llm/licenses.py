@@ -63,9 +63,15 @@ def word_idf(norm: DataFrame) -> dict[str, float]:
     return {w: math.log((row["n"] + 1) / ((row[f"w{k}"] or 0) + 1)) + 1 for k, w in enumerate(words)}
 
 
-def _starts(words: Column, template: list[str], whole: bool, idf: dict[str, float]) -> Column:
+def anchor(template: list[str], keys: list[str], idf: dict[str, float]) -> int:
+    """The place in the template of its rarest word; of a notice, the rarest of those that its key phrases demand."""
+    needed = {w for key in keys for w in key.split()} or set(template)
+    return max((k for k, w in enumerate(template) if w in needed), key=lambda k: (idf[template[k]], -k))
+
+
+def _starts(words: Column, template: list[str], whole: bool, keys: list[str], idf: dict[str, float]) -> Column:
     """Starts (from 0) at which the template stands: positions of the anchor, then a count of the words that agree."""
-    best = max(range(len(template)), key=lambda k: (idf[template[k]], -k))
+    best = anchor(template, keys, idf)
     # words at a start, beginning with the rarest: the first disagreement of a phrase ends the look
     order = sorted(range(len(template)), key=lambda k: (-idf[template[k]], k))
     places = F.filter(F.transform(words, lambda w, i: F.when(w == template[best], i - best)), lambda s: s.isNotNull() & ((s >= 0) if whole else F.lit(True)))
@@ -82,25 +88,28 @@ def _starts(words: Column, template: list[str], whole: bool, idf: dict[str, floa
     return F.filter(places, agree)
 
 
+def _place(label: str):
+    return lambda s: F.struct(s.cast("long").alias("start"), F.lit(label).alias("label"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_words, places array<struct<start, label>>, base_labels, labels, score)."""
     docs = text_or_empty(docs.select("doc_id", "text"))
     idf = word_idf(docs.select(normal(F.col("text")).alias("norm")))
     found = docs.select("doc_id", normal(F.col("text")).alias("norm"))
     n_words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1
-    anchors = {max(t, key=lambda w: idf[w]) for _, t, _, _ in templates()}
+    anchors = {t[anchor(t, keys, idf)] for _, t, _, keys in templates()}
     held = F.lit(False)
     for w in sorted(anchors):
         held = held | F.contains("norm", F.lit(f" {w} "))
     found = found.withColumn("n_words", n_words.cast("long")).withColumn("words", F.when(held, F.split(F.trim("norm"), " ")))
     base, notices = [], []
     for label, template, whole, keys in templates():
-        anchor = max(template, key=lambda w: idf[w])
-        has = F.contains("norm", F.lit(f" {anchor} "))
+        has = F.contains("norm", F.lit(f" {template[anchor(template, keys, idf)]} "))
         for key in keys:
             has = has & F.contains("norm", F.lit(f" {key} "))
-        starts = F.when(has, _starts(F.col("words"), template, whole, idf))
-        place = F.transform(starts, lambda s, label=label: F.struct(s.cast("long").alias("start"), F.lit(label).alias("label")))
+        starts = F.when(has, _starts(F.col("words"), template, whole, keys, idf))
+        place = F.transform(starts, _place(label))
         (base if whole else notices).append(F.coalesce(place, F.array().cast("array<struct<start:bigint,label:string>>")))
     found = found.withColumn("places", F.array_sort(F.concat(*base))).withColumn("notices", F.concat(*notices)).drop("norm", "words")
     base_labels = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))

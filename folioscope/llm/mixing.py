@@ -45,8 +45,8 @@ def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, floa
         # a source's next block: (release, source, block of this phase); released ones by deadline
         waiting = [(0, k, 0) for k in range(len(names))]
         ready: list[tuple[int, int, int]] = []
-        slot, ended = 0, None
-        while ended is None:
+        slot, ended = 0, False
+        while not ended:
             while waiting and waiting[0][0] <= slot:
                 _, k, j = heapq.heappop(waiting)
                 heapq.heappush(ready, (-(-(j + 1) * period[names[k]] // 1), k, j))
@@ -59,10 +59,10 @@ def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, floa
             done[source] += 1
             slot += 1
             if done[source] == blocks[source]:
-                ended = source
+                ended = True
             else:
                 heapq.heappush(waiting, (int((j + 1) * period[source]), k, j + 1))
-        names = [s for s in names if s != ended]
+        names = [s for s in names if done[s] < blocks[s]]
     return out
 
 
