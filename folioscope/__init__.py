@@ -1,0 +1 @@
+"""A Spark-native query engine for document archives."""
