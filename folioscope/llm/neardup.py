@@ -8,9 +8,11 @@
 3. Star round: in each bucket, edges lead only from one centre to the others, so that their number is below that of the
    bucket's rows. Sketches discard pairs that are six standard deviations below the threshold; the rest are confirmed
    on full sets. Confirmed links are contracted to components.
-4. Rest round: a bucket whose members now are of one component is done. In the others, members outside the bucket's
+4. Rest rounds: a bucket whose members now are of one component is done. In the others, members outside the bucket's
    largest component meet those of other components, block by block on packed sketches, each pair in its first common
-   bucket only; pairs whose sketches pass are confirmed like the others. So the stars lose no link of a bucket.
+   bucket only; a pair that passes must also pass on the least ``LEAST`` hashes of both sets (smaller sets are compared
+   whole). A first round takes each member's best partner of a block, so that most components meet; a second one all
+   pairs that still are of different components. They are confirmed like the others. So the stars lose no link.
 5. Components of all confirmed links by alternating large and small stars.
 
 No step gathers a bucket, a class or a component in one task: classes and centres are aggregates with map-side
@@ -42,7 +44,8 @@ BINS = ROWS * BANDS
 THRESHOLD = (75, 100)
 #: Below this share of equal bins a pair at the threshold lies with probability under 1e-9 (six standard deviations).
 PASS = 0.75 - 6 * (0.75 * 0.25 / BINS) ** 0.5
-BLOCK = 512
+BLOCK = 256
+LEAST = 256
 #: About so many partners of a centre are compared in one group.
 PARTNERS = 64
 #: Up to so many ids (8 bytes each) are broadcast; more are shuffled.
@@ -133,8 +136,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         sets = shingle_sets(texts_of(batch))
         rows = [x.tobytes() for x in sketches(sets)]
+        least = [(x[:LEAST] >> U64(32)).astype(np.uint32).tobytes() for x in sets]
         digest = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary()), pa.array(least, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch", "least"])
 
 
 # --------------------------------------------------------------------------- confirming pairs
@@ -225,25 +229,60 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(size, BANDS))], ["key", "id", "n"])
 
 
-def _blocked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of two packed blocks of a bucket: pairs of different components, similar sizes and sketches, whose first common
-    band is this bucket's."""
+def passes(a: np.ndarray, whole_a: bool, b: np.ndarray, whole_b: bool) -> bool:
+    """Whether two sets may be similar enough, by their least hashes (sorted): up to the smallest hash that a cut-off
+    list doesn't reach, both are samples of the union."""
+    end = min([np.uint64(1) << np.uint64(32), *(np.uint64(x[-1]) for x, whole in ((a, whole_a), (b, whole_b)) if not whole)])
+    a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    union = len(a) + len(b) - common
+    if whole_a and whole_b:
+        return 100 * (common + 1) >= 75 * (union - 1)  # one of slack: the hashes are halves
+    return common + 1 >= (0.75 - 6 * (0.1875 / max(1, union)) ** 0.5) * union
+
+
+def _blocked_pairs(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
+    """Of two packed blocks of a bucket: pairs of different components, similar sizes, sketches and least hashes, whose
+    first common band is this bucket's; best_only: of each left member the most similar one."""
+    salt = mix(np.arange(1, BANDS + 1, dtype=U64))
     for batch in batches:
-        found: list[np.ndarray] = []
+        found: list[tuple[int, int]] = []
         for key, left, right in zip(*(batch[k].to_pylist() for k in ("key", "left", "right")), strict=True):
-            (ia, ca, na, sa), (ib, cb, nb, sb) = (tuple(np.array([m[k] for m in side]) for k in ("id", "component", "n")) + (np.frombuffer(b"".join(m["sketch"] for m in side), np.uint16).reshape(-1, BINS),) for side in (left, right))
-            salt = mix(np.arange(1, BANDS + 1, dtype=U64))
+            (ia, ca, na, sa, la), (ib, cb, nb, sb, lb) = (
+                (*(np.array([m[k] for m in side]) for k in ("id", "component", "n")), np.frombuffer(b"".join(m["sketch"] for m in side), np.uint16).reshape(-1, BINS), [np.frombuffer(m["least"], np.uint32) for m in side]) for side in (left, right)
+            )
             band = int(np.flatnonzero(mix(np.ascontiguousarray(sa[0]).view(U64) ^ salt).view(np.int64) == key)[0])
             bands_b = np.ascontiguousarray(sb).view(U64).reshape(-1, BANDS)
             for k in range(len(ia)):
+                own = np.ascontiguousarray(sa[k]).view(U64)
                 ok = (cb != ca[k]) & (ib != ia[k]) & (100 * np.minimum(nb, na[k]) >= 75 * np.maximum(nb, na[k]))
-                ok[ok] = ~(bands_b[ok, :band] == np.ascontiguousarray(sa[k]).view(U64)[None, :band]).any(1)
-                ok[ok] = (sb[ok] == sa[k]).mean(1) >= PASS
-                if ok.any():
-                    other = ib[ok]
-                    found.append(np.stack([np.minimum(other, ia[k]), np.maximum(other, ia[k])]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                ok[ok] = ~(bands_b[ok, :band] == own[None, :band]).any(1)
+                at = np.flatnonzero(ok)
+                alike = (sb[at] == sa[k]).mean(1)
+                for j in at[np.argsort(-alike)][: int((alike >= PASS).sum())].tolist():
+                    if passes(la[k], na[k] <= LEAST, lb[j], nb[j] <= LEAST):
+                        found.append((min(ia[k], ib[j]), max(ia[k], ib[j])))
+                        if best_only:
+                            break
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
+_MEMBERS = "array<struct<id:long,component:long,n:long,sketch:binary,least:binary>>"
+
+
+def _rest_pairs(rows: DataFrame, found: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs (a, b) in buckets whose members are of several components."""
+    named = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
+    shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).filter("parts > 1").select("key", "held", F.col("top.component").alias("main"))
+    rest = named.join(largest, "key").join(reps.select("id", "sketch", "least"), "id")
+    cells = F.ceil(F.col("held") / BLOCK).cast("long")
+    rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), cells)).withColumn("member", F.struct("id", "component", "n", "sketch", "least"))
+    sides = rest.groupBy("key", "cell").agg(F.collect_list("member").alias("right"), F.collect_list(F.when(F.col("component") != F.col("main"), F.col("member"))).alias("left"))
+    right = sides.select("key", F.col("right").cast(_MEMBERS).alias("right"))
+    left = sides.filter(F.size("left") > 0).select("key", F.col("left").cast(_MEMBERS).alias("left"))
+    return left.join(right, "key").select("key", "left", "right").mapInArrow(lambda it: _blocked_pairs(it, best_only), "a long, b long").distinct()
 
 
 def _similar_sizes(a: str, b: str):
@@ -253,10 +292,10 @@ def _similar_sizes(a: str, b: str):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "neardup-input")
-    features = stored(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sketch binary"), "features")
+    features = stored(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sketch binary, least binary"), "features")
     classes = features.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    members = features.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "digest", "sketch")
-    reps = stored(members.join(classes, (members.digest == classes.digest) & (members.doc_id == classes.id)).select("id", "n_shingles", "sketch").distinct(), "representatives")
+    members = features.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "digest", "sketch", "least")
+    reps = stored(members.join(classes, (members.digest == classes.digest) & (members.doc_id == classes.id)).select("id", "n_shingles", "sketch", "least").distinct(), "representatives")
 
     # star round
     bands = reps.mapInArrow(_band_rows, "key long, id long, n long")
@@ -267,25 +306,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(pairs, docs, "star-links")
     found = components(links)
 
-    # rest round
-    named = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
-    shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).filter("parts > 1").select("key", "held", F.col("top.component").alias("main"))
-    rest = named.join(largest, "key").join(reps.select("id", "sketch"), "id")
-    cells = F.ceil(F.col("held") / BLOCK).cast("long")
-    rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), cells)).withColumn("member", F.struct("id", "component", "n", "sketch"))
-    right = rest.groupBy("key", "cell").agg(F.collect_list("member").alias("right"))
-    left = rest.filter("component <> main").groupBy("key", "cell").agg(F.collect_list("member").alias("left")).drop("cell")
-    spark = docs.sparkSession
-    schema = spark.createDataFrame([], "key long, left array<struct<id:long,component:long,n:long,sketch:binary>>, right array<struct<id:long,component:long,n:long,sketch:binary>>").schema
-    met = left.join(right, "key").select(*schema.names)
-    more = stored(met.mapInArrow(_blocked_pairs, "a long, b long").distinct(), "rest-pairs")
-    rest_links = confirmed(more.join(pairs, ["a", "b"], "left_anti"), docs, "rest-links")
+    # rest rounds
+    known = [found.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+    for k in range(2):
+        more = stored(_rest_pairs(rows, found, reps, best_only=k == 0).join(pairs, ["a", "b"], "left_anti"), f"rest-pairs-{k}")
+        fresh = confirmed(more, docs, f"rest-links-{k}")
+        known.append(fresh)
+        pairs = pairs.unionByName(more)
+        if k == 0:
+            found = components(known[0].unionByName(fresh))
 
     # rows of one doc_id with different texts join their classes
     torn = features.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).filter("x <> y").select("doc_id")
     bridges = features.filter("n_shingles > 0").join(torn, "doc_id", "left_semi").join(classes, "digest").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest_links).unionByName(bridges))
+    final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(known[-1]).unionByName(bridges))
     of_class = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     joined = features.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = joined.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
