@@ -72,5 +72,5 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
     dot = F.aggregate(F.zip_with("embedding", q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     own = float(sum(x * x for x in query)) ** 0.5
-    scored = rows.filter(F.size("embedding") == len(query)).select(key, F.round(dot / (norm * F.lit(own)), 6).alias("score"))
+    scored = rows.filter(F.size("embedding") == len(query)).select(key, F.round(F.coalesce(F.try_divide(dot, norm * F.lit(own)), F.lit(0.0)), 6).alias("score"))
     return scored.filter("score > 0").orderBy(F.desc("score"), key).limit(k)
