@@ -65,9 +65,18 @@ def is_scan(df: DataFrame) -> bool:
 
 
 def stable(df: DataFrame, label: str) -> DataFrame:
+    bounded(df)
     return df if is_scan(df) else stored(df, label)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on the session's Arrow batches are small, so that long texts don't pile up in one."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    return df
+
+
 def text_or_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blocks, texts_of
+from folioscope.llm.common import blocks, bounded, texts_of
 
 WIDTH, FRAME_ROWS, DELAY = 64, 1024, 4
 _CLEAR, _END, _RUN = 256, 257, 254
@@ -206,7 +206,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media binary) of every row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
 _FRAMES = "array<struct<delay:int,histogram:array<bigint>>>"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blocks, crc_mod
+from folioscope.llm.common import blocks, bounded, crc_mod
 
 HIDDEN, WINDOW, BATCH = 8, 64, 4096
 SAMPLE, WINDOWS, STEPS = 4000, 6, 350
@@ -173,7 +173,7 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fit(docs: DataFrame, sample: int = SAMPLE, learn=None, steps: int = STEPS) -> Network:
     """docs (doc_id, text, lang). learn: a condition; rows without it are not learned from."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0))
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0))
     rows = rows if learn is None else rows.filter(learn)
     ids = rows.select(F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id").limit(sample).select("doc_id").distinct()
     data = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(_training_windows, "lang string, piece binary").collect()
@@ -197,7 +197,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.Re
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    held = bounded(docs).sparkSession.sparkContext.broadcast(net)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _labelled(it, held.value), "doc_id long, lang_pred string, score double")
 
 
@@ -209,7 +209,7 @@ def _kept(batches: Iterator[pa.RecordBatch], net: Network, least: float) -> Iter
 
 def keep(docs: DataFrame, net: Network, least: float) -> DataFrame:
     """The rows of docs whose language is known with a pooled probability of at least so much."""
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    held = bounded(docs).sparkSession.sparkContext.broadcast(net)
     return docs.mapInArrow(lambda it: _kept(it, held.value, least), docs.schema)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.llm import pretokens
-from folioscope.llm.common import blocks, crc32, expand, shared_path, stored, task_id, texts_of
+from folioscope.llm.common import blocks, bounded, crc32, expand, shared_path, stored, task_id, texts_of
 
 MAGIC = b"FSID1\0\0\0"
 END_ID = 0
@@ -215,7 +215,7 @@ def write(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = END_ID,
     (shard, n_docs, n_ids, start), where start counts the ids in all shards before."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text("utf-8"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = dealt.mapInArrow(lambda it: _write(it, model.value, uri, end_id, shard_ids, block_chars), "shard string, n_docs long, n_ids long")
     manifest = stored(rows, "manifest")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.llm.common import pack, partitions, stored, unpack
+from folioscope.llm.common import bounded, pack, partitions, stored, unpack
 
 PIVOTS, SEEDS, RUN, ANNULUS, QUERIES = 64, 1024, 2048, 64, 256
 
@@ -167,7 +167,7 @@ def _query_blocks(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> It
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row of vectors (vec_id, embedding) with is_query, against all others."""
     spark = vectors.sparkSession
-    rows = stored(integer_vectors(vectors), "vectors")
+    rows = stored(integer_vectors(bounded(vectors)), "vectors")
     seeds = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SEEDS).collect()
     if not seeds:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

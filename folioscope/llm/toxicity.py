@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blocks, crc_mod, texts_of
+from folioscope.llm.common import blocks, bounded, crc_mod, texts_of
 
 SAMPLE = 20_000
 TERMS, CANDIDATES = 160, 4000
@@ -54,16 +54,26 @@ def terms_of(text: str) -> Counter:
     return out
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every, toxic = Counter(), Counter()
+def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of these (toxic) documents each term stands at each level."""
     for batch in blocks(batches):
-        for text, y in zip(texts_of(batch), batch["toxic"].to_pylist(), strict=True):
-            found = [(t, k) for t, n in terms_of(text).items() for k in LEVELS if n >= k]
-            every.update(found)
-            if y:
-                toxic.update(found)
-    keys = list(toxic)  # a term that no toxic document holds is no voter
-    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([every[k] for k in keys], pa.int64())], ["term", "level", "toxic", "every"])
+        found: Counter = Counter()
+        for text in texts_of(batch):
+            found.update((t, k) for t, n in terms_of(text).items() for k in LEVELS if n >= k)
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "level", "toxic"])
+
+
+def _every_counts(batches: Iterator[pa.RecordBatch], index: dict[tuple[str, int], int]) -> Iterator[pa.RecordBatch]:
+    """In how many documents each of the terms in index stands at its level."""
+    every = np.zeros(len(index), np.int64)
+    for batch in blocks(batches):
+        for text in texts_of(batch):
+            for t, n in terms_of(text).items():
+                for k in LEVELS:
+                    if n >= k and (at := index.get((t, k))) is not None:
+                        every[at] += 1
+    used = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(every[used], pa.int64())], ["at", "every"])
 
 
 def unlike(candidates: list[tuple[str, int, int, int]]) -> list[tuple[str, int]]:
@@ -206,23 +216,31 @@ def _counts(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterat
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic). learn: a condition on labels; rows without it are not learned from."""
+    spark = docs.sparkSession
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows if learn is None else rows.filter(learn)
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so few rows that they can be broadcast
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    stats = picked.mapInArrow(_term_counts, "term string, level int, toxic long, every long").groupBy("term", "level").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every"))
+    picked = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     size = chosen.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     total, positive = size[0], size[1] or 0
     if not positive or positive == total:
         return Model([], [], None, positive / total if total else 0.0)
-    gain = F.col("toxic") * F.log(((F.col("toxic") + 0.5) / (positive + 1.0)) / ((F.col("every") - F.col("toxic") + 0.5) / (total - positive + 1.0)))
-    best = stats.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_PRECISION * F.col("every"))).withColumn("gain", gain)
-    top = best.orderBy(F.desc("gain"), "term", "level").limit(CANDIDATES).collect()
-    voters_named = unlike([(r.term, r.level, r.toxic, r.every) for r in top])[:TERMS]
+    # terms of several toxic documents of the sample: their number is bounded by the sample's size
+    toxic = picked.filter("toxic = 1").select("text").mapInArrow(_toxic_counts, "term string, level int, toxic long").groupBy("term", "level").agg(F.sum("toxic").alias("toxic"))
+    likely = toxic.filter(F.col("toxic") >= MIN_DOCS).collect()
+    likely.sort(key=lambda r: (r.term, r.level))
+    index = spark.sparkContext.broadcast({(r.term, r.level): k for k, r in enumerate(likely)})
+    every = {r.at: r.every for r in picked.select("text").mapInArrow(lambda it: _every_counts(it, index.value), "at long, every long").groupBy("at").agg(F.sum("every").alias("every")).collect()}
+
+    def gain(r, n: int) -> float:
+        return r.toxic * float(np.log(((r.toxic + 0.5) / (positive + 1)) / ((n - r.toxic + 0.5) / (total - positive + 1))))
+
+    scored = [(-gain(r, every[k]), r.term, r.level, r.toxic, every[k]) for k, r in enumerate(likely) if r.toxic >= MIN_PRECISION * every[k]]
+    top = [r[1:] for r in sorted(scored)[:CANDIDATES]]
+    voters_named = unlike(top)[:TERMS]
     terms = sorted({t for t, _ in voters_named})
-    index = {t: k for k, t in enumerate(terms)}
-    voters = [(index[t], k) for t, k in voters_named]
+    voters = [(terms.index(t), k) for t, k in voters_named]
     if not voters:
         return Model([], [], None, positive / total)
     data = picked.mapInArrow(lambda it: _counts(it, tuple(terms)), "toxic int, counts binary, patterns array<double>").collect()
@@ -249,7 +267,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = bounded(docs).sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _scored(it, held.value), "doc_id long, score double")
 
 
@@ -260,7 +278,7 @@ def _kept(batches: Iterator[pa.RecordBatch], model: Model, below: float) -> Iter
 
 def keep(docs: DataFrame, model: Model, below: float) -> DataFrame:
     """The rows of docs that score below so much."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = bounded(docs).sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda it: _kept(it, held.value, below), docs.schema)
 
 
