@@ -35,7 +35,7 @@ from folioscope.llm.common import blocks, bounded, crc32, expand, shared_path, s
 
 MAGIC = b"FSID1\0\0\0"
 END_ID = 0
-SHARD_IDS = 8_000_000
+SHARD_IDS = 4_000_000
 SAMPLE = 256
 BLOCK_CHARS = 1_000_000
 
@@ -126,7 +126,7 @@ class WordEncoder:
     """Ids of pre-tokens by a byte-level BPE model of the tokenizers library. Texts in a file are ordinary text: special
     tokens' strings in them are encoded like any other."""
 
-    KEPT = 1_000_000  # words; beyond, the memo starts anew
+    KEPT = 200_000  # words; beyond, the memo starts anew
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -201,7 +201,7 @@ def _write(batches: Iterator[pa.RecordBatch], model: str, uri: str, end_id: int,
     for batch in blocks(batches, chars=block_chars):
         ids, ends = encoder.encode(texts_of(batch), end_id)
         docs += batch["doc_id"].to_pylist()
-        held.append(ids)
+        held.append(ids.astype("<u4"))
         sizes.append(np.diff(ends, prepend=0))
         if sum(map(len, held)) >= shard_ids:
             yield flush()
