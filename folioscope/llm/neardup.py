@@ -8,10 +8,11 @@
 3. Star round: in each bucket, edges lead only from one centre to the others, so that their number is below that of the
    bucket's rows. Sketches discard pairs that are six standard deviations below the threshold; the rest are confirmed
    on full sets. Confirmed links are contracted to components.
-4. Rest rounds: a bucket whose members now are of one component is done. In the others, members outside the bucket's
-   largest component meet those of other components, block by block on packed sketches, each pair in its first common
-   bucket only; a pair that passes must also pass on the least ``LEAST`` hashes of both sets (smaller sets are compared
-   whole). A first round takes each member's best partner of a block, so that most components meet; a second one all
+4. Rest rounds: a bucket whose members now are of one component is done. The others are gathered, so that sketches of
+   members which share many buckets move once: a bucket goes to the largest home of its members, a member's home being
+   the largest of its buckets. In such a family, members outside its largest component meet those of other components
+   that share a band with them, block by block on packed sketches; a pair that passes must also pass on the least
+   ``LEAST`` hashes of both sets (smaller sets are compared whole). A first round takes each member's best partner of a block, so that most components meet; a second one all
    pairs that still are of different components. They are confirmed like the others. So the stars lose no link.
 5. Components of all confirmed links by alternating large and small stars.
 
@@ -243,21 +244,19 @@ def passes(a: np.ndarray, whole_a: bool, b: np.ndarray, whole_b: bool) -> bool:
 
 
 def _blocked_pairs(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Of two packed blocks of a bucket: pairs of different components, similar sizes, sketches and least hashes, whose
-    first common band is this bucket's; best_only: of each left member the most similar one."""
-    salt = mix(np.arange(1, BANDS + 1, dtype=U64))
+    """Of two packed blocks of a family: pairs of different components that share a band, of similar sizes, sketches and
+    least hashes; best_only: of each left member the most similar one."""
     for batch in batches:
         found: list[tuple[int, int]] = []
-        for key, left, right in zip(*(batch[k].to_pylist() for k in ("key", "left", "right")), strict=True):
+        for left, right in zip(*(batch[k].to_pylist() for k in ("left", "right")), strict=True):
             (ia, ca, na, sa, la), (ib, cb, nb, sb, lb) = (
                 (*(np.array([m[k] for m in side]) for k in ("id", "component", "n")), np.frombuffer(b"".join(m["sketch"] for m in side), np.uint16).reshape(-1, BINS), [np.frombuffer(m["least"], np.uint32) for m in side]) for side in (left, right)
             )
-            band = int(np.flatnonzero(mix(np.ascontiguousarray(sa[0]).view(U64) ^ salt).view(np.int64) == key)[0])
             bands_b = np.ascontiguousarray(sb).view(U64).reshape(-1, BANDS)
             for k in range(len(ia)):
                 own = np.ascontiguousarray(sa[k]).view(U64)
                 ok = (cb != ca[k]) & (ib != ia[k]) & (100 * np.minimum(nb, na[k]) >= 75 * np.maximum(nb, na[k]))
-                ok[ok] = ~(bands_b[ok, :band] == own[None, :band]).any(1)
+                ok[ok] = (bands_b[ok] == own[None, :]).any(1)
                 at = np.flatnonzero(ok)
                 alike = (sb[at] == sa[k]).mean(1)
                 for j in at[np.argsort(-alike)][: int((alike >= PASS).sum())].tolist():
@@ -271,18 +270,28 @@ def _blocked_pairs(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterat
 _MEMBERS = "array<struct<id:long,component:long,n:long,sketch:binary,least:binary>>"
 
 
+def _families(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, n, component): the members of all buckets of several components, once for each family of buckets."""
+    named = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "held")
+    open_rows = stored(named.join(mixed, "key"), "open-buckets")
+    homes = open_rows.groupBy("id").agg(F.max(F.struct("held", "key")).alias("home"))
+    families = open_rows.select("key", "id").join(homes, "id").groupBy("key").agg(F.max("home").alias("family"))
+    return stored(open_rows.join(families, "key").select(F.col("family.key").alias("key"), "id", "n", "component").distinct(), "families")
+
+
 def _rest_pairs(rows: DataFrame, found: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (a, b) in buckets whose members are of several components."""
-    named = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
+    named = _families(rows, found)
     shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).filter("parts > 1").select("key", "held", F.col("top.component").alias("main"))
+    largest = shares.groupBy("key").agg(F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).select("key", "held", F.col("top.component").alias("main"))
     rest = named.join(largest, "key").join(reps.select("id", "sketch", "least"), "id")
     cells = F.ceil(F.col("held") / BLOCK).cast("long")
     rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), cells)).withColumn("member", F.struct("id", "component", "n", "sketch", "least"))
     sides = rest.groupBy("key", "cell").agg(F.collect_list("member").alias("right"), F.collect_list(F.when(F.col("component") != F.col("main"), F.col("member"))).alias("left"))
     right = sides.select("key", F.col("right").cast(_MEMBERS).alias("right"))
     left = sides.filter(F.size("left") > 0).select("key", F.col("left").cast(_MEMBERS).alias("left"))
-    return left.join(right, "key").select("key", "left", "right").mapInArrow(lambda it: _blocked_pairs(it, best_only), "a long, b long").distinct()
+    return left.join(right, "key").select("left", "right").mapInArrow(lambda it: _blocked_pairs(it, best_only), "a long, b long").distinct()
 
 
 def _similar_sizes(a: str, b: str):
