@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import pretokens
-from folioscope.llm.common import blocks, expand, narrow, pack, partitions, stable, task_id, texts_of, unpack
+from folioscope.llm.common import blocks, expand, narrow, pack, partitions, release, stable, task_id, texts_of, unpack
 
 BLOCK_CHARS = 2_000_000
 
@@ -122,6 +122,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa
             flat = np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))
             out.append(pack(narrow(sizes), narrow(flat)))
         yield pa.RecordBatch.from_arrays([batch["block"], batch["bucket"], pa.array(out, pa.binary())], ["block", "bucket", "payload"])
+    known.clear()
+    release()
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,9 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = unpack(payload)
                 sizes.append(a)
                 ids.append(b)
+        release()
     yield from put_together()
+    release()
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -205,6 +209,7 @@ def _digests(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa.Reco
         rows = [(len(x), sha256(x.astype("<u4").tobytes()).hexdigest(), sha256(vocab.decode(x)).hexdigest()) for x in _lists(batch)]
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
 
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:

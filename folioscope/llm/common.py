@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -170,6 +171,16 @@ def crc32(data: bytes) -> int:
 # --------------------------------------------------------------------------- Arrow batches
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back: Python workers live on between stages, and their heaps would add up in an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1_000_000, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about so many characters at most; a longer text is a piece of its own."""
     for batch in batches:
@@ -182,6 +193,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1
             held += size
         if at < len(sizes):
             yield batch.slice(at)
+        release()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.llm.common import blocks, mix, partitions, span_hashes, stable, stored, texts_of
+from folioscope.llm.common import blocks, mix, partitions, release, span_hashes, stable, stored, texts_of
 
 U64 = np.uint64
 WORDS = 5
@@ -181,6 +181,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((a, b))
                     break
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+    release()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
@@ -265,6 +266,7 @@ def _blocked_pairs(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterat
                         if best_only:
                             break
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+    release()
 
 
 _MEMBERS = "array<struct<id:long,component:long,n:long,sketch:binary,least:binary>>"
