@@ -304,9 +304,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "neardup-input")
     features = stored(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sketch binary, least binary"), "features")
-    classes = features.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    members = features.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "digest", "sketch", "least")
-    reps = stored(members.join(classes, (members.digest == classes.digest) & (members.doc_id == classes.id)).select("id", "n_shingles", "sketch", "least").distinct(), "representatives")
+    # one shuffle with map-side combination: equal sets have equal sizes, sketches and least hashes, so that any row's do
+    members = features.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
+    same = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "least")]
+    reps = stored(members.agg(F.min("doc_id").alias("id"), *same), "representatives")
+    classes = reps.select("digest", "id")
 
     # star round
     bands = reps.mapInArrow(_band_rows, "key long, id long, n long")
