@@ -184,12 +184,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _needed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among the distinct ids. Few ids are broadcast, so that the scan drops the others'
+    rows where it reads them; else both sides are shuffled."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Those of the pairs (a < b, distinct) whose full sets are similar enough; written to the shared folder."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # few ids: the scan of texts drops the others before it makes sets; else both sides are shuffled
-    wanted = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_member_sets, "id long, shingles binary"), f"{label}-sets")
+    sets = stored(_needed(docs, ids, "doc_id").mapInArrow(_member_sets, "id long, shingles binary"), f"{label}-sets")
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt"))
     partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
@@ -282,12 +287,11 @@ def _families(rows: DataFrame, found: DataFrame) -> DataFrame:
     return stored(open_rows.join(families, "key").select(F.col("family.key").alias("key"), "id", "n", "component").distinct(), "families")
 
 
-def _rest_pairs(rows: DataFrame, found: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) in buckets whose members are of several components."""
-    named = _families(rows, found)
+def _rest_pairs(named: DataFrame, sketched: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs (a, b) in families (key, id, n, component) of buckets; sketched: (id, sketch, least) of their members."""
     shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = shares.groupBy("key").agg(F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).select("key", "held", F.col("top.component").alias("main"))
-    rest = named.join(largest, "key").join(reps.select("id", "sketch", "least"), "id")
+    rest = named.join(largest, "key").join(sketched, "id")
     cells = F.ceil(F.col("held") / BLOCK).cast("long")
     rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), cells)).withColumn("member", F.struct("id", "component", "n", "sketch", "least"))
     sides = rest.groupBy("key", "cell").agg(F.collect_list("member").alias("right"), F.collect_list(F.when(F.col("component") != F.col("main"), F.col("member"))).alias("left"))
@@ -321,8 +325,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # rest rounds
     known = [found.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+    sketched = reps.select("id", "sketch", "least")
     for k in range(2):
-        more = stored(_rest_pairs(rows, found, reps, best_only=k == 0).join(pairs, ["a", "b"], "left_anti"), f"rest-pairs-{k}")
+        families = _families(rows, found)
+        # components only grow: the members of the second round are among those of the first
+        sketched = stored(_needed(sketched, families.select("id").distinct(), "id"), f"open-sketches-{k}")
+        more = stored(_rest_pairs(families, sketched, best_only=k == 0).join(pairs, ["a", "b"], "left_anti"), f"rest-pairs-{k}")
         fresh = confirmed(more, docs, f"rest-links-{k}")
         known.append(fresh)
         pairs = pairs.unionByName(more)
