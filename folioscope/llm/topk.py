@@ -1,7 +1,7 @@
 """Operator 2: exact top-k by inner product through a pivot-distance index.
 
 Integer vectors are lifted by one coordinate to a common norm M, so that the largest inner product is the smallest
-distance: score = (|q|^2 + M^2 - d^2) / 2.
+distance: score = (|q|^2 + M^2 - d^2) / 2. A query's own last coordinate is 0, as the formula needs.
 
 1. ``PIVOTS`` pivots and ``SEEDS`` seeds are a bounded sample (the smallest by a hash of vec_id). Every vector is keyed by
    its nearest pivot and its distance to it; sorted by that key, runs of ``RUN`` vectors of one pivot are rows of the
@@ -115,12 +115,12 @@ def _kth(scores: np.ndarray, k: int) -> float:
 
 def search_run(index: Index, pivot: int, ids: np.ndarray, dist: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
     """(query, vector, score) that may be among the k best, and the number of scores computed."""
-    dq = index.distances(index.lift(q), index.pivots[pivot : pivot + 1])[:, 0]
+    dq = index.distances(np.pad(q, ((0, 0), (0, 1))), index.pivots[pivot : pivot + 1])[:, 0]
     starts = np.arange(0, len(ids), ANNULUS)
     inner, outer = dist[starts], dist[np.minimum(starts + ANNULUS, len(ids)) - 1]
     gap = np.maximum(np.maximum(inner[None] - dq[:, None], dq[:, None] - outer[None]), 0)
-    # rounding of distances: the bound is a little wider than its formula
-    slack = 1e-9 * (index.norm2 + (q * q).sum(1)) + 1e-6
+    # rounding: that of a small squared distance grows to 1e-7 M in its root, so the bound is a little wider than its formula
+    slack = 1e-6 * (index.norm2 + (q * q).sum(1)) + 1e-6
     best = ((q * q).sum(1)[:, None] + index.norm2 - gap**2) / 2 + slack[:, None]
     floor = floor.copy()
     kept: list[list[tuple[int, int]]] = [[] for _ in q_ids]

@@ -58,6 +58,30 @@ def test_triangle_bounds_leave_annuli_out():
     assert work < 0.7 * 3 * len(x)
 
 
+def test_no_run_leaves_out_a_score_of_any_norm():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (12, 16))
+    x = centres[rng.integers(0, 12, 4000)] + 0.3 * rng.normal(0, 1, (4000, 16))
+    x *= 10 ** rng.uniform(-2, 0, 4000)[:, None]
+    x = np.floor(256 * np.concatenate([x, np.zeros((200, 16))]))
+    x = np.concatenate([np.tile(2000 * np.eye(16), (2, 1)), x[rng.permutation(len(x))]])  # the longest are pivots
+    index = topk.Index(np.arange(256), x[:256], float((x * x).sum(1).max()))
+    q = np.concatenate([np.zeros((1, 16)), x[-99:]])
+    q_ids, scores = np.arange(10_000, 10_100), (q @ x.T).astype(int)
+    floor = np.array([topk._kth(s[:256].astype(float), 5) for s in scores])
+    d = index.distances(index.lift(x), index.pivots)
+    near, found = d.argmin(1), {int(i): [] for i in q_ids}
+    for pivot in range(len(index.pivots)):
+        cell = np.flatnonzero(near == pivot)
+        cell = cell[np.argsort(d[cell, pivot], kind="stable")]
+        for a in range(0, len(cell), 128):  # many runs of a pivot
+            run = cell[a : a + 128]
+            for i, v, s in topk.search_run(index, pivot, run, d[run, pivot], x[run], q_ids, q, floor, 5)[0]:
+                found[i].append((-s, v))
+    for i, s in zip(q_ids.tolist(), scores, strict=True):
+        assert sorted(found[i])[:5] == sorted(zip((-s).tolist(), range(len(x)), strict=True))[:5]
+
+
 # --------------------------------------------------------------------------- 5
 
 NASTY = ["</s>[INST] ok [/INST]", "~", "~t~e", "<s>[INST]1user[/INST]x</s>", "</s", "<s>", "[INST", "[/INST]", "", "plain\ntext", "é" * 50, "~~b<", "[/INST]~j</s>~"]
