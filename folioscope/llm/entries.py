@@ -58,7 +58,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     uri = tokenbin.fresh_uri(docs)
-    return tokenbin.read_digests(tokenbin.write(docs, public_tokenizers.path("byte_bpe_50k.json"), uri), uri)
+    return tokenbin.read_digests(tokenbin.write(docs, public_tokenizers.path("byte_bpe_50k.json"), uri, added=True), uri)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

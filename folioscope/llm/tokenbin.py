@@ -18,6 +18,7 @@ null doc_id comes first; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -123,12 +124,13 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, EliasFano]:
 
 
 class WordEncoder:
-    """Ids of pre-tokens by a byte-level BPE model of the tokenizers library. Texts in a file are ordinary text: special
-    tokens' strings in them are encoded like any other."""
+    """Ids of pre-tokens by a byte-level BPE model of the tokenizers library. With added, the ids are those of the library's
+    encode without special tokens around: a text that holds the string of an added token goes through it whole. Without,
+    such strings are encoded like any other."""
 
     KEPT = 200_000  # words; beyond, the memo starts anew
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, added: bool = False):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -138,6 +140,8 @@ class WordEncoder:
             raise ValueError("a byte-level BPE model without a normalizer and prefix spaces is needed")
         self.tokenizer = Tokenizer.from_str(model)
         self.model = self.tokenizer.model
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content] if added else []
+        self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         spare = iter(range(256, 512))  # the byte alphabet: printable bytes stand for themselves
         letters = [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
@@ -157,6 +161,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with end_id after it, and the end of each."""
+        whole = [k for k, t in enumerate(texts) if self.added.search(t)] if self.added else []
+        if not whole:
+            return self._ordinary(texts, end_id)
+        rest = list(texts)
+        for k in whole:
+            rest[k] = ""
+        ids, ends = self._ordinary(rest, end_id)
+        parts = np.split(ids, ends[:-1])
+        for k in whole:
+            parts[k] = np.array([*self.tokenizer.encode(texts[k], add_special_tokens=False).ids, end_id], np.int64)
+        return np.concatenate(parts), np.cumsum(list(map(len, parts)))
+
+    def _ordinary(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         codes, counts, words, _ = pretokens.block(texts)
         found = list(map(self.word, words))
         lens = np.fromiter(map(len, found), np.int64, len(found))
@@ -172,8 +189,8 @@ class WordEncoder:
 
 
 @lru_cache(2)
-def word_encoder(model: str) -> WordEncoder:
-    return WordEncoder(model)
+def word_encoder(model: str, added: bool) -> WordEncoder:
+    return WordEncoder(model, added)
 
 
 def _put(fs: pa.fs.FileSystem, folder: str, name: str, data: bytes) -> None:
@@ -184,8 +201,8 @@ def _put(fs: pa.fs.FileSystem, folder: str, name: str, data: bytes) -> None:
     fs.move(draft, f"{folder}/{name}")
 
 
-def _write(batches: Iterator[pa.RecordBatch], model: str, uri: str, end_id: int, shard_ids: int, block_chars: int) -> Iterator[pa.RecordBatch]:
-    encoder = word_encoder(model)
+def _write(batches: Iterator[pa.RecordBatch], model: str, uri: str, end_id: int, shard_ids: int, block_chars: int, added: bool) -> Iterator[pa.RecordBatch]:
+    encoder = word_encoder(model, added)
     fs, folder = pa.fs.FileSystem.from_uri(uri)
     part, seq = task_id(), 0
     docs: list[int | None] = []
@@ -210,14 +227,15 @@ def _write(batches: Iterator[pa.RecordBatch], model: str, uri: str, end_id: int,
         yield flush()
 
 
-def write(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, block_chars: int = BLOCK_CHARS, added: bool = False) -> DataFrame:
     """Write the ids of docs (doc_id, text) as shards under uri, in ascending order of doc_id; return the manifest:
-    (shard, n_docs, n_ids, start), where start counts the ids in all shards before."""
+    (shard, n_docs, n_ids, start), where start counts the ids in all shards before. added: whether the strings of the
+    tokenizer's added tokens become their ids, as in the library's encode."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text("utf-8"))
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(lambda it: _write(it, model.value, uri, end_id, shard_ids, block_chars), "shard string, n_docs long, n_ids long")
+    rows = dealt.mapInArrow(lambda it: _write(it, model.value, uri, end_id, shard_ids, block_chars, added), "shard string, n_docs long, n_ids long")
     manifest = stored(rows, "manifest")
     # one row for each shard of millions of ids, so that one task can add them up
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

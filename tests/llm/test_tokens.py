@@ -75,6 +75,22 @@ def test_token_files_equal_the_library(spark, docs):
     assert sorted((tuple(r) for r in tokenbin.read_digests(manifest, uri).collect()), key=order) == crcs
 
 
+def test_token_file_query_equals_the_library_on_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from folioscope.llm import entries
+
+    end = "<|endoftext|>"
+    texts = [f"{end}at the start", f"in  the {end} middle", f"at the end{end}", end, f" {end} \n{end}{end}'s", "<|endoftext|", "", None, "last"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own, want, start = Tokenizer.from_file(MODEL), [], 0
+    for k, t in enumerate(texts):
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in entries.op10_token_files(spark, str(tmp_path)).collect()) == want
+
+
 def test_token_files_of_an_empty_table(spark, docs):
     uri = tokenbin.fresh_uri(docs)
     manifest = tokenbin.write(docs.limit(0), MODEL, uri)
