@@ -149,15 +149,9 @@ def corpus_stats_by_kind(spark, d):
     return load(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(n("items"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"))
 
 
-@query("""
-WITH t AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(left(text, 1800)), '[a-z][a-z]{3,}'))) AS term FROM documents),
-c AS (SELECT source, term, count(*) n FROM t GROUP BY 1, 2), y AS (SELECT term, count(*) k FROM c GROUP BY 1), s AS (SELECT count(DISTINCT source) m FROM documents),
-r AS (SELECT source, c.term, n, round(n * ln(1 + m / k), 6) score FROM c JOIN y USING (term), s)
-SELECT source, term, n, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, n DESC, term)::INTEGER AS rank FROM r) WHERE rank <= 5""")
-def yearly_signals(spark, d):
+def _signals(docs, text):
     """Distinctive terms of each bucket (here a source): counted once per document, weighted by how few buckets use them."""
-    docs = load(spark, d, "documents")
-    t = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(1800))), F.lit("([a-z][a-z]{3,})"), F.lit(1)))).alias("term"))
+    t = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z]{3,})"), F.lit(1)))).alias("term"))
     c = t.groupBy("source", "term").agg(n())
     y = c.groupBy("term").agg(n("k"))
     m = docs.agg(F.count_distinct("source").alias("m"))
@@ -166,6 +160,26 @@ def yearly_signals(spark, d):
     return r.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("source", "term", "n", "score", "rank")
 
 
+@query("""
+WITH t AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(left(text, 1800)), '[a-z][a-z]{3,}'))) AS term FROM documents),
+c AS (SELECT source, term, count(*) n FROM t GROUP BY 1, 2), y AS (SELECT term, count(*) k FROM c GROUP BY 1), s AS (SELECT count(DISTINCT source) m FROM documents),
+r AS (SELECT source, c.term, n, round(n * ln(1 + m / k), 6) score FROM c JOIN y USING (term), s)
+SELECT source, term, n, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, n DESC, term)::INTEGER AS rank FROM r) WHERE rank <= 5""")
+def yearly_signals(spark, d):
+    """Signals of the first 1800 characters, which is the length of the surveyed operator's chunks and what the SQL asks for."""
+    return _signals(load(spark, d, "documents"), F.left("text", F.lit(1800)))
+
+
+@query("""
+WITH t AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z]{3,}'))) AS term FROM documents),
+c AS (SELECT source, term, count(*) n FROM t GROUP BY 1, 2), y AS (SELECT term, count(*) k FROM c GROUP BY 1), s AS (SELECT count(DISTINCT source) m FROM documents),
+r AS (SELECT source, c.term, n, round(n * ln(1 + m / k), 6) score FROM c JOIN y USING (term), s)
+SELECT source, term, n, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, n DESC, term)::INTEGER AS rank FROM r) WHERE rank <= 5""")
+def yearly_signals_whole(spark, d):
+    """Signals of whole texts."""
+    return _signals(load(spark, d, "documents"), F.col("text"))
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), ())")
 def counts_multi_dim(spark, d):
     cols = ["l_returnflag", "l_linestatus", "l_linenumber"]

@@ -92,3 +92,16 @@ def test_core_queries_equal_their_sql(spark):
         at = [[c[0] for c in b.description].index(x) for x in names]
         assert sorted(map(str, (tuple(r[x] for x in names) for r in a.collect()))) == sorted(str(tuple(r[k] for k in at)) for r in b.fetchall()), name
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_signals_count_terms_of_any_place(spark, tmp_path):
+    import duckdb
+
+    late = "the " * 600 + "latecomer"
+    rows = [(0, late, "a"), (1, late + " latecomer", "a"), (2, "early words", "b"), (3, None, "b"), (4, "", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, __spark_entry__.queries()["yearly_signals_whole"](spark, str(tmp_path)).collect()))
+    assert [r[:3] for r in got] == [("a", "latecomer", 2), ("b", "early", 1), ("b", "words", 1)]
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["yearly_signals_whole"]).fetchall())
