@@ -11,7 +11,7 @@
 4. Every whole text is scored in one scan: an Aho-Corasick automaton finds the terms, the classifier adds up.
 
 Labels, lang, source and doc_id are never inputs of a score. Defined results: null or empty text has the score of a text
-without any term; a null doc_id is scored and not held out; repeated rows are each scored; several labels of one doc_id
+without any term or pattern; a null doc_id is scored and not held out; repeated rows are each scored; several labels of one doc_id
 count as toxic if one does; without any toxic or any clean label in the sample the scores are the share of toxic labels;
 an empty table gives an empty result; other columns are left alone.
 """
@@ -202,7 +202,7 @@ class Model:
             return np.full(len(texts), self.constant)
         found = matcher(self.terms)
         counts = np.stack([found.counts(t) for t in texts])
-        x = self.features(counts, np.array([patterns_of(t) if c.any() else (0, 0, 0) for t, c in zip(texts, counts, strict=True)], float).reshape(-1, 3))
+        x = self.features(counts, np.array([patterns_of(t) for t in texts], float).reshape(-1, 3))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 

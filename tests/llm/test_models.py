@@ -65,6 +65,14 @@ def test_language_accuracy_on_held_out_documents(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs.limit(3), nothing).collect()} == {"und"}
 
 
+def test_patterns_speak_without_a_term():
+    # one voter: fired, number of fired, any fired; then capitals, "!", repeated words; the bias
+    model = toxicity.Model(["term"], [(0, 1)], np.array([1.0, 0, 0, 1, 2, 4, -3]))
+    texts = ["quiet words", "LOUD WORDS", "words!", "no no no no", "a term", "", "NO!! NO!! NO!! NO!! NO!!"]
+    logit = np.array([-3.0, -2, -1, 1, -2, -3, 4])
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-logit)))
+
+
 def test_toxicity_on_held_out_documents(spark, docs):
     model = toxicity.fit(docs.select("doc_id", "text", "lang"), docs.select("doc_id", "toxic"), learn=toxicity.learn_fold())
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
