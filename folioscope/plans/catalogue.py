@@ -116,13 +116,24 @@ def match_alias_or(spark, d):
     return load(spark, d, "documents").filter(matcher.matches(F.col("text"), "clown/moron", aliases=("idiot",))).groupBy("source").agg(n())
 
 
-@query("SELECT doc_id, regexp_extract(text, '(?i)of the') AS span, substr(text, greatest(strpos(lower(text), 'of the') - 60, 1), 240) AS context FROM documents WHERE contains(lower(text), 'of the') AND lang = 'en'")
-def quote_context(spark, d):
-    docs = load(spark, d, "documents").filter("lang = 'en'").filter(F.contains(F.lower("text"), F.lit("of the")))
+def _quotes(docs):
+    """The first place of a phrase in each document that holds it, with what stands around."""
+    docs = docs.filter(F.contains(F.lower("text"), F.lit("of the")))
     start = F.locate("of the", F.lower("text"))
     return docs.select("doc_id", F.substring("text", start, F.lit(6)).alias("span"), F.substring("text", F.greatest(start - 60, F.lit(1)), F.lit(240)).alias("context"))
 
 
+@query("SELECT doc_id, regexp_extract(text, '(?i)of the') AS span, substr(text, greatest(strpos(lower(text), 'of the') - 60, 1), 240) AS context FROM documents WHERE contains(lower(text), 'of the') AND lang = 'en'")
+def quote_context(spark, d):
+    return _quotes(load(spark, d, "documents").filter("lang = 'en'"))
+
+
+@query("SELECT doc_id, regexp_extract(text, '(?i)of the') AS span, substr(text, greatest(strpos(lower(text), 'of the') - 60, 1), 240) AS context FROM documents WHERE contains(lower(text), 'of the')")
+def quote_context_all(spark, d):
+    """Quotes from documents of any language, or of none."""
+    return _quotes(load(spark, d, "documents"))
+
+
 @query("SELECT source, count(*) AS considered, sum(CASE WHEN contains(lower(text), 'tion') THEN 1 ELSE 0 END)::BIGINT AS matched, count(*) >= 10 AND sum(CASE WHEN contains(lower(text), 'tion') THEN 1 ELSE 0 END) > 0.5 * count(*) AS common FROM documents GROUP BY source")
 def term_freq_advisory(spark, d):
     hit = F.sum(F.contains(F.lower("text"), F.lit("tion")).cast("long"))

@@ -105,3 +105,15 @@ def test_whole_signals_count_terms_of_any_place(spark, tmp_path):
     got = sorted(map(tuple, __spark_entry__.queries()["yearly_signals_whole"](spark, str(tmp_path)).collect()))
     assert [r[:3] for r in got] == [("a", "latecomer", 2), ("b", "early", 1), ("b", "words", 1)]
     assert got == sorted(con.execute(__spark_entry__.oracle_sql()["yearly_signals_whole"]).fetchall())
+
+
+def test_quotes_of_any_language(spark, tmp_path):
+    import duckdb
+
+    rows = [(0, "one Of The many", "en"), (1, "x" * 100 + " of the " + "y" * 300, "fr"), (2, "end of the", None), (3, "of a", "en"), (4, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, __spark_entry__.queries()["quote_context_all"](spark, str(tmp_path)).collect()))
+    assert [r[:2] for r in got] == [(0, "Of The"), (1, "of the"), (2, "of the")]
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["quote_context_all"]).fetchall())
