@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, langid, mixing, neardup, toxicity
 from folioscope.llm.common import stored, table
@@ -41,9 +42,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes of each document."""
+    """Token counts and digests of ids and decoded bytes of each document, with its place in the order of the mix.
+
+    A place is of one row, so that documents of the same or of no doc_id keep theirs."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, ranks), ranks)
+    placed = stored(mixing.mix(docs).select("mix_place", "doc_id", "text"), "placed")
+    found = bpe.digests(bpe.encode(placed.select(F.col("mix_place").alias("doc_id"), "text"), ranks), ranks)
+    return found.withColumnRenamed("doc_id", "mix_place").join(placed.select("mix_place", "doc_id"), "mix_place").select("doc_id", "mix_place", *found.columns[1:])
 
 
 STAGES = [("language", language), ("toxicity", clean), ("near duplicates", distinct), ("mixing", mixed), ("tokens", tokens)]

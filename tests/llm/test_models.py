@@ -124,3 +124,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert seen[2] == kept == seen[3] == seen[4] and 5003 not in kept and 5002 in kept
     ran = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ran == {r.doc_id: r.ids_sha256 for r in state.collect()}
+
+
+def test_last_stage_tells_the_place_in_the_mix(spark):
+    import hashlib
+
+    import corpus_pipeline
+
+    rows = [(k % 40 or None, f"text {k % 30}", ["a", "a", "b"][k % 3]) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.stored(corpus_pipeline.mixed(spark, docs, ""), "mixed")
+    got = corpus_pipeline.tokens(spark, mixed, "").collect()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = [(r.mix_place, r.doc_id, digest(r.text)) for r in corpus_pipeline.mixing.mix(docs).collect()]
+    assert sorted((r.mix_place, r.doc_id or 0, r.decoded_sha256) for r in got) == sorted((p, d or 0, t) for p, d, t in want)
