@@ -31,6 +31,8 @@ from folioscope.llm import pretokens
 from folioscope.llm.common import blocks, expand, narrow, pack, partitions, release, stable, task_id, texts_of, unpack
 
 BLOCK_CHARS = 2_000_000
+#: Words whose ids a task keeps in mind; beyond, it begins anew and encodes a word again when it comes again.
+KNOWN = 200_000
 
 
 # --------------------------------------------------------------------------- vocabulary
@@ -116,6 +118,8 @@ def _encode_words(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa
             for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True):
                 ids = known.get(word := joined[a:b])
                 if ids is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     ids = known[word] = vocab.encode_word(word)
                 found.append(ids)
             sizes = np.fromiter(map(len, found), np.int64, len(found))

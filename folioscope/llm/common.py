@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="folioscope-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -60,9 +61,9 @@ def partitions(spark: SparkSession) -> int:
 
 def is_scan(df: DataFrame) -> bool:
     """Whether df is a plain read of files, whose rows come in the same order and splits each time they are read."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    names = {line.lstrip(" +-:").split(" ")[0] for line in plan.splitlines() if line.strip()}
-    return names <= {"Relation", "Project", "Filter"}
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = {line.lstrip(" +-:").split(" ")[0] for line in plan.toString().splitlines() if line.strip()}
+    return plan.deterministic() and names <= {"Relation", "Project", "Filter"}
 
 
 def stable(df: DataFrame, label: str) -> DataFrame:
@@ -71,10 +72,14 @@ def stable(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df; from now on the session's Arrow batches are small, so that long texts don't pile up in one."""
+    """df; from now on the session's Arrow batches are small, so that long texts don't pile up in one. Spark reads these
+    settings when a query is run, after this function returned, so that they stay; they are lowered and never raised."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = conf.get(name).lower()
+        if not held.isdigit() or not 0 < int(held) <= most:
+            conf.set(name, most)
     return df
 
 
@@ -156,12 +161,27 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span. values: random 64-bit codes of the symbols."""
-    power, inverse = _powers_to(len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+#: Symbols that are hashed at a time, so that the 64-bit codes of a block aren't all held at once.
+_CHUNK = 1 << 17
+
+
+def span_hashes(symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of symbols[start:end] for each span; the spans are in order and don't overlap. codes: a random
+    64-bit code of each symbol."""
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, first + _CHUNK, "right")))
+        a, b = starts[at:upto] - first, ends[at:upto] - first
+        values = codes[symbols[first : first + int(b[-1])]]
+        power, inverse = _powers_to(len(values) + 1)
+        values *= power[: len(values)]
+        sums = np.zeros(len(values) + 1, U64)
+        np.cumsum(values, out=sums[1:])
+        out[at:upto] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U64))
+        at = upto
+    return out
 
 
 def crc32(data: bytes) -> int:

@@ -68,7 +68,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     sizes = np.fromiter(map(len, data), np.int64, len(data)) + 1
     edge = np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    hashes = span_hashes(_CODES[raw], starts, ends)
+    hashes = span_hashes(raw, _CODES, starts, ends)
     at = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     n = np.diff(at)
     runs = max(0, len(hashes) - words + 1)

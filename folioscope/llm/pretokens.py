@@ -66,29 +66,39 @@ def starts_of(u: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class Spans:
+    """The pre-tokens of a block of texts: where they start and end in the joined text, their hashes, and the number of
+    them in each text."""
+
+    def __init__(self, texts: list[str]):
+        self.joined = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        u = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        self.starts = starts_of(u, begins[sizes > 0]) if len(u) else np.zeros(0, np.int64)
+        self.ends = np.append(self.starts[1:], len(u)) if len(u) else self.starts
+        self.hashes = span_hashes(u, _classes()[1], self.starts, self.ends)
+        self.counts = np.diff(np.searchsorted(self.starts, np.append(begins, len(u))))
+
+    def words(self, at: np.ndarray) -> list[str]:
+        return [self.joined[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
 def block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Of a block of texts: each pre-token's index in the list of distinct words, in order of position; the number of
     pre-tokens of each text; the distinct words; their hashes."""
-    joined = "".join(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    if not joined:
-        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), [], np.zeros(0, np.uint64)
-    u = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    begins = np.cumsum(sizes) - sizes
-    starts = starts_of(u, begins[sizes > 0])
-    ends = np.append(starts[1:], len(u))
-    hashes = span_hashes(_classes()[1][u], starts, ends)
-    distinct, index, codes = np.unique(hashes, return_index=True, return_inverse=True)
-    at = np.searchsorted(starts, np.append(begins, len(u)))
-    words = [joined[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-    if not np.array_equal((ends - starts)[index][codes], ends - starts):  # two words of one hash: by the words themselves
+    spans = Spans(texts)
+    distinct, index, codes = np.unique(spans.hashes, return_index=True, return_inverse=True)
+    words = spans.words(index)
+    lens = spans.ends - spans.starts
+    if not np.array_equal(lens[index][codes], lens):  # two words of one hash: by the words themselves
         seen: dict[str, int] = {}
-        codes = np.fromiter((seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        codes = np.fromiter((seen.setdefault(w, len(seen)) for w in spans.words(np.arange(len(lens)))), np.int64, len(lens))
         words = list(seen)
         distinct = mix(np.fromiter((hash_word(w) for w in words), np.uint64, len(words)))
-    return codes, np.diff(at), words, distinct
+    return codes, spans.counts, words, distinct
 
 
 def hash_word(word: str) -> int:
     u = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
-    return int(span_hashes(_classes()[1][u], np.zeros(1, np.int64), np.full(1, len(u)))[0])
+    return int(span_hashes(u, _classes()[1], np.zeros(1, np.int64), np.full(1, len(u)))[0])

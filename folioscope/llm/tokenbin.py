@@ -7,7 +7,7 @@ executors share, and a manifest row for each. A shard holds, little-endian:
     doc_ids i64 (with a bit each for null) | ids u16 or u32 | boundaries: low bits, high bits, select samples
 
 The boundaries (the end of each document in the id array) take about 2 + log2(n_ids / n_docs) bits a document instead of
-64. ``EliasFano.get`` finds one of them through the select samples without decoding the others.
+64. ``EliasFano.get`` and, for many at once, ``select`` find them through the select samples; readers ask ``spans``.
 
 A shard is written under a temporary name and renamed, so that a task that runs again replaces it whole.
 
@@ -81,10 +81,33 @@ class EliasFano:
             low |= (int(self.low[(first + j) // 8]) >> ((first + j) % 8) & 1) << j
         return (high << self.low_bits) | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.low_bits) | (bits << np.arange(self.low_bits)).sum(1)
+    def select(self, ks: np.ndarray) -> np.ndarray:
+        """The values at ks, any order: of each sample's stretch only the high bits that ks ask for are looked at."""
+        ks = np.asarray(ks, np.int64)
+        if not len(ks):
+            return ks
+        if not (0 <= ks.min() and ks.max() < self.n):
+            raise IndexError("beyond the sequence")
+        stretch, high = ks // SAMPLE, np.empty(len(ks), np.int64)
+        order = np.argsort(stretch, kind="stable")
+        used, first = np.unique(stretch[order], return_index=True)
+        for j, part in zip(used.tolist(), np.split(order, first[1:]), strict=True):
+            begin = int(self.samples[j]) // 8
+            end = int(self.samples[j + 1]) // 8 + 1 if j + 1 < len(self.samples) else len(self.high)
+            ones = 8 * begin + np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little"))
+            skip = int(np.searchsorted(ones, int(self.samples[j])))
+            high[part] = ones[skip + ks[part] - j * SAMPLE] - ks[part]
+        if not self.low_bits:
+            return high
+        at = ks[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return high << self.low_bits | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+
+    def spans(self, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents first .. last - 1 start and end."""
+        last = self.n if last is None else last
+        ends = self.select(np.arange(max(first - 1, 0), last))
+        return (np.concatenate([[0], ends[:-1]]), ends) if not first else (ends[:-1], ends[1:])
 
     def nbytes(self) -> int:
         return self.low.nbytes + self.high.nbytes + self.samples.nbytes
@@ -123,12 +146,60 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, EliasFano]:
 # --------------------------------------------------------------------------- encoding by the tokenizers library
 
 
+class WordTable:
+    """The ids of words that were seen before, by the words' 64-bit hashes: open addressing, asked for a whole block of
+    words at once."""
+
+    def __init__(self, slots: int = 1 << 21, most: int = 1 << 20, ids: int = 1 << 23):
+        self.mask, self.most, self.most_ids = slots - 1, most, ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: a free slot
+        self.index = np.zeros(self.mask + 1, np.int32)
+        self.lens, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.where(hashes == 0, np.uint64(1), hashes)
+        return hashes, (hashes >> np.uint64(17)).astype(np.int64) & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word in lens and starts; -1 for a word that isn't there."""
+        hashes, slot = self._slots(hashes)
+        out, open_ = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        while len(open_):
+            held = self.keys[slot]
+            hit = held == hashes
+            out[open_[hit]] = self.index[slot[hit]]
+            on = ~hit & (held != 0)
+            open_, hashes, slot = open_[on], hashes[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """Words that are not there yet, each once."""
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        place = np.arange(len(self.lens), len(self.lens) + len(ids), dtype=np.int32)
+        self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lens) - lens).astype(np.int32)])
+        self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat])
+        hashes, slot = self._slots(hashes)
+        while len(hashes):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[free]  # of several words for one slot the last one gets it
+            mine = self.keys[slot] == hashes
+            self.index[slot[mine]] = place[mine]
+            on = ~mine
+            hashes, place, slot = hashes[on], place[on], (slot[on] + 1) & self.mask
+
+    def full(self, words: int) -> bool:
+        return len(self.lens) + words > self.most or len(self.flat) > self.most_ids
+
+
 class WordEncoder:
     """Ids of pre-tokens by a byte-level BPE model of the tokenizers library. With added, the ids are those of the library's
     encode without special tokens around: a text that holds the string of an added token goes through it whole. Without,
-    such strings are encoded like any other."""
-
-    KEPT = 200_000  # words; beyond, the memo starts anew
+    such strings are encoded like any other. A word is encoded when its hash is first met; the table of words has a bound
+    and begins anew when it is full."""
 
     def __init__(self, model: str, added: bool = False):
         from tokenizers import Tokenizer
@@ -148,16 +219,17 @@ class WordEncoder:
         if set(letters) != set(ByteLevel.alphabet()):
             raise ValueError("unexpected byte alphabet")
         self.letters = {b: c for b, c in enumerate(letters)}
-        self.known: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= self.KEPT:
-                self.known.clear()
-            mapped = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = self.known[word] = [t.id for t in self.model.tokenize(mapped)]
-        return ids
+        self.known = WordTable()
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        sizes = [len(w.encode("utf-8")) for w in words]
+        mapped = "".join(words).encode("utf-8").decode("latin-1").translate(self.letters)  # a character for each byte
+        tokenize, out, at = self.model.tokenize, [], 0
+        for size in sizes:
+            out.append([t.id for t in tokenize(mapped[at : at + size])])
+            at += size
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with end_id after it, and the end of each."""
@@ -170,18 +242,23 @@ class WordEncoder:
         ids, ends = self._ordinary(rest, end_id)
         parts = np.split(ids, ends[:-1])
         for k in whole:
-            parts[k] = np.array([*self.tokenizer.encode(texts[k], add_special_tokens=False).ids, end_id], np.int64)
+            parts[k] = np.array([*self.tokenizer.encode(texts[k], add_special_tokens=False).ids, end_id], np.uint32)
         return np.concatenate(parts), np.cumsum(list(map(len, parts)))
 
     def _ordinary(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        codes, counts, words, _ = pretokens.block(texts)
-        found = list(map(self.word, words))
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(lens.sum()))
-        token_lens = lens[codes]
-        body = flat[expand((np.cumsum(lens) - lens)[codes], token_lens)]
-        ends = np.concatenate([[0], np.cumsum(token_lens)])[np.cumsum(counts)] + np.arange(1, len(texts) + 1)
-        ids = np.full(len(body) + len(texts), end_id, np.int64)
+        spans = pretokens.Spans(texts)
+        at = self.known.find(spans.hashes)
+        if len(fresh := np.flatnonzero(at < 0)):
+            if self.known.full(len(fresh)):
+                self.known.clear()
+                at, fresh = np.full(len(at), -1, np.int64), np.arange(len(at))
+            distinct, first = np.unique(spans.hashes[fresh], return_index=True)
+            self.known.add(distinct, self.words(spans.words(fresh[first])))
+            at[fresh] = self.known.find(spans.hashes[fresh])
+        token_lens = self.known.lens[at].astype(np.int64)
+        body = self.known.flat[expand(self.known.starts[at].astype(np.int64), token_lens)]
+        ends = np.concatenate([[0], np.cumsum(token_lens)])[np.cumsum(spans.counts)] + np.arange(1, len(texts) + 1)
+        ids = np.full(len(body) + len(texts), end_id, np.uint32)
         inner = np.ones(len(ids), bool)
         inner[ends - 1] = False
         ids[inner] = body
@@ -246,8 +323,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, content in zip(batch["start"].to_pylist(), batch["content"].to_pylist(), strict=True):
             docs, ids, ef = read_shard(content)
-            ends = ef.all()
-            begins = np.concatenate([[0], ends[:-1]])
+            begins, ends = ef.spans()
             if len(ids):
                 offsets = pa.array(np.append(begins, len(ids)), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64)))], ["doc_id", "start", "ids"])
@@ -273,8 +349,7 @@ def _read_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for start, content in zip(batch["start"].to_pylist(), batch["content"].to_pylist(), strict=True):
             docs, ids, ef = read_shard(content)
-            ends = ef.all()
-            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            begins, ends = ef.spans()
             wide = ids.astype("<u4")
             crcs = [crc32(wide[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -60,9 +60,8 @@ def test_token_files_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(MODEL)
-    own.encode_special_tokens = True
     uri = tokenbin.fresh_uri(docs)
-    manifest = tokenbin.write(docs, MODEL, uri, shard_ids=40, block_chars=30)
+    manifest = tokenbin.write(docs, MODEL, uri, shard_ids=40, block_chars=30, added=True)
     assert manifest.count() > 2
     want, start = [], 0
     for k, t, _ in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -102,8 +101,28 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 5), (1000, 3), (3000, 10**6), (700, 2**40)):
         values = np.sort(rng.integers(0, top, n))
         ef = tokenbin.EliasFano.of(values)
-        assert np.array_equal(ef.all(), values)
+        assert np.array_equal(ef.select(np.arange(n)), values)
+        ks = rng.integers(0, n, 50) if n else np.zeros(0, int)
+        assert np.array_equal(ef.select(ks), values[ks])
+        if n > 10:
+            begins, ends = ef.spans(3, 9)
+            assert np.array_equal(begins, values[2:8]) and np.array_equal(ends, values[3:9])
         assert all(ef.get(k) == values[k] for k in range(0, n, 7))
     assert tokenbin.EliasFano.of(np.cumsum(np.full(10_000, 600))).nbytes() < 10_000 * 2
-    with pytest.raises(IndexError):
-        ef.get(700)
+    for ask in (ef.get, lambda k: ef.select(np.array([k]))):
+        with pytest.raises(IndexError):
+            ask(700)
+
+
+def test_word_table_begins_anew_when_it_is_full():
+    encoder = tokenbin.WordEncoder(open(MODEL).read())
+    encoder.known = tokenbin.WordTable(slots=256, most=120)
+    texts = [" ".join(f"w{(k * 7 + j) % 400}" for j in range(40)) for k in range(60)]
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(MODEL)
+    for t in texts:
+        ids, ends = encoder.encode([t, "", t[:9]], 0)
+        want = [[*own.encode(x, add_special_tokens=False).ids, 0] for x in (t, "", t[:9])]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum(list(map(len, want))).tolist()
+    assert len(encoder.known.lens) <= 120
