@@ -8,13 +8,13 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 np.seterr(over="ignore")
@@ -83,6 +83,25 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def col(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(taken: Iterable[str]) -> Callable[..., str]:
+    """Gives names that no column has, in any spelling, and none twice."""
+    held = {c.lower() for c in taken}
+
+    def free(name: str, prefix: str = "fs_") -> str:
+        name = prefix + name
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        return name
+
+    return free
+
+
 def text_or_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 

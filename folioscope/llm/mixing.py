@@ -7,12 +7,15 @@ weight asks for. When a source has no blocks left, the weights of the others are
 from that slot: every document is placed exactly once, none is dropped or repeated.
 
 The schedule is made on the driver from one number per source and has at most ``MAX_BLOCKS`` blocks plus one per source:
-the block size grows with the table. It is broadcast up to ``BROADCAST_BLOCKS`` rows and joined by a shuffle beyond.
-Places within a source come from counts of hashed cells, so that no task sorts a whole source.
+the block size grows with the table. Documents are dealt into hashed cells of about ``CELL`` rows of a source at most;
+counts of cells, added up in two levels, give each cell its first rank, and the cell learns the slots of the few blocks
+that it reaches into. Documents meet their cell under the key by which they were ranked, so that a text moves once; no
+task sorts a whole source, and nothing is broadcast by this module.
 
 Defined results: a null source is a source of its own; a source without a weight gets the mean of the given weights, a
 weight that is not positive counts as the smallest positive one; null texts and doc_ids are placed like others; repeated
-rows are each placed; an empty table gives an empty result; all columns are kept, the added ones are named by parameter.
+rows are each placed (they are interchangeable); an empty table gives an empty result; all columns are kept, the added
+ones are named by parameter, and an input column of such a name comes back as <name>_input.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.llm.common import stable
+from folioscope.llm.common import col, free_names, stable
 
-MAX_BLOCKS, BROADCAST_BLOCKS = 100_000, 200_000
-LEAST_BLOCK, CELL = 16, 4096
+MAX_BLOCKS = 100_000
+LEAST_BLOCK, CELL, CELLS = 16, 512, 4096
 TEMPERATURE = 0.5
 
 
@@ -72,11 +75,26 @@ def default_weights(counts: Mapping[str | None, int], temperature: float = TEMPE
     return {s: (n / total) ** temperature for s, n in counts.items()}
 
 
+def _first_ranks(held: DataFrame, key: str, cell: str, n: str, rank: str, free) -> DataFrame:
+    """held (key, cell, n) with the rank of each cell's first row in its source: sums within stretches of cells, then
+    over the stretches, so that the largest window is one of a source's stretches."""
+    stretch, total = free("stretch"), free("total")
+    held = held.withColumn(stretch, F.expr(f"{cell} div {CELLS}"))
+    inner = Window.partitionBy(key, stretch).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(key).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy(key, stretch).agg(F.sum(n).alias(total))
+    sums = sums.withColumn(total, F.coalesce(F.sum(total).over(outer), F.lit(0)))
+    ranked = held.withColumn(rank, F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    return ranked.join(sums, [key, stretch]).withColumn(rank, F.col(rank) + F.col(total)).select(key, cell, n, rank)
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int | None = None, source: str = "source", slot: str = "mix_slot", place: str = "mix_place") -> DataFrame:
     """docs with two more columns: the slot of the row's block, and the row's place in the whole order (from 0)."""
     docs = stable(docs, "mixing-input")
     spark = docs.sparkSession
-    per_source = {r[0]: r[1] for r in docs.groupBy(F.col(source)).count().collect()}  # a row for each source
+    kinds = {c: col(c) for c in docs.columns}
+    text = kinds[source].cast("string")
+    per_source = {r[0]: r[1] for r in docs.groupBy(text.alias("s")).count().collect()}  # a row for each source
     total = sum(per_source.values())
     size = block or max(LEAST_BLOCK, -(-total // MAX_BLOCKS))
     given = dict(weights) if weights is not None else default_weights(per_source)
@@ -84,28 +102,33 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     order = schedule({s: -(-n // size) for s, n in per_source.items()}, {s: given.get(s, mean) for s in per_source})
     starts, at = [], 0
     for k, (s, b) in enumerate(order):
-        starts.append((s, b, k, at))
+        starts.append(("n" if s is None else f"s{s}", b, k, at))
         at += min(size, per_source[s] - b * size)
-    plan = spark.createDataFrame(starts, "__mix_source string, __mix_block long, __mix_slot long, __mix_start long")
-    plan = F.broadcast(plan) if len(starts) <= BROADCAST_BLOCKS else plan
 
+    free = free_names([*docs.columns, slot, place])
+    key, cell, hashed, tie, n, rank, blocks = map(free, ("key", "cell", "hash", "tie", "n", "rank", "blocks"))
+    plan = spark.createDataFrame(starts, f"{key} string, block long, slot long, start long")
     cells = max(1, -(-total // CELL))
-    key = F.xxhash64(*[F.col(c) for c in ("doc_id", source) if c in docs.columns])
-    rows = docs.withColumn("__mix_hash", key).withColumn("__mix_cell", F.pmod(F.shiftright("__mix_hash", 8), F.lit(cells))).withColumn("__mix_source", F.col(source).cast("string"))
-    held = rows.groupBy("__mix_source", "__mix_cell").agg(F.count(F.lit(1)).alias("__mix_held"))
-    # a row for each source and cell of some thousand documents: few enough for one task per source
-    before = held.withColumn("__mix_before", F.sum("__mix_held").over(Window.partitionBy("__mix_source").orderBy("__mix_cell")) - F.col("__mix_held")).drop("__mix_held")
-    same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    ties = [c for c in ("__mix_hash", "doc_id", "text") if c in rows.columns]
-    ranked = rows.withColumn("__mix_row", F.row_number().over(Window.partitionBy("__mix_source", "__mix_cell").orderBy(*ties)) - 1)
-    offsets = F.broadcast(before) if cells * max(1, len(per_source)) <= BROADCAST_BLOCKS else before
-    joined = ranked.join(offsets, same(ranked, offsets, "__mix_source", "__mix_cell"), "left").drop(offsets["__mix_source"]).drop(offsets["__mix_cell"])
-    joined = joined.withColumn("__mix_rank", F.coalesce("__mix_before", F.lit(0)) + F.col("__mix_row")).withColumn("__mix_block", F.expr(f"__mix_rank div {size}"))
-    placed = joined.join(plan, same(joined, plan, "__mix_source", "__mix_block"), "left")
-    return placed.select(*[docs[c] for c in docs.columns], F.col("__mix_slot").alias(slot), (F.col("__mix_start") + F.col("__mix_rank") % size).alias(place))
+    known = [kinds[c] for c in ("doc_id", source, "text") if c in kinds]
+    digest = F.unhex(F.md5(kinds["text"].cast("string").cast("binary"))) if "text" in kinds else F.lit(None).cast("binary")
+    rows = docs.withColumns({key: F.coalesce(F.concat(F.lit("s"), text), F.lit("n")), hashed: F.xxhash64(*known), tie: digest})
+    rows = rows.withColumn(cell, F.pmod(F.shiftright(hashed, 8), F.lit(cells)))
+    held = rows.groupBy(key, cell).agg(F.count(F.lit(1)).alias(n))
+    ranked = _first_ranks(held, key, cell, n, rank, free)
+    # each cell with the slots of the blocks that its rows belong to
+    reached = ranked.withColumn("block", F.explode(F.sequence(F.expr(f"{rank} div {size}"), F.expr(f"({rank} + {n} - 1) div {size}"))))
+    known_slots = reached.join(plan, [key, "block"]).groupBy(key, cell).agg(F.first(rank).alias(rank), F.sort_array(F.collect_list(F.struct("block", "slot", "start"))).alias(blocks))
+    ties = [hashed, *(["doc_id"] if "doc_id" in kinds else []), tie]
+    numbered = rows.withColumn(n, F.row_number().over(Window.partitionBy(key, cell).orderBy(*ties)) - 1)
+    placed = numbered.join(known_slots, [key, cell]).withColumn(rank, F.col(rank) + F.col(n))
+    mine = F.element_at(blocks, (F.expr(f"{rank} div {size}") - F.element_at(blocks, 1)["block"] + 1).cast("int"))
+    named = [kinds[c].alias(free(f"{c}_input", "") if c.lower() in (slot.lower(), place.lower()) else c) for c in docs.columns]
+    return placed.select(*named, mine["slot"].alias(slot), (mine["start"] + F.col(rank) % size).alias(place))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, in the order of the mix and with the columns they had."""
-    placed = mix(docs, slot="__mix_slot_out", place="__mix_place_out", **options)
-    return placed.repartitionByRange("__mix_place_out").sortWithinPartitions("__mix_place_out").drop("__mix_slot_out", "__mix_place_out")
+    free = free_names(docs.columns)
+    slot, place = free("slot"), free("place")
+    placed = mix(docs, slot=slot, place=place, **options)
+    return placed.repartitionByRange(place).sortWithinPartitions(place).drop(slot, place)

@@ -261,3 +261,74 @@ def test_mix_places_every_row_once(spark):
     assert again == {(r.mix_place, r.doc_id) for r in got}
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mixed_rows(df).columns == df.columns
+
+
+def slot_by_slot(blocks, weights):
+    """The schedule by its definition: in each slot look at every source's next block."""
+    from fractions import Fraction
+
+    share = {s: Fraction(w).limit_denominator(10**6) for s, w in weights.items()}
+    done, out = dict.fromkeys(blocks, 0), []
+    live = sorted((s for s in blocks if blocks[s]), key=lambda s: (s is None, s or ""))
+    while live:
+        total, phase, slot = sum(share[s] for s in live), dict.fromkeys(live, 0), 0
+        while all(done[s] < blocks[s] for s in live):
+            open_ = []
+            for k, s in enumerate(live):
+                w, j = share[s] / total, phase[s]
+                if slot >= j / w // 1:
+                    open_.append((-(-(j + 1) / w // 1), k, s))
+            if open_:
+                s = min(open_)[2]
+                out.append((s, done[s]))
+                done[s] += 1
+                phase[s] += 1
+            slot += 1
+        live = [s for s in live if done[s] < blocks[s]]
+    return out
+
+
+def test_schedule_equals_slot_by_slot():
+    rng = random.Random(9)
+    for _ in range(60):
+        names = rng.sample(["a", "b", "c", "d", None], rng.randrange(1, 6))
+        blocks = {s: rng.randrange(0, 40) for s in names}
+        weights = {s: rng.choice([0.1, 0.25, 0.3, 0.5, 1.0, 3.0]) for s in names}
+        assert mixing.schedule(blocks, weights) == slot_by_slot(blocks, weights)
+
+
+def test_places_equal_a_plain_reckoning(spark):
+    """Ranks by sorting each source, places by walking the schedule."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text {k % 97}", ["a", "a", "a", "b", None][k % 5]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.mix_slot, r.mix_place) for r in mixing.mix(df, block=16).collect()}
+    cells = -(-len(rows) // mixing.CELL)
+    keyed = df.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("h")).collect()
+    queues = {}
+    for r in sorted(keyed, key=lambda r: ((r.h >> 8) % cells, r.h, r.doc_id)):
+        queues.setdefault(r.source, []).append(r.doc_id)
+    counts = {s: len(q) for s, q in queues.items()}
+    at = 0
+    for slot, (s, b) in enumerate(mixing.schedule({s: -(-n // 16) for s, n in counts.items()}, mixing.default_weights(counts))):
+        for doc in queues[s][16 * b : 16 * (b + 1)]:
+            assert got[doc] == (slot, at)
+            at += 1
+    assert at == len(rows)
+
+
+def test_mix_with_clashing_columns_and_long_texts(spark):
+    names = ["fs_key", "fs_cell", "fs_hash", "fs_rank", "block", "slot", "start", "mix_slot", "MIX_PLACE", "a.b", "__mix_hash"]
+    rows = [(k, "word " * 50_000 if k == 3 else f"t{k}", "ab"[k % 2], *range(k, k + len(names))) for k in range(50)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names)
+    df = spark.createDataFrame(rows, schema)
+    out = mixing.mix(df)
+    assert out.columns == ["doc_id", "text", "source", *names[:7], "mix_slot_input", "MIX_PLACE_input", *names[9:], "mix_slot", "mix_place"]
+    got = out.collect()
+    assert sorted(r.mix_place for r in got) == list(range(50))
+    assert sorted(tuple(r)[:-2] for r in got) == sorted(rows)
+    back = mixing.mixed_rows(df)
+    assert back.columns == df.columns and sorted(map(tuple, back.collect())) == sorted(rows)
+    empty = df.drop("text").limit(0)
+    assert mixing.mix(empty).count() == 0 and mixing.mix(df.drop("text")).count() == 50
