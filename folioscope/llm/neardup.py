@@ -32,11 +32,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from folioscope.llm.common import blocks, mix, partitions, release, span_hashes, stable, stored, texts_of
+from folioscope.llm.common import blocks, col, free_names, mix, partitions, release, span_hashes, stable, stored, texts_of
 
 U64 = np.uint64
 WORDS = 5
@@ -49,8 +48,10 @@ BLOCK = 256
 LEAST = 256
 #: About so many partners of a centre are compared in one group.
 PARTNERS = 64
-#: Up to so many ids (8 bytes each) are broadcast; more are shuffled.
-BROADCAST_IDS = 2_000_000
+#: A bitmap of hashed keys has 2^27 bits in pages of 32,768 bits: 4,096 rows of 4 KB, at most 16 MB whatever the input.
+PAGES, PAGE = 4096, 32768
+#: From so many rows on, the rows of one key are dealt over many tasks.
+HEAVY = 1024
 _CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x8EBC6AF09C88C6E3))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -146,9 +147,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    a = reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = reps.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(a, "a").join(b, "b")
+    """pairs of similar sizes with both sketches."""
+    known = _likely(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    a = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    b = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(a, "a").join(b, "b").filter(_similar_sizes("n_a", "n_b")).drop("n_a", "n_b")
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,17 +187,50 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _needed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is among the distinct ids. Few ids are broadcast, so that the scan drops the others'
-    rows where it reads them; else both sides are shuffled."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PAGES * PAGE))
+
+
+def _bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(page, bits) of the hashed keys: a table of bounded size, at all sizes of the input."""
+    places = keys.select(_place(key).alias("place"))
+    return places.groupBy(F.expr(f"place div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.col("place") % PAGE).alias("bits"))
+
+
+def _marked(df: DataFrame, bitmap: DataFrame, key: str, mark: str) -> DataFrame:
+    """df with a boolean column: false only if the row's key is not among the bitmap's keys."""
+    free = free_names([*df.columns, mark])
+    place, page, bits = free("place"), free("page"), free("bits")
+    bitmap = bitmap.select(F.col("page").alias(page), F.col("bits").alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.expr(f"int({place} % {PAGE} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col(place) % 8).cast("int")) == 1
+    placed = df.withColumn(place, _place(key)).withColumn(page, F.expr(f"{place} div {PAGE}"))
+    return placed.join(F.broadcast(bitmap), page, "left").withColumn(mark, F.coalesce(bit, F.lit(False))).drop(place, page, bits)
+
+
+def _likely(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among ids, and a few others, dropped where they are read. Callers join exactly."""
+    mark = free_names(df.columns)("likely")
+    return _marked(df, _bitmap(ids, key), key, mark).filter(mark).drop(mark)
+
+
+def _keyed_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with the facts (one row for each key, with held, the number of rows) of their key. Rows of a key that holds
+    more than HEAVY are dealt by the column ``by`` over as many groups as there are partitions, and the key's facts are
+    repeated for each. Which keys are heavy is asked of one bitmap on both sides, so that its few wrong marks only repeat
+    some more facts."""
+    n = partitions(rows.sparkSession)
+    heavy = _bitmap(facts.filter(F.col("held") > HEAVY), key)
+    dealt = _marked(rows, heavy, key, "heavy").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(F.lit(7), by), F.lit(n))).otherwise(0).cast("long"))
+    spread = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    repeated = _marked(facts, heavy, key, "heavy").withColumn("salt", F.explode(spread))
+    return dealt.drop("heavy").join(repeated.drop("heavy"), [key, "salt"]).drop("salt")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Those of the pairs (a < b, distinct) whose full sets are similar enough; written to the shared folder."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_needed(docs, ids, "doc_id").mapInArrow(_member_sets, "id long, shingles binary"), f"{label}-sets")
+    sets = stored(_likely(docs, ids, "doc_id").mapInArrow(_member_sets, "id long, shingles binary"), f"{label}-sets")
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt"))
     partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
@@ -281,17 +317,18 @@ def _families(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(key, id, n, component): the members of all buckets of several components, once for each family of buckets."""
     named = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "held")
-    open_rows = stored(named.join(mixed, "key"), "open-buckets")
+    open_rows = stored(_keyed_join(named, stored(mixed, "open-keys"), "key", "id"), "open-buckets")
     homes = open_rows.groupBy("id").agg(F.max(F.struct("held", "key")).alias("home"))
-    families = open_rows.select("key", "id").join(homes, "id").groupBy("key").agg(F.max("home").alias("family"))
-    return stored(open_rows.join(families, "key").select(F.col("family.key").alias("key"), "id", "n", "component").distinct(), "families")
+    families = open_rows.select("key", "id", "held").join(homes, "id").groupBy("key").agg(F.max("home").alias("family"), F.first("held").alias("held"))
+    members = _keyed_join(open_rows.drop("held"), stored(families, "family-keys"), "key", "id")
+    return stored(members.select(F.col("family.key").alias("key"), "id", "n", "component").distinct(), "families")
 
 
 def _rest_pairs(named: DataFrame, sketched: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (a, b) in families (key, id, n, component) of buckets; sketched: (id, sketch, least) of their members."""
     shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = shares.groupBy("key").agg(F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).select("key", "held", F.col("top.component").alias("main"))
-    rest = named.join(largest, "key").join(sketched, "id")
+    rest = _keyed_join(named, stored(largest, "family-sizes"), "key", "id").join(sketched, "id")
     cells = F.ceil(F.col("held") / BLOCK).cast("long")
     rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), cells)).withColumn("member", F.struct("id", "component", "n", "sketch", "least"))
     sides = rest.groupBy("key", "cell").agg(F.collect_list("member").alias("right"), F.collect_list(F.when(F.col("component") != F.col("main"), F.col("member"))).alias("left"))
@@ -315,11 +352,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = reps.select("digest", "id")
 
     # star round
-    bands = reps.mapInArrow(_band_rows, "key long, id long, n long")
-    centres = bands.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("id", "n")).alias("centre")).filter("held > 1")
-    rows = stored(bands.join(centres, "key").select("key", "id", "n", "held", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")), "buckets")
-    stars = rows.filter((F.col("id") != F.col("centre")) & _similar_sizes("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stored(_with_sketches(stars, reps).mapInArrow(_promising, "a long, b long").distinct(), "star-pairs")
+    bands = reps.select("id", "n_shingles", "sketch").mapInArrow(_band_rows, "key long, id long, n long")
+    centres = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("centre")).filter("held > 1"), "centres")
+    # most buckets hold one row: the others' keys fit a bitmap, and only their rows move
+    rows = stored(_keyed_join(_likely(bands, centres, "key"), centres, "key", "id").select("key", "id", "n", "centre"), "buckets")
+    stars = rows.filter(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = stored(_with_sketches(stored(stars, "stars"), reps).mapInArrow(_promising, "a long, b long").distinct(), "star-pairs")
     links = confirmed(pairs, docs, "star-links")
     found = components(links)
 
@@ -329,7 +367,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for k in range(2):
         families = _families(rows, found)
         # components only grow: the members of the second round are among those of the first
-        sketched = stored(_needed(sketched, families.select("id").distinct(), "id"), f"open-sketches-{k}")
+        sketched = stored(_likely(sketched, families, "id"), f"open-sketches-{k}")
         more = stored(_rest_pairs(families, sketched, best_only=k == 0).join(pairs, ["a", "b"], "left_anti"), f"rest-pairs-{k}")
         fresh = confirmed(more, docs, f"rest-links-{k}")
         known.append(fresh)
@@ -350,8 +388,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of the smallest doc_id (of repeated rows of
-    that doc_id the one of the smallest text); rows with a null doc_id stay."""
+    that doc_id the one of the smallest text, and of those the one of the smallest hash of all columns); rows with a null
+    doc_id stay."""
     docs = stable(docs, "dedup-input")
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return first.filter("__row = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("held"))
+    kept = stored(found.filter("kept").select("doc_id", "held"), "kept")
+    single = docs.join(kept.filter("held = 1"), "doc_id", "left_semi").select(*map(col, docs.columns))
+    # repeated doc_ids are combined where they are read, so that none gathers its rows in one task
+    several = kept.filter("held > 1").select("doc_id")
+    free = free_names(docs.columns)
+    row, every = free("row"), F.struct(*map(col, docs.columns))
+    first = F.min_by(every, F.struct(F.col("text"), F.xxhash64(F.to_json(every))))
+    chosen = _likely(docs, several, "doc_id").groupBy("doc_id").agg(first.alias(row)).join(several, "doc_id", "left_semi")
+    chosen = chosen.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return single.unionByName(chosen).unionByName(docs.filter("doc_id is null"))

@@ -53,7 +53,9 @@ def corpus(seed=1):
     return rows
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 3)  # so that buckets of four rows are dealt like hot ones
+    monkeypatch.setattr(neardup, "BLOCK", 32)
     rows = corpus()
     df = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, digest string, sketch string")
     assert got(df) == brute(rows)
@@ -92,3 +94,40 @@ def test_sketches_estimate_similarity():
     small = neardup.sketches([np.array([5], np.uint64), np.zeros(0, np.uint64)])
     assert len(set(small[0].tolist())) == 1
     assert not small[1].any()
+
+
+def test_bitmap_marks_all_of_its_keys_and_few_others(spark):
+    df = spark.range(20_000).selectExpr("id", "id as place", "id as page", "cast(id as string) as bits")
+    kept = {r.id for r in neardup._likely(df, df.filter("id % 4 = 0"), "id").collect()}
+    assert kept >= set(range(0, 20_000, 4)) and len(kept) < 5020
+    assert neardup._likely(df, df.limit(0), "id").count() == 0
+
+
+def test_heavy_keys_are_dealt_and_keep_their_facts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 50)
+    rows = spark.range(3000).selectExpr("case when id < 1000 then 1 else id end as key", "id")
+    facts = rows.groupBy("key").count().selectExpr("key", "count as held", "key * 2 as twice")
+    out = neardup._keyed_join(rows, facts, "key", "id")
+    assert out.columns == ["key", "id", "held", "twice"] and out.count() == 3000
+    assert out.filter("twice <> key * 2 or held <> case when key = 1 then 1000 else 1 end").count() == 0
+    dealt = out.filter("key = 1").selectExpr("spark_partition_id() as p").distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert dealt.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_deduplicated_keeps_one_row_of_a_component_and_all_columns(spark):
+    names = ["__row", "fs_row", "place", "page", "bits", "held", "kept", "likely", "a.b"]
+    texts = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words in here now"), (3, "another text of this one id"), (3, "another text of this one id"), (None, "a b c d e f g"), (None, None), (4, None), (5, ""), (6, "x " * 30_000)]
+    rows = [(k, t, *range(j, j + len(names))) for j, (k, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names))
+    out = neardup.deduplicated(df)
+    assert out.columns == df.columns
+    got_rows = sorted(map(tuple, out.collect()), key=str)
+    # of the two equal texts of doc_id 3 one row stays, whichever its other columns hash to
+    left = [r for r in got_rows if r[0] != 3]
+    assert left == sorted((rows[k] for k in (0, 5, 6, 7, 8, 9)), key=str)
+    assert [r in (rows[3], rows[4]) for r in got_rows if r[0] == 3] == [True]
+    assert neardup.deduplicated(df.limit(0)).count() == 0
