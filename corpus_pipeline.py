@@ -10,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscope.llm import bpe, langid, mixing, neardup, toxicity
 from folioscope.llm.common import stored, table
@@ -44,16 +45,22 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of each document, with its place in the order of the mix.
 
-    A place is of one row, so that documents of the same or of no doc_id keep theirs."""
+    Both sides are narrow: digests and places meet by doc_id and the text's digest, and rows that share both are
+    interchangeable and numbered, so that documents of the same or of no doc_id keep a place each."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    placed = stored(mixing.mix(docs).select("mix_place", "doc_id", "text"), "placed")
-    found = bpe.digests(bpe.encode(placed.select(F.col("mix_place").alias("doc_id"), "text"), ranks), ranks)
-    return found.withColumnRenamed("doc_id", "mix_place").join(placed.select("mix_place", "doc_id"), "mix_place").select("doc_id", "mix_place", *found.columns[1:])
+    found = bpe.digests(bpe.encode(docs, ranks), ranks)
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    places = mixing.mix(docs).select("mix_place", F.col("doc_id").cast("long").alias("place_of"), text.alias("text_sha256"))
+    same = lambda doc, text, order: F.row_number().over(Window.partitionBy(doc, text).orderBy(order))
+    found = found.withColumn("copy", same("doc_id", "decoded_sha256", "n_tokens"))
+    places = places.withColumn("nth", same("place_of", "text_sha256", "mix_place"))
+    met = found.join(places, found.doc_id.eqNullSafe(places.place_of) & (found.decoded_sha256 == places.text_sha256) & (found.copy == places.nth))
+    return met.select("doc_id", "mix_place", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("language", language), ("toxicity", clean), ("near duplicates", distinct), ("mixing", mixed), ("tokens", tokens)]
 
-#: Trained models and minima of hashes have no SQL; tests compare the stages with brute force.
+#: Trained models and minima of hashes have no SQL; tests compare the stages with plain reckoning on small tables.
 ORACLE_SQL = None
 
 
