@@ -3,10 +3,12 @@
 1. Voters are found on a bounded sample of labelled rows (``SAMPLE`` rows, the smallest by a hash of doc_id): words and
    word beginnings that, from one, two or three occurrences on, stand in toxic documents far more often than in others
    (lexicon voters); shares of capitals, of "!" and of repeated words (pattern voters); and one clean voter, which votes
-   against when no lexicon voter speaks. The given label is a pair of voters as well.
-2. A generative label model of the votes estimates, by expectation maximisation, how often each voter speaks on toxic
-   and on clean documents, and from the residuals the correlations of voters; a voter counts the less the more it
-   repeats others. It gives each sampled document a posterior label.
+   against when no lexicon voter speaks.
+2. A generative label model estimates the voters' accuracies and correlations: voters whose residuals correlate form a
+   clique, and how many of a clique speak (up to ``STATES``) is one vote, whose rate on toxic and on clean documents
+   expectation maximisation finds; silence says nothing. Each sampled document gets a posterior label from the votes
+   alone: the given labels don't vote. They calibrate the voters: the rates and residuals counted on them are where the
+   model starts, and count as much as the documents in each round.
 3. A linear classifier over the voters' counts is trained on the posterior labels.
 4. Every whole text is scored in one scan: an Aho-Corasick automaton finds the terms, the classifier adds up.
 
@@ -31,12 +33,18 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import blocks, bounded, crc_mod, texts_of
 
 SAMPLE = 20_000
-TERMS, CANDIDATES = 160, 4000
+#: Bounds of the lexicon: terms that are counted, ranked and chosen.
+COUNTED, CANDIDATES, TERMS = 400_000, 4000, 160
+#: The weight of the calibration against the documents' own in each round.
+CALIBRATION = 1.0
 LENGTHS = (4, 5, 6, 7)
 LEVELS = (1, 2, 3)
 MIN_DOCS, MIN_PRECISION = 4, 0.7
-#: Voters whose residuals correlate more than this repeat each other.
-CORRELATED = 0.3
+#: A term must stand in toxic documents at least so often even at the lower end of a 90 % interval (Wilson), as terms are
+#: chosen on the rows that calibrate them.
+LEAST_PRECISION = 0.5
+#: Voters whose residuals correlate more than this are of one clique, of which so many votes count at most.
+CORRELATED, STATES = 0.15, 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -92,6 +100,12 @@ def unlike(candidates: list[tuple[str, int, int, int]]) -> list[tuple[str, int]]
     return [(t, k) for t, k, _, _ in chosen]
 
 
+def surely(toxic: int, every: int, z: float = 1.645) -> float:
+    """The lower end of Wilson's interval of toxic / every."""
+    share = toxic / every
+    return (share + z * z / (2 * every) - z * (share * (1 - share) / every + z * z / (4 * every * every)) ** 0.5) / (1 + z * z / every)
+
+
 class Matcher:
     """Counts terms in texts."""
 
@@ -141,33 +155,47 @@ def matcher(terms: tuple[str, ...]) -> Matcher:
 # --------------------------------------------------------------------------- label model
 
 
-def label_model(votes: np.ndarray, polarity: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row; rate of each voter's speaking given each class; correlations of voters.
-
-    votes: rows x voters, whether a voter speaks; silence says nothing. polarity: 1 for voters for toxic, 0 against.
-    start: a first posterior."""
-    q, n = start.astype(float), len(votes)
-    fired = votes.astype(float)
-    weight = np.ones(votes.shape[1])
-    corr = np.eye(votes.shape[1])
-    rates = np.zeros((2, votes.shape[1]))
-    for k in range(rounds):
-        for y, mass in ((1, q), (0, 1 - q)):
-            rates[y] = (mass @ fired + 0.5) / (mass.sum() + 1)
-        # a voter never counts against its own polarity
+def cliques(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The clique of each voter: voters are linked if their votes, less the mean of the row's class, correlate."""
+    votes = votes.astype(float)
+    rest = votes - np.stack([votes[labels == k].mean(0) if (labels == k).any() else np.zeros(votes.shape[1]) for k in (0, 1)])[labels]
+    size = np.sqrt((rest**2).sum(0)) + 1e-9
+    linked = rest.T @ rest / np.outer(size, size) > CORRELATED
+    np.fill_diagonal(linked, True)
+    least = np.arange(len(linked))
+    while (now := np.where(linked, least, len(linked)).min(1)).tolist() != least.tolist():
+        least = now
+    return np.unique(least, return_inverse=True)[1]
+
+
+def label_model(votes: np.ndarray, polarity: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row; rate of each clique's states (clean or toxic x clique x number that speak); the clique of
+    each voter.
+
+    votes: rows x voters, whether a voter speaks. polarity: 1 for voters for toxic, 0 against; a voter never counts
+    against its own. labels: 0 or 1, by which the voters are calibrated; rows of equal votes have equal posteriors."""
+    of = cliques(votes, labels)
+    n, m = len(votes), int(of.max()) + 1
+    spoke = np.zeros((n, m), np.int64)
+    np.add.at(spoke.T, of, votes.T.astype(np.int64))
+    state = np.minimum(spoke, STATES)[:, :, None] == np.arange(STATES + 1)
+    for_toxic = np.array([polarity[of == k].max() for k in range(m)])[:, None] == 1
+    prior = float(np.clip(labels.mean(), 0.01, 0.99))
+
+    def rates_of(mass: np.ndarray, held: float = 0.0, first: np.ndarray | float = 0.0) -> np.ndarray:
+        return (np.einsum("n,nms->ms", mass, state) + 0.5 + held * first) / (mass.sum() + 0.5 * (STATES + 1) + held)
+
+    first = np.stack([rates_of((labels == k).astype(float)) for k in (0, 1)])
+    rates, q = first, np.full(n, prior)
+    held = CALIBRATION * n * np.array([1 - prior, prior])
+    for _ in range(rounds):
         ratio = np.log(rates[1] / rates[0])
-        ratio = np.where(polarity == 1, np.maximum(ratio, 0), np.minimum(ratio, 0))
-        if k in (0, rounds // 2):
-            rest = fired - np.outer(q, rates[1]) - np.outer(1 - q, rates[0])
-            size = np.sqrt((rest**2).sum(0)) + 1e-9
-            corr = (rest.T @ rest) / np.outer(size, size)
-            near = corr - np.eye(len(corr))
-            weight = 1 / (1 + np.where(near > CORRELATED, near, 0).sum(1))
-        logit = np.log(prior / (1 - prior)) + fired @ (ratio * weight)
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        q = np.clip(q, 1e-4, 1 - 1e-4)
-    assert len(q) == n
-    return q, rates, corr
+        ratio = np.where(for_toxic, np.maximum(ratio, 0), np.minimum(ratio, 0))
+        ratio[:, 0] = 0  # silence
+        logit = np.log(prior / (1 - prior)) + np.einsum("nms,ms->n", state, ratio)
+        q = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1e-4, 1 - 1e-4)
+        rates = np.stack([rates_of(mass, h, f) for mass, h, f in zip((1 - q, q), held, first, strict=True)])
+    return q, rates, of
 
 
 def fit_linear(x: np.ndarray, q: np.ndarray, steps: int = 800, decay: float = 1e-5, rate: float = 0.5) -> np.ndarray:
@@ -228,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
         return Model([], [], None, positive / total if total else 0.0)
     # terms of several toxic documents of the sample: their number is bounded by the sample's size
     toxic = picked.filter("toxic = 1").select("text").mapInArrow(_toxic_counts, "term string, level int, toxic long").groupBy("term", "level").agg(F.sum("toxic").alias("toxic"))
-    likely = toxic.filter(F.col("toxic") >= MIN_DOCS).collect()
+    likely = toxic.filter(F.col("toxic") >= MIN_DOCS).orderBy(F.desc("toxic"), "term", "level").limit(COUNTED).collect()
     likely.sort(key=lambda r: (r.term, r.level))
     index = spark.sparkContext.broadcast({(r.term, r.level): k for k, r in enumerate(likely)})
     every = {r.at: r.every for r in picked.select("text").mapInArrow(lambda it: _every_counts(it, index.value), "at long, every long").groupBy("at").agg(F.sum("every").alias("every")).collect()}
@@ -236,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
     def gain(r, n: int) -> float:
         return r.toxic * float(np.log(((r.toxic + 0.5) / (positive + 1)) / ((n - r.toxic + 0.5) / (total - positive + 1))))
 
-    scored = [(-gain(r, every[k]), r.term, r.level, r.toxic, every[k]) for k, r in enumerate(likely) if r.toxic >= MIN_PRECISION * every[k]]
+    scored = [(-gain(r, every[k]), r.term, r.level, r.toxic, every[k]) for k, r in enumerate(likely) if r.toxic >= MIN_PRECISION * every[k] and surely(r.toxic, every[k]) >= LEAST_PRECISION]
     top = [r[1:] for r in sorted(scored)[:CANDIDATES]]
     voters_named = unlike(top)[:TERMS]
     terms = sorted({t for t, _ in voters_named})
@@ -249,13 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
     patterns = np.array([r.patterns for r in data])
     model = Model(terms, voters, None)
     fired = counts[:, model.term] >= model.level
-    # the given label, of whatever accuracy, is a pair of voters too
-    votes = np.concatenate([fired, patterns > _PATTERN_BOUNDS, y[:, None] == 1, ~fired.any(1)[:, None], y[:, None] == 0], 1)
-    polarity = np.append(np.ones(votes.shape[1] - 2), [0, 0])
-    # the voters' rates on labelled rows are where the label model starts
-    rate = (y @ votes + 0.5) / (y.sum() + 1), ((1 - y) @ votes + 0.5) / ((1 - y).sum() + 1)
-    start = 1 / (1 + np.exp(-np.clip(votes @ np.log(rate[0] / rate[1]) + np.log(y.mean() / (1 - y.mean())), -30, 30)))
-    posterior, _, _ = label_model(votes, polarity, float(np.clip(y.mean(), 0.01, 0.99)), start)
+    votes = np.concatenate([fired, patterns > _PATTERN_BOUNDS, ~fired.any(1)[:, None]], 1)
+    polarity = np.append(np.ones(votes.shape[1] - 1), 0)
+    posterior, _, _ = label_model(votes, polarity, y.astype(np.int64))
     model.weights = fit_linear(model.features(counts, patterns), posterior)
     return model
 

@@ -89,15 +89,65 @@ def test_toxicity_on_held_out_documents(spark, docs):
     assert {r.score for r in toxicity.score(docs, one_sided).collect()} == {0.0}
 
 
-def test_label_model_finds_rates():
-    r = np.random.default_rng(1)
-    y = r.random(4000) < 0.3
-    votes = np.stack([r.random(4000) < np.where(y, a, b) for a, b in ((0.6, 0.02), (0.5, 0.05), (0.4, 0.01))], 1)
-    votes = np.concatenate([votes, votes[:, :1], ~votes.any(1)[:, None]], 1)
-    q, rates, corr = toxicity.label_model(votes, np.array([1, 1, 1, 1, 0]), 0.3, np.where(votes[:, :3].any(1), 0.8, 0.1))
+def drawn_votes(seed, n=1500):
+    r = np.random.default_rng(seed)
+    y = r.random(n) < 0.3
+    votes = np.stack([r.random(n) < np.where(y, a, b) for a, b in ((0.6, 0.02), (0.5, 0.05), (0.4, 0.01))], 1)
+    noisy = votes[:, :1] ^ (r.random((n, 1)) < 0.02)
+    return y, np.concatenate([votes, noisy, ~votes.any(1)[:, None]], 1), np.array([1, 1, 1, 1, 0])
+
+
+def plain_label_model(votes, polarity, labels, of, rounds):
+    """The label model by loops over rows, cliques and states."""
+    import math
+
+    n, names, top = len(votes), sorted(set(of.tolist())), toxicity.STATES
+    states = [[min(top, sum(int(v) for v, c in zip(row, of, strict=True) if c == k)) for k in names] for row in votes]
+    prior = min(0.99, max(0.01, sum(labels) / n))
+
+    def rates(mass, held, first):
+        return [[(sum(m for m, s in zip(mass, states, strict=True) if s[k] == j) + 0.5 + held * first[k][j]) / (sum(mass) + 0.5 * (top + 1) + held) for j in range(top + 1)] for k in range(len(names))]
+
+    nothing = [[0.0] * (top + 1) for _ in names]
+    first = [rates([float(x == k) for x in labels], 0, nothing) for k in (0, 1)]
+    now, q = first, []
+    for _ in range(rounds):
+        q = []
+        for s in states:
+            logit = math.log(prior / (1 - prior))
+            for k, c in enumerate(names):
+                if s[k]:
+                    ratio = math.log(now[1][k][s[k]] / now[0][k][s[k]])
+                    logit += max(ratio, 0) if any(p == 1 for p, x in zip(polarity, of, strict=True) if x == c) else min(ratio, 0)
+            q.append(min(1 - 1e-4, max(1e-4, 1 / (1 + math.exp(-min(30, max(-30, logit)))))))
+        now = [rates([1 - x for x in q], n * (1 - prior) * toxicity.CALIBRATION, first[0]), rates(q, n * prior * toxicity.CALIBRATION, first[1])]
+    return q, now
+
+
+def test_label_model_equals_plain_loops():
+    y, votes, polarity = drawn_votes(1, 300)
+    q, rates, of = toxicity.label_model(votes, polarity, y.astype(int), rounds=6)
+    want, now = plain_label_model(votes, polarity, y.astype(int).tolist(), of, 6)
+    assert np.allclose(q, want) and np.allclose(rates, now)
+
+
+def test_label_model_finds_rates_and_cliques():
+    y, votes, polarity = drawn_votes(2, 4000)
+    q, rates, of = toxicity.label_model(votes, polarity, y.astype(int))
+    assert of[0] == of[3] and len(set(of.tolist())) == 4
     assert ((q > 0.5) == y).mean() > 0.88
-    assert abs(rates[1][0] - 0.6) < 0.12
-    assert corr[0, 3] > 0.9
+    assert abs(rates[1, of[1], 1] - 0.5) < 0.06 and abs(rates[0, of[1], 1] - 0.05) < 0.03
+
+
+def test_labels_do_not_vote():
+    y, votes, polarity = drawn_votes(3, 3000)
+    q, _, _ = toxicity.label_model(votes, polarity, y.astype(int))
+    seen = {}
+    for row, p, label in zip(votes.tolist(), q.tolist(), y.tolist(), strict=True):
+        seen.setdefault(tuple(row), set()).add((p, label))
+    assert all(len({p for p, _ in x}) == 1 for x in seen.values())
+    silent = seen[(False, False, False, False, True)]
+    assert {label for _, label in silent} == {True, False} and max(p for p, _ in silent) < 0.5  # toxic rows that nobody votes for
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
