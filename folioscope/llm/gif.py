@@ -2,9 +2,10 @@
 
 A payload of bytes becomes the pixels of an animated GIF: frames of 64 pixels a row and ``FRAME_ROWS`` rows at most, shown
 for ``DELAY`` hundredths of a second each, over a grey palette of 256 colours, so that a sample is the grey value of its
-pixel. The encoder writes LZW codes of nine bits and clears the table before they would grow; the decoder takes any LZW
-stream (growing codes, deferred clears), global and local palettes, interlacing, frame offsets, the disposal methods 0 to
-3 and transparent pixels, and gives the composed frames.
+pixel. The encoder writes LZW codes that grow from nine to twelve bits and clears the table when it is full; the decoder
+takes any LZW stream (growing codes, deferred clears), global and local palettes, interlacing, frame offsets, the disposal
+methods 0 to 3 and transparent pixels, and gives the composed frames. How wide a code is follows from its place after the
+last clear code, so that codes are packed and unpacked by array operations; the strings are looked up one by one.
 
 Defined results: a null text is an empty one, which is stored as 64 zero bytes; equal texts give equal media; very long
 texts have more frames; a null doc_id is kept; repeated rows are each stored; an empty table gives an empty result; other
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -25,76 +27,116 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import blocks, bounded, texts_of
 
 WIDTH, FRAME_ROWS, DELAY = 64, 1024, 4
-_CLEAR, _END, _RUN = 256, 257, 254
+_FULL = 4096
 _GREY = bytes(v for k in range(256) for v in (k, k, k))
 
 
 # --------------------------------------------------------------------------- LZW
 
 
-def lzw_encode(samples: np.ndarray) -> bytes:
-    """Codes of 8-bit samples, nine bits each: a clear code before each run that is short enough to keep nine bits."""
-    n = len(samples)
-    runs = max(1, -(-n // _RUN))
-    codes = np.full(runs * (_RUN + 1), -1, np.int32).reshape(runs, _RUN + 1)
-    codes[:, 0] = _CLEAR
-    body = np.full(runs * _RUN, -1, np.int32)
-    body[:n] = samples
-    codes[:, 1:] = body.reshape(runs, _RUN)
-    codes = codes.ravel()
-    codes = np.append(codes[codes >= 0], _END).astype(np.uint16)
-    bits = (codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def _plain_codes(data: bytes) -> np.ndarray | None:
-    """The samples, if all codes have nine bits and stand for themselves; else None."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    bits = bits[: len(bits) // 9 * 9].reshape(-1, 9)
-    codes = (bits.astype(np.uint16) << np.arange(9, dtype=np.uint16)).sum(1, dtype=np.uint16)
-    end = np.flatnonzero(codes == _END)
-    if not len(end):
-        return None
-    codes = codes[: end[0]]
-    clear = np.flatnonzero(codes == _CLEAR)
-    if not len(clear) or clear[0] != 0 or (codes > _END).any() or (np.diff(np.append(clear, len(codes))) > _RUN + 1).any():
-        return None
-    return codes[codes < _CLEAR].astype(np.uint8)
+@lru_cache(9)
+def _widths(min_size: int) -> np.ndarray:
+    """The bits of each code after a clear code, up to the one from which on they no longer change. Before code k the
+    table has grown by k - 1 strings."""
+    first = (1 << min_size) + 2
+    held = np.minimum(first + np.maximum(np.arange(_FULL - first + 2) - 1, 0), _FULL)
+    return np.clip(np.floor(np.log2(held)).astype(np.int64) + 1, min_size + 1, 12)
+
+
+def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
+    """The LZW code stream of samples below 2 ** min_size: the table is cleared when it is full."""
+    clear = 1 << min_size
+    table: dict[int, int] = {}
+    codes, clears = [clear], [0]  # the codes, and where clear codes stand
+    get, put, free = table.get, codes.append, clear + 2
+    if samples:
+        held = samples[0]
+        for x in memoryview(samples)[1:]:
+            longer = get(held << 8 | x)
+            if longer is not None:
+                held = longer
+                continue
+            put(held)
+            if free < _FULL:
+                table[held << 8 | x] = free
+                free += 1
+            else:
+                clears.append(len(codes))
+                put(clear)
+                table.clear()
+                free = clear + 2
+            held = x
+        put(held)
+    put(clear + 1)
+    # a clear code is as wide as another code in its place
+    value, starts = np.array(codes, np.int64), np.array(clears)
+    place = np.arange(len(value)) - 1
+    place[1:] -= np.repeat(starts, np.diff(np.append(starts, len(value) - 1)))
+    widths = _widths(min_size)
+    bits = widths[np.clip(place, 0, len(widths) - 1)]
+    at = np.cumsum(bits) - bits
+    value <<= at & 7
+    size, byte = int(at[-1] + bits[-1] + 7) >> 3, at >> 3
+    out = np.zeros(size + 3, np.int64)
+    for k in range(3):  # no two codes share a bit, so that they add up
+        out[: size + 3] += np.bincount(byte + k, value >> 8 * k & 255, size + 3).astype(np.int64)
+    return out[:size].astype(np.uint8).tobytes()
+
+
+def _codes(data: np.ndarray, at: int, min_size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from bit ``at`` on as they stand after a clear code, so many at most, and the bit after each."""
+    widths = _widths(min_size)
+    if most > len(widths):
+        widths = np.append(widths, np.full(most - len(widths), 12))
+    ends = at + np.cumsum(widths[:most])
+    ends = ends[: np.searchsorted(ends, 8 * (len(data) - 3), "right")]
+    begins = ends - widths[: len(ends)]
+    byte = begins >> 3
+    wide = data[byte].astype(np.int64) | data[byte + 1].astype(np.int64) << 8 | data[byte + 2].astype(np.int64) << 16
+    return wide >> (begins & 7) & ((1 << widths[: len(ends)]) - 1), ends
 
 
 def lzw_decode(data: bytes, min_size: int) -> np.ndarray:
     """The samples of an LZW code stream."""
-    if min_size == 8 and (plain := _plain_codes(data)) is not None:
-        return plain
     clear = 1 << min_size
-    table: list[bytes] = []
-    out, size, last, have, held = bytearray(), min_size + 1, b"", 0, 0
-    for byte in data:
-        held |= byte << have
-        have += 8
-        while have >= size:
-            code, held, have = held & ((1 << size) - 1), held >> size, have - size
-            if code == clear:
-                table = [bytes([k]) for k in range(clear)] + [b"", b""]
-                size, last = min_size + 1, b""
-                continue
-            if code == clear + 1:
-                return np.frombuffer(bytes(out), np.uint8)
-            if not table:
-                table = [bytes([k]) for k in range(clear)] + [b"", b""]
-            if code < len(table):
+    roots = [bytes([k]) for k in range(clear)] + [b"", b""]
+    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
+    out: list[bytes] = []
+    at, most = 0, _FULL
+    table, held, ended, fresh = list(roots), b"", False, True
+    while not ended:
+        codes, ends = _codes(padded, at, min_size, most) if fresh else _codes_full(padded, at)
+        if not len(codes):
+            break  # the data ends without an end code
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        upto = int(stop[0]) if len(stop) else len(codes)
+        for code in codes[:upto].tolist():
+            n = len(table)
+            if code < n:
                 word = table[code]
-            elif code == len(table) and last:
-                word = last + last[:1]
+            elif code == n and held:
+                word = held + held[:1]
             else:
                 raise ValueError("a code beyond the table")
-            out += word
-            if last and len(table) < 4096:
-                table.append(last + word[:1])
-                if len(table) == 1 << size and size < 12:
-                    size += 1
-            last = word
-    return np.frombuffer(bytes(out), np.uint8)
+            out.append(word)
+            if held and n < _FULL:
+                table.append(held + word[:1])
+            held = word
+        if len(stop):
+            at, ended = int(ends[upto]), int(codes[upto]) == clear + 1
+            table, held, fresh = list(roots), b"", True
+        else:
+            at, fresh = int(ends[-1]), False  # a full table that isn't cleared: codes of twelve bits go on
+    return np.frombuffer(b"".join(out), np.uint8)
+
+
+def _codes_full(data: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of twelve bits from bit ``at`` on."""
+    ends = at + 12 * np.arange(1, _FULL + 1)
+    ends = ends[: np.searchsorted(ends, 8 * (len(data) - 3), "right")]
+    byte, shift = (ends - 12) >> 3, (ends - 12) & 7
+    wide = data[byte].astype(np.int64) | data[byte + 1].astype(np.int64) << 8 | data[byte + 2].astype(np.int64) << 16
+    return wide >> shift & 4095, ends
 
 
 # --------------------------------------------------------------------------- GIF
@@ -107,15 +149,14 @@ def _sub_blocks(data: bytes) -> bytes:
 
 def encode(payload: bytes) -> bytes:
     """A GIF whose frames' pixels are the payload, a positive multiple of 64 bytes."""
-    samples = np.frombuffer(payload, np.uint8)
-    rows = len(samples) // WIDTH
-    if not rows or len(samples) % WIDTH:
+    rows = len(payload) // WIDTH
+    if not rows or len(payload) % WIDTH:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
     u16 = lambda v: v.to_bytes(2, "little")
     out = [b"GIF89a", u16(WIDTH), u16(min(rows, FRAME_ROWS)), b"\xf7\0\0", _GREY, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
     for top in range(0, rows, FRAME_ROWS):
         n = min(FRAME_ROWS, rows - top)
-        pixels = samples[top * WIDTH : (top + n) * WIDTH]
+        pixels = payload[top * WIDTH : (top + n) * WIDTH]
         out += [b"\x21\xf9\x04\x08", u16(DELAY), b"\0\0", b"\x2c", u16(0), u16(0), u16(WIDTH), u16(n), b"\0\x08", _sub_blocks(lzw_encode(pixels))]
     return b"".join([*out, b"\x3b"])
 

@@ -142,6 +142,40 @@ def test_gif_columns(spark):
     assert gif.store(df.limit(0)).count() == 0
 
 
+def lzw_read(data, min_size):
+    """An LZW stream read code by code."""
+    clear, out, last, at = 1 << min_size, bytearray(), b"", 0
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    table, size = [], min_size + 1
+    while True:
+        code, at = int(bits[at : at + size][::-1], 2), at + size
+        if code == clear:
+            table, size, last = [bytes([k]) for k in range(clear)] + [b"", b""], min_size + 1, b""
+            continue
+        if code == clear + 1:
+            return bytes(out)
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last and len(table) < 4096:
+            table.append(last + word[:1])
+            size += len(table) == 1 << size and size < 12
+        last = word
+
+
+@pytest.mark.parametrize("min_size", [2, 5, 8])
+def test_lzw_encoder_is_read_code_by_code(min_size):
+    rng = np.random.default_rng(min_size)
+    for n in (0, 1, 2, 3, 700, 30_000):
+        for top in (1, 2, 1 << min_size):
+            samples = rng.integers(0, top, n).astype(np.uint8).tobytes()
+            data = gif.lzw_encode(samples, min_size)
+            assert lzw_read(data, min_size) == samples == gif.lzw_decode(data, min_size).tobytes()
+    text = ("strings of words that come again and again " * 400).encode()
+    assert len(gif.lzw_encode(text)) < len(text) / 5
+    with pytest.raises(ValueError):
+        gif.lzw_decode(np.packbits([0, 0, 0, 0, 0, 0, 0, 0, 1] + [1] * 9, bitorder="little").tobytes(), 8)
+
+
 def lzw_reference(samples, min_size):
     """A growing-code LZW encoder, for the decoder's sake."""
     clear = 1 << min_size
