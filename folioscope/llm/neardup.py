@@ -151,7 +151,8 @@ def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     known = _likely(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     a = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(a, "a").join(b, "b").filter(_similar_sizes("n_a", "n_b")).drop("n_a", "n_b")
+    a = a.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")), "a")  # a centre may have most of the pairs
+    return _keyed_join(pairs, a, "a", "b").join(b, "b").filter(_similar_sizes("n_a", "n_b")).select("a", "b", "sketch_a", "sketch_b")
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
