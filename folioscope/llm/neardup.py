@@ -232,8 +232,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Those of the pairs (a < b, distinct) whose full sets are similar enough; written to the shared folder."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = stored(_likely(docs, ids, "doc_id").mapInArrow(_member_sets, "id long, shingles binary"), f"{label}-sets")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("groups"))
-    salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt"))
+    held = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+    groups = F.ceil(F.col("held") / PARTNERS).cast("long")
+    salted = _keyed_join(pairs, held, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), groups).alias("salt"))
     partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
     centres = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "shingles")
     n = partitions(docs.sparkSession)
