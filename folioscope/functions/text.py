@@ -27,16 +27,18 @@ def slug(text: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Readable text: without script, style and page furniture; breaks kept as new lines; entities resolved."""
-    c = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    for tag in ("script", "style", "nav", "header", "footer", "aside"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)\s*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Readable text: without script, style and page furniture; a new line at br and at the ends of paragraphs, headings and
+    list items; entities resolved; no blank lines."""
+    c = html
+    for tag in ("script", "style"):
+        c = F.regexp_replace(c, rf"(?is)<{tag}.*?</{tag}>", " ")
+    c = F.regexp_replace(c, r"(?is)<(?:nav|header|footer|aside).*?</(?:nav|header|footer|aside)>", " ")
+    c = F.regexp_replace(c, r"(?i)<br\s*/?\s*>|</p>|</h[1-6]>|</li>", "\n")
+    c = F.regexp_replace(c, r"<[^>]+>", " ")
+    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    c = F.regexp_replace(c, "[ \t\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(c, " ?\n ?", "\n"), "^[ \n]+|[ \n]+$|(?<=\n\n)\n+", "")
+    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def page_title(html: Column) -> Column:

@@ -409,12 +409,37 @@ def page_titles(spark, d):
     return load(spark, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
-@query()
+_DROPPED = "^(?:utm_.*|" + "|".join([*U.TRACKING, *U.AMP]) + ")$"
+_FORM = lambda x: f"replace(url_encode(url_decode(replace({x}, '+', ' '))), '%20', '+')"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_replace(trim(url), '(?i)^(?:[a-z][a-z0-9+.-]*://)+([a-z][a-z0-9+.-]*://)', '\1') AS u FROM pages),
+b AS (SELECT page_id, lower(regexp_extract(u, '(?i)^([a-z][a-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(regexp_replace(u, '(?i)^[a-z][a-z0-9+.-]*://+', ''), '#.*$', '') AS r FROM a),
+c AS (SELECT *, regexp_replace(regexp_extract(r, '^([^/?]*)', 1), '^.*@', '') AS site, regexp_extract(r, '^[^/?]*([^?]*)', 1) AS path, regexp_extract(r, '\?(.*)$', 1) AS q FROM b),
+d AS (SELECT *, CASE WHEN lower(site) LIKE '%.cdn.ampproject.org' THEN regexp_extract(path, '(?i)^/[a-z](?:/s)?/(.+)$', 1) WHEN regexp_matches(lower(site), '^(www\.)?google\.[a-z.]+$') THEN regexp_extract(path, '(?i)^/amp/(?:s/)?(.+)$', 1) ELSE '' END AS wrapped FROM c),
+e AS (SELECT page_id, scheme, q, wrapped <> '' AS inside, CASE WHEN wrapped <> '' THEN regexp_extract(wrapped, '^([^/]*)', 1) ELSE site END AS site, CASE WHEN wrapped <> '' THEN regexp_extract(wrapped, '^[^/]*(.*)$', 1) ELSE path END AS path FROM d),
+f AS (SELECT *, regexp_replace(lower(regexp_replace(site, ':[0-9]*$', '')), '^(?:www[0-9]*|m|mobile|amp)\.([^.]+\.)', '\1') AS host, regexp_extract(site, ':([0-9]+)$', 1) AS port, regexp_replace(regexp_replace(regexp_replace(path, '(?i)/amp(/|$)', '\1', 'g'), '(?i)\.amp(\.html?)$', '\1'), '/+$', '') AS p FROM e),
+g AS (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND x <> 'outputType=amp' AND NOT regexp_matches(lower(regexp_extract(x, '^([^=]*)', 1)), '{_DROPPED}') AND NOT (lower(regexp_extract(x, '^([^=]*)', 1)) = 's' AND host IN ('twitter.com', 'x.com'))) AS kept FROM f),
+h AS (SELECT page_id, host || CASE WHEN port = '' OR (port = '443' AND (inside OR scheme IN ('https', ''))) OR (port = '80' AND scheme = 'http' AND NOT inside) THEN '' ELSE ':' || port END
+  || array_to_string(list_transform(string_split(p, '/'), lambda s: replace(replace(replace(replace(replace(url_encode(url_decode(s)), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')), '/')
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(kept, lambda x: {_FORM("regexp_extract(x, '^([^=]*)', 1)")} || '=' || {_FORM("regexp_replace(x, '^[^=]*=?', '')")}), '&') ELSE '' END AS url_key FROM g)
+SELECT url_key, count(*) AS n, min(page_id) AS first_page FROM h GROUP BY 1""")
 def url_canonical_key(spark, d):
     return load(spark, d, "pages").groupBy(U.url_key(F.col("url")).alias("url_key")).agg(n(), F.min("page_id").alias("first_page"))
 
 
-@query()
+_TEXT = "html"
+for _old, _new in (("(?is)<script.*?</script>", " "), ("(?is)<style.*?</style>", " "), ("(?is)<(?:nav|header|footer|aside).*?</(?:nav|header|footer|aside)>", " "), (r"(?i)<br\s*/?\s*>|</p>|</h[1-6]>|</li>", "\n"), ("<[^>]+>", " ")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_old}', '{_new}', 'g')"
+for _old, _new in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+    _TEXT = f"replace({_TEXT}, '{_old}', '{_new}')"
+_TEXT = f"replace({_TEXT}, '&#39;', chr(39))"
+for _old, _new in (("[ \t]+", " "), (r"\s*\n\s*", "\n"), (r"^\s+|\s+$", "")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_old}', '{_new}', 'g')"
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
 def html_to_text(spark, d):
     return load(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
