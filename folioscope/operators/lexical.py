@@ -41,8 +41,9 @@ def tfidf_topk(docs: DataFrame, query: list[str], k: int = 20, key: str = "doc_i
     return scored.select(key, F.round(F.col("dot") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def bm25_topk(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) by Okapi BM25; one pass for the statistics, one for the scores, no shuffle of postings."""
+def bm25_topk(docs: DataFrame, query: list[str], k: int | None = 20, k1: float = 1.2, b: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) by Okapi BM25; one pass for the statistics, one for the scores, no shuffle of postings. k None: all
+    rows with a score, in no order."""
     counted = _counted(docs, query, key, text, T.words)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{j}") > 0).cast("long")).alias(f"df{j}") for j in range(len(query))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
@@ -51,7 +52,8 @@ def bm25_topk(docs: DataFrame, query: list[str], k: int = 20, k1: float = 1.2, b
         idf = F.log(1 + (F.col("n") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5))
         tf = F.col(f"tf{j}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return joined.select(key, F.round(score, 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
+    scored = joined.select(key, F.round(score, 6).alias("score")).filter("score > 0")
+    return scored if k is None else scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def fuse(lists: dict[str, DataFrame], key: str, k: int) -> DataFrame:
