@@ -207,7 +207,7 @@ def entity_counts(spark, d):
 
 
 #: Keywords of each topic.
-TOPICS = {"law": ("license", "rights", "terms"), "people": ("name", "email", "phone"), "work": ("work", "time", "people")}
+TOPICS = {"licence": ("license", "mit", "apache"), "abuse": ("moron", "clown", "idiot"), "work": ("work", "time", "people")}
 _HITS = ", ".join(f"len(list_filter(w, lambda x: list_contains({list(k)}, x)))::INTEGER AS {t}" for t, k in TOPICS.items())
 
 

@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
-from folioscope.operators import lexical, shaping
+from folioscope.operators import index, lexical, shaping
 from folioscope.plans.catalogue import _BM25, _HOST, ORACLE_SQL, QUERIES, QUERY_WORDS, n, query
-from folioscope.sources.tables import load
+from folioscope.sources.tables import load, scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -175,6 +175,14 @@ def inverted_index_min_support(spark, d):
     return shaping.inverted_index(load(spark, d, "documents"), "doc_id", terms, 5, 40)
 
 
+@query(_BM25.replace("{k}", "20"))
+def lex_bm25_indexed(spark, d):
+    """Keyword retrieval from a stored index, which is built first."""
+    path = scratch(spark, "keyword-index")
+    index.build(load(spark, d, "documents"), path)
+    return index.bm25(spark, path, QUERY_WORDS, 20).withColumnRenamed("key", "doc_id")
+
+
 @query("""
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z]{3,}')) AS w FROM documents)
 SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM t WHERE list_contains(w, 'that')) WHERE term <> 'that' GROUP BY 1 ORDER BY n DESC, term LIMIT 25""")

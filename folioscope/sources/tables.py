@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +39,39 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 def replace_days(new: DataFrame, path: str, day: str = "day") -> None:
     """Write new over the same days of the table at path; other days stay (late data replaces its range)."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir or, on a local master only, a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="folioscope-")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def promote(df: DataFrame, path: str, gate: Callable[[DataFrame], list[str]]) -> list[str]:
+    """Write df beside path, read it back, ask the gate, and put it in place of path only if the gate finds nothing.
+    Returns what the gate found; path is then as it was."""
+    spark = df.sparkSession
+    draft, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(draft)
+    found = gate(spark.read.schema(df.schema).parquet(draft))
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if found:
+        fs.delete(Path(draft), True)
+        return found
+    held = fs.exists(Path(path))
+    if held:
+        fs.rename(Path(path), Path(old))
+    if not fs.rename(Path(draft), Path(path)):
+        if held:
+            fs.rename(Path(old), Path(path))
+        raise OSError(f"could not put {draft} in place")
+    fs.delete(Path(old), True)
+    return []

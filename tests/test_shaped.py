@@ -63,3 +63,32 @@ def test_twins_and_attribution(spark):
     first = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, target string")
     second = spark.createDataFrame([(1, "z"), (3, "w")], "id long, target string")
     assert sorted((r.id, r.target, r.rule) for r in shaping.attributed(rows, "id", [first, second]).collect()) == [(1, None, None), (2, "c", 0), (3, "w", 1)]
+
+
+def test_index_equals_scans_and_reads_only_its_terms(spark, tmp_path):
+    from folioscope.functions import text as T
+    from folioscope.operators import index, lexical
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "One two one two three"), (-4, "two one")], "doc_id long, text string"))
+    path, words = f"{tmp_path}/index", ["the", "thing", "with", "that"]
+    index.build(docs, path)
+    assert [tuple(r) for r in index.bm25(spark, path, words, 15).collect()] == [tuple(r) for r in lexical.bm25_topk(docs, words, 15).collect()]
+    assert {r.key: r.places for r in index.phrase(spark, path, ["one", "two"]).collect() if r.key < 0} == {-3: 2}
+    assert index.bm25(spark, path, ["nowhere"], 5).count() == 0
+    plan = index.postings(spark, path, ["one"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "In(term" in plan or "EqualTo(term" in plan
+    index.build(docs, path, tokens=T.tokens)
+    assert [tuple(r) for r in index.tfidf(spark, path, words, 15).collect()] == [tuple(r) for r in lexical.tfidf_topk(docs, words, 15).collect()]
+
+
+def test_a_staged_table_is_put_in_place_only_if_the_gate_finds_nothing(spark, tmp_path):
+    from folioscope.sources.tables import promote
+
+    path = f"file://{tmp_path}/corpus"
+    gate = lambda df: ["too few rows"] if df.count() < 3 else []
+    assert promote(spark.range(5).toDF("id"), path, gate) == []
+    assert promote(spark.range(2).toDF("id"), path, gate) == ["too few rows"]
+    assert spark.read.parquet(path).count() == 5
+    assert promote(spark.range(7).toDF("id"), path, gate) == [] and spark.read.parquet(path).count() == 7
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["corpus"]
