@@ -37,6 +37,15 @@ NOTICES = (
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance", ("apache license",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("cc-by-sa", "licensed under a creative commons attribution share alike license", ("creative commons", "share alike")),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ("the authors be held liable",)),
+    ("bsl-1", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("neighboring rights",)),
+    ("ofl-1", "this font software is licensed under the sil open font license version 1 1", ("open font license",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
 NOTICE_SHARE = 0.75
@@ -57,10 +66,14 @@ def templates() -> list[tuple[str, list[str], bool, list[str]]]:
 
 
 def word_idf(norm: DataFrame) -> dict[str, float]:
-    """IDF of each template word over all files: one aggregate of as many sums as there are words."""
+    """IDF of each template word over all files: each file's template words, once each, are counted by one aggregate of as
+    many rows as there are words."""
     words = sorted({w for _, t, _, _ in templates() for w in t})
-    row = norm.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.contains("norm", F.lit(f" {w} ")).cast("long")).alias(f"w{k}") for k, w in enumerate(words)]).first()
-    return {w: math.log((row["n"] + 1) / ((row[f"w{k}"] or 0) + 1)) + 1 for k, w in enumerate(words)}
+    held = F.array_distinct(F.filter(F.split(F.trim("norm"), " "), lambda w: w.isin(*words)))
+    # the empty word stands for the file itself
+    counts = norm.select(F.explode(F.array_append(held, F.lit(""))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = {r.word: r.df for r in counts.collect()}
+    return {w: math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 1 for w in words}
 
 
 def anchor(template: list[str], keys: list[str], idf: dict[str, float]) -> int:
