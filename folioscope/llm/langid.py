@@ -175,7 +175,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, learn=None, steps: int = STEPS) -
     """docs (doc_id, text, lang). learn: a condition; rows without it are not learned from."""
     rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0))
     rows = rows if learn is None else rows.filter(learn)
-    ids = rows.select(F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id").limit(sample).select("doc_id").distinct()
+    # each language gets the same share of the sample, so that a rare one is learned too: as large a part of its documents,
+    # by a hash of doc_id, as gives that share
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    share = max(1, sample // max(1, len(held)))
+    part = F.create_map(*[F.lit(x) for lang, n in sorted(held.items()) for x in (lang, -(-(1 << 31) * share // n))])[F.col("lang")] if held else F.lit(0)
+    likely = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < part)
+    ids = likely.select(F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id").limit(2 * sample).select("doc_id").distinct()
     data = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(_training_windows, "lang string, piece binary").collect()
     data.sort(key=lambda r: (r.lang, r.piece))
     langs = sorted({r.lang for r in data})
