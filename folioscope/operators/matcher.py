@@ -66,9 +66,11 @@ def matches(text: Column, term: str, mode: str = "exact", aliases: tuple[str, ..
 
 
 def first_hit(text: Column, term: str, mode: str = "exact") -> Column:
-    """(span, start): the first hit and where it begins, from 1."""
-    p = F.lit(pattern(term, mode))
-    return F.struct(F.regexp_substr(text, p).alias("span"), F.regexp_instr(text, p).alias("start"))
+    """(span, start): the first hit and where it begins, from 1 and in code points; null where there is none."""
+    p = pattern(term, mode)
+    span = F.regexp_substr(text, F.lit(p))
+    before = F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{p})", 1))
+    return F.struct(span.alias("span"), F.when(span.isNotNull(), before + 1).alias("start"))
 
 
 def without_urls(text: Column) -> Column:
