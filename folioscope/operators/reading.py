@@ -41,7 +41,7 @@ def chain_roots(df: DataFrame, row: str, parent: str, rounds: int = 6) -> DataFr
         depth = F.col("depth") + F.coalesce("more", F.lit(0))
         ended = F.col("ended") | F.col("above").isNull() | F.col("done")
         state = _kept(joined.select("row", F.coalesce("next", "top").alias("top"), depth.alias("depth"), ended.alias("ended")), f"chain-{k + 1}")
-    sure = F.col("ended") & F.col("row").isNotNull()
+    sure = F.col("ended") & F.col("row").isNotNull() & (F.col("depth") <= 2**rounds)
     return state.select(F.col("row").alias(row), F.when(sure, F.col("top")).alias("root"), F.when(sure, F.col("depth")).alias("depth"))
 
 
