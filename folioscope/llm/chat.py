@@ -114,19 +114,18 @@ def with_planted(chats: DataFrame) -> DataFrame:
 
 #: All but formatted_chars, which depends on the template; the template's length follows from the texts.
 def oracle() -> str:
-    controls = "".join(f"+ 0 * length('{c}')" for c, _ in CONTROL[:0])
     esc = "t"
     for a, b in (("~", "~t"), *CONTROL):
         esc = f"replace({esc}, '{a}', '{b}')"
     clash = " OR ".join(f"contains(x.role || chr(10) || x.text, '{c}')" for c, _ in CONTROL)
     role, text = esc.replace("(t,", "(x.role,"), esc.replace("(t,", "(x.text,")
     return f"""
-WITH x0 AS (
+WITH x AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{PLANTED_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED_TEXT}'
-), x AS (SELECT * FROM x0),
+),
 y AS (
-  SELECT conv_id, turn, role, text, {len(BEGIN) + 1 + len(ROLE_END) + len(TURN_END)} + CASE WHEN {clash} THEN length({role}) + length({text}) ELSE length(role) + length(text) END {controls} AS size FROM x
+  SELECT conv_id, turn, role, text, {len(BEGIN) + 1 + len(ROLE_END) + len(TURN_END)} + CASE WHEN {clash} THEN length({role}) + length({text}) ELSE length(role) + length(text) END AS size FROM x
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
