@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, gif, langid, licenses, mixing, neardup, tokenbin, topk, toxicity
+from folioscope.llm import audit, bpe, chat, gif, langid, licenses, mixing, neardup, packing, runs, tokenbin, topk, toxicity
 from folioscope.llm.common import table
 
 
@@ -61,9 +61,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_digests(tokenbin.write(docs, public_tokenizers.path("byte_bpe_50k.json"), uri, added=True), uri)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"), runs.plant)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_vector_top5, op3_toxicity, op4_language, op5_chat_format, op6_gif_media, op7_near_duplicates, op8_license_scan, op9_source_mix, op10_token_files)
+    f.__name__: f
+    for f in (
+        *(op1_byte_bpe, op2_vector_top5, op3_toxicity, op4_language, op5_chat_format, op6_gif_media, op7_near_duplicates),
+        *(op8_license_scan, op9_source_mix, op10_token_files, op11_periodic_runs, op12_best_fit_packing, op13_filter_audit),
+    )
 }
 
-#: Operators 1, 3, 4, 6, 7, 8, 9 and 10 have no SQL: tests compare them with brute force, libraries or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op2_vector_top5": topk.ORACLE, "op5_chat_format": chat.oracle()}
+#: Operators 1, 3, 4 and 6 to 12 have no SQL: tests compare them with brute force, libraries or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op2_vector_top5": topk.ORACLE, "op5_chat_format": chat.oracle(), "op13_filter_audit": audit.ORACLE}
