@@ -166,39 +166,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, n.bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0], _powers[1]
-
-
 #: Symbols that are hashed at a time, so that the 64-bit codes of a block aren't all held at once.
 _CHUNK = 1 << 17
 
 
 def span_hashes(symbols: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of symbols[start:end] for each span; the spans are in order and don't overlap. codes: a random
-    64-bit code of each symbol."""
+    64-bit code of each symbol. A symbol and its place in the span are hashed together, so that the hash is no polynomial,
+    whose values coincide for words of two letters in Thue and Morse's order; whoever shares results by it still compares
+    the symbols."""
     out = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):
         first = int(starts[at])
         upto = max(at + 1, int(np.searchsorted(ends, first + _CHUNK, "right")))
         a, b = starts[at:upto] - first, ends[at:upto] - first
-        values = codes[symbols[first : first + int(b[-1])]]
-        power, inverse = _powers_to(len(values) + 1)
-        values *= power[: len(values)]
-        sums = np.zeros(len(values) + 1, U64)
+        size = int(b[-1])
+        place = np.arange(size, dtype=np.int64) - np.repeat(a, np.diff(np.append(a, size)))
+        values = mix(codes[symbols[first : first + size]] + (place.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+        sums = np.zeros(size + 1, U64)
         np.cumsum(values, out=sums[1:])
-        out[at:upto] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U64))
+        out[at:upto] = mix(sums[b] - sums[a] + (b - a).astype(U64))
         at = upto
     return out
 

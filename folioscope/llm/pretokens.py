@@ -13,9 +13,11 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from folioscope.llm.common import mix, span_hashes
+from folioscope.llm.common import expand, mix, span_hashes
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
+#: Symbols that are compared at a time.
+COMPARED = 1 << 18
 
 
 @lru_cache(1)
@@ -73,7 +75,7 @@ class Spans:
     def __init__(self, texts: list[str]):
         self.joined = "".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        u = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.symbols = u = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
         begins = np.cumsum(sizes) - sizes
         self.starts = starts_of(u, begins[sizes > 0]) if len(u) else np.zeros(0, np.int64)
         self.ends = np.append(self.starts[1:], len(u)) if len(u) else self.starts
@@ -84,6 +86,17 @@ class Spans:
         return [self.joined[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
+def differ(symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray, known: np.ndarray, known_starts: np.ndarray, known_lens: np.ndarray) -> bool:
+    """Whether any word symbols[start : start + len] isn't the known word of the same place in the lists."""
+    if not np.array_equal(lens, known_lens):
+        return True
+    parts = np.flatnonzero(np.diff(np.cumsum(lens) // COMPARED, prepend=0)) + 1
+    for a, b in zip([0, *parts.tolist()], [*parts.tolist(), len(lens)], strict=True):
+        if not np.array_equal(symbols[expand(starts[a:b], lens[a:b])], known[expand(known_starts[a:b], lens[a:b])]):
+            return True
+    return False
+
+
 def block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Of a block of texts: each pre-token's index in the list of distinct words, in order of position; the number of
     pre-tokens of each text; the distinct words; their hashes."""
@@ -91,7 +104,8 @@ def block(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarr
     distinct, index, codes = np.unique(spans.hashes, return_index=True, return_inverse=True)
     words = spans.words(index)
     lens = spans.ends - spans.starts
-    if not np.array_equal(lens[index][codes], lens):  # two words of one hash: by the words themselves
+    first = index[codes]
+    if differ(spans.symbols, spans.starts, lens, spans.symbols, spans.starts[first], lens[first]):  # two words of one hash
         seen: dict[str, int] = {}
         codes = np.fromiter((seen.setdefault(w, len(seen)) for w in spans.words(np.arange(len(lens)))), np.int64, len(lens))
         words = list(seen)

@@ -148,7 +148,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, EliasFano]:
 
 class WordTable:
     """The ids of words that were seen before, by the words' 64-bit hashes: open addressing, asked for a whole block of
-    words at once."""
+    words at once. Words whose hashes agree are compared by ``holds``."""
 
     def __init__(self, slots: int = 1 << 21, most: int = 1 << 20, ids: int = 1 << 23):
         self.mask, self.most, self.most_ids = slots - 1, most, ids
@@ -158,6 +158,7 @@ class WordTable:
         self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: a free slot
         self.index = np.zeros(self.mask + 1, np.int32)
         self.lens, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.word_lens, self.word_starts, self.symbols = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.where(hashes == 0, np.uint64(1), hashes)
@@ -175,8 +176,17 @@ class WordTable:
             open_, hashes, slot = open_[on], hashes[on], (slot[on] + 1) & self.mask
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def holds(self, at: np.ndarray, spans: pretokens.Spans) -> bool:
+        """Whether the words at these places are those of the spans, symbol by symbol."""
+        lens, starts = self.word_lens[at].astype(np.int64), self.word_starts[at].astype(np.int64)
+        return not pretokens.differ(spans.symbols, spans.starts, spans.ends - spans.starts, self.symbols, starts, lens)
+
+    def add(self, hashes: np.ndarray, words: list[str], ids: list[list[int]]) -> None:
         """Words that are not there yet, each once."""
+        word_lens = np.fromiter(map(len, words), np.int32, len(words))
+        symbols = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.word_starts = np.concatenate([self.word_starts, (len(self.symbols) + np.cumsum(word_lens) - word_lens).astype(np.int32)])
+        self.word_lens, self.symbols = np.concatenate([self.word_lens, word_lens]), np.concatenate([self.symbols, symbols])
         lens = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
         place = np.arange(len(self.lens), len(self.lens) + len(ids), dtype=np.int32)
@@ -192,13 +202,13 @@ class WordTable:
             hashes, place, slot = hashes[on], place[on], (slot[on] + 1) & self.mask
 
     def full(self, words: int) -> bool:
-        return len(self.lens) + words > self.most or len(self.flat) > self.most_ids
+        return len(self.lens) + words > self.most or max(len(self.flat), len(self.symbols)) > self.most_ids
 
 
 class WordEncoder:
     """Ids of pre-tokens by a byte-level BPE model of the tokenizers library. With added, the ids are those of the library's
     encode without special tokens around: a text that holds the string of an added token goes through it whole. Without,
-    such strings are encoded like any other. A word is encoded when its hash is first met; the table of words has a bound
+    such strings are encoded like any other. A word is encoded when it is first met; the table of words has a bound
     and begins anew when it is full."""
 
     def __init__(self, model: str, added: bool = False):
@@ -253,10 +263,17 @@ class WordEncoder:
                 self.known.clear()
                 at, fresh = np.full(len(at), -1, np.int64), np.arange(len(at))
             distinct, first = np.unique(spans.hashes[fresh], return_index=True)
-            self.known.add(distinct, self.words(spans.words(fresh[first])))
+            words = spans.words(fresh[first])
+            self.known.add(distinct, words, self.words(words))
             at[fresh] = self.known.find(spans.hashes[fresh])
-        token_lens = self.known.lens[at].astype(np.int64)
-        body = self.known.flat[expand(self.known.starts[at].astype(np.int64), token_lens)]
+        if self.known.holds(at, spans):
+            token_lens = self.known.lens[at].astype(np.int64)
+            body = self.known.flat[expand(self.known.starts[at].astype(np.int64), token_lens)]
+        else:  # two words of one hash: this block by the words themselves
+            words = spans.words(np.arange(len(at)))
+            known = dict(zip(distinct := list(dict.fromkeys(words)), self.words(distinct), strict=True))
+            token_lens = np.fromiter((len(known[w]) for w in words), np.int64, len(words))
+            body = np.fromiter((i for w in words for i in known[w]), np.uint32, int(token_lens.sum()))
         ends = np.concatenate([[0], np.cumsum(token_lens)])[np.cumsum(spans.counts)] + np.arange(1, len(texts) + 1)
         ids = np.full(len(body) + len(texts), end_id, np.uint32)
         inner = np.ones(len(ids), bool)
