@@ -382,8 +382,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bridges = features.filter("n_shingles > 0").join(torn, "doc_id", "left_semi").join(classes, "digest").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(known[-1]).unionByName(bridges))
     of_class = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
-    joined = features.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = joined.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
+    # a text that was copied a million times has one digest: its rows are dealt over salted groups
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    held = features.filter(linked).groupBy("digest").agg(F.count(F.lit(1)).alias("held"))
+    joined = _keyed_join(features.filter(linked).select("doc_id", "n_shingles", "digest"), of_class.join(held, "digest"), "digest", "doc_id")
+    alone = features.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = joined.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id")).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
