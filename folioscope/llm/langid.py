@@ -171,18 +171,29 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "piece"])
 
 
+#: At least so many rows of each language are learned from, if it has them.
+SURE = 8
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, learn=None, steps: int = STEPS) -> Network:
     """docs (doc_id, text, lang). learn: a condition; rows without it are not learned from."""
     rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.length("text") > 0))
     rows = rows if learn is None else rows.filter(learn)
-    # each language gets the same share of the sample, so that a rare one is learned too: as large a part of its documents,
-    # by a hash of doc_id, as gives that share
-    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    # each language gets the same share of the sample, so that a rare one is learned too: as large a part of its rows, by a
+    # hash of doc_id and text, as gives that share, and its rows of the least hashes in any case; copies count once
+    rows = rows.withColumn("at", F.xxhash64("doc_id", "text"))
+    least = [F.min(F.xxhash64(F.lit(k), "at")).alias(f"least{k}") for k in range(SURE)]
+    held = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *least).collect()}  # a row for each language
     share = max(1, sample // max(1, len(held)))
-    part = F.create_map(*[F.lit(x) for lang, n in sorted(held.items()) for x in (lang, -(-(1 << 31) * share // n))])[F.col("lang")] if held else F.lit(0)
-    likely = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < part)
-    ids = likely.select(F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id").limit(2 * sample).select("doc_id").distinct()
-    data = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(_training_windows, "lang string, piece binary").collect()
+    if not held:
+        return Network([])
+    part = F.create_map(*[F.lit(x) for lang, r in sorted(held.items()) for x in (lang, -(-(1 << 31) * share // r["n"]))])[F.col("lang")]
+    sure = [F.create_map(*[F.lit(x) for lang, r in sorted(held.items()) for x in (lang, r[f"least{k}"])])[F.col("lang")] == F.xxhash64(F.lit(k), "at") for k in range(SURE)]
+    first = F.greatest(*(x.cast("int") for x in sure))
+    likely = rows.withColumn("first", first).filter((F.col("first") == 1) | (F.pmod("at", F.lit(1 << 31)) < part)).select("lang", "at", "first").distinct()
+    chosen = likely.orderBy(F.desc("first"), "at", "lang").limit(2 * sample + SURE * len(held)).drop("first")
+    texts = rows.join(F.broadcast(chosen), ["lang", "at"], "left_semi").select("lang", "at", "text").dropDuplicates(["lang", "at"])
+    data = texts.select("lang", "text").mapInArrow(_training_windows, "lang string, piece binary").collect()
     data.sort(key=lambda r: (r.lang, r.piece))
     langs = sorted({r.lang for r in data})
     net = Network(langs)
