@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import blocks, bounded, crc_mod, texts_of
+from folioscope.llm.common import blocks, bounded, crc_mod, stored, texts_of
 
 SAMPLE = 20_000
 #: Bounds of the lexicon: terms that are counted, ranked and chosen.
@@ -249,7 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn=None) ->
     rows = rows if learn is None else rows.filter(learn)
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so few rows that they can be broadcast
-    picked = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # of rows that share a doc_id one is learned from, so that the sample has no more rows than ids
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), F.col("text"))).alias("row")
+    picked = stored(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("row.text", "row.toxic"), "labelled")
     size = chosen.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     total, positive = size[0], size[1] or 0
     if not positive or positive == total:
