@@ -12,8 +12,8 @@
 A group never holds more than about GROUP items, or FAN_IN * (FAN_IN + 1) bins in later rounds, whatever the input. Rounds
 are written to the shared folder.
 
-Texts are encoded word by word: pre-tokens of the tokenizer must not span white space, which is checked by its pre-tokenizer's
-pattern, so that a text's ids are those of its words, one after another. Words are known by their bytes.
+Texts are encoded word by word: the tokenizer's pre-tokens don't span white space (its file is compared with the pattern
+that this module knows), so that a text's ids are those of its words, one after another. Words are known by their bytes.
 
 Defined results: a null text is empty and holds only the end id; repeated rows are all packed; a null doc_id is kept; an
 empty table gives an empty result; other columns are left alone.
@@ -23,12 +23,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,41 +61,80 @@ class _Numbers(dict):
         return number
 
 
+#: The tokenizer's pattern for words of printable ASCII signs in lower case, and the pattern itself.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(rb"[!-~]+").fullmatch
+_MARKS = regex.compile(r"\p{M}")
+
+
 class WordwiseEncoder:
-    """Ids of texts by a tokenizer of the tokenizers library whose pre-tokens don't span white space, as its encode gives
-    them without special tokens around."""
+    """Ids of texts by a tokenizer of the tokenizers library whose pre-tokens don't span white space and that lowers case,
+    as its encode gives them without special tokens around. Words of printable ASCII signs are cut by its pattern, and
+    each part is given to its model once; others, and words that may hold an added token, go through the library whole."""
 
     def __init__(self, config: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         held = json.loads(config)
-        splits = [p for p in (held.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        if not splits or not splits[0]["invert"] or splits[0]["behavior"] != "Removed" or r"[^\s\p{L}\p{N}]" not in splits[0]["pattern"].get("Regex", "") or held.get("post_processor") or held.get("truncation"):
-            raise ValueError("a tokenizer is needed that splits at white space and drops it")
+        pre = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        normal = [x["type"] for x in (held.get("normalizer") or {}).get("normalizers", [])]
+        fits = len(pre) == 2 and pre[0]["type"] == "Split" and pre[0]["invert"] and pre[0]["behavior"] == "Removed" and pre[0]["pattern"].get("Regex") == _PATTERN
+        if not fits or pre[1]["type"] != "ByteLevel" or pre[1]["use_regex"] or normal != ["NFC", "Replace", "Lowercase"] or held.get("post_processor") or held.get("truncation"):
+            raise ValueError("a tokenizer is needed that splits at white space, drops it and lowers case")
+        if any("<|" not in t["content"] or t["normalized"] for t in held["added_tokens"]):
+            raise ValueError("added tokens are told by <| in the text as it is")
         self.tokenizer = Tokenizer.from_str(config)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers, self.parts = _Numbers(), {}
         self.lens, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _part(self, part: str) -> list[int]:
+        found = self.parts[part] = [t.id for t in self.model.tokenize(part)]
+        return found
+
     def _learn(self) -> None:
         words, self.numbers.fresh = self.numbers.fresh, []
-        for at in range(0, len(words), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at : at + 4096]], add_special_tokens=False)]
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))])
+        if not words:
+            return
+        found, known, other = [], self.parts, []
+        for word in words:
+            if _PLAIN(word) and b"<|" not in word:
+                parts = _ASCII_PARTS.findall(word.lower().decode("ascii"))
+                if len(parts) == 1:
+                    found.append(known.get(parts[0]) or self._part(parts[0]))
+                else:
+                    found.append([i for p in parts for i in known.get(p) or self._part(p)])
+            else:
+                other.append(len(found))
+                found.append([])
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            encoded = self.tokenizer.encode_batch([words[k].decode("utf-8", "replace") for k in part], add_special_tokens=False)
+            for k, e in zip(part, encoded, strict=True):
+                found[k] = e.ids
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))])
+
+    def _words(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        # a mark may join a letter in one case and not in the other; what looks like an added token is one as it is only
+        if "<|" not in text and (text.isascii() or not _MARKS.search(text)):
+            raw = raw.lower()
+        return raw.split()
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with end_id after it, and the end of each."""
         if len(self.numbers) > WORDS or len(self.flat) > IDS:
             self.clear()
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        number = self.numbers.__getitem__
-        codes = np.fromiter((number(w) for ws in words for w in ws), np.int64, sum(map(len, words)))
+        words = list(map(self._words, texts))
+        codes = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         self._learn()
         token_lens = self.lens[codes]
         body = self.flat[expand(self.starts[codes], token_lens)]
