@@ -188,3 +188,34 @@ def test_last_stage_tells_the_place_in_the_mix(spark):
     digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
     want = [(r.mix_place, r.doc_id, digest(r.text)) for r in corpus_pipeline.mixing.mix(docs).collect()]
     assert sorted((r.mix_place, r.doc_id or 0, r.decoded_sha256) for r in got) == sorted((p, d or 0, t) for p, d, t in want)
+
+
+def test_the_mixing_stage_decides_the_places(spark, tmp_path):
+    """Places follow the files that the last stage is given, not another reckoning of the mix."""
+    import corpus_pipeline
+
+    rows = [(k, f"text {k}", "ab"[k % 2]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/plain")
+    corpus_pipeline.mixed(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    plain, mixed = ({r.doc_id: r.mix_place for r in corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/{x}"), "").collect()} for x in ("plain", "mixed"))
+    assert plain == {k: k for k in range(60)}
+    assert mixed != plain and sorted(mixed.values()) == list(range(60))
+    assert mixed == {r.doc_id: r.mix_place for r in corpus_pipeline.mixing.mix(docs).collect()}
+
+
+def test_pipeline_takes_empty_tables_nulls_long_texts_and_clashing_names(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, mix_place int, row_place string, score double"
+    texts = docs.select("doc_id", "text", "lang", "source").collect()
+    clean = docs.filter("toxic = 0 and lang = 'en'").first().text.split()
+    words = random.Random(3).choices(clean, k=30_000)  # a very long text that is no copy of a shorter one
+    rows = [(*r, 1, "x", 0.5) for r in texts] + [(None, " ".join(clean), "en", "s", 1, None, None), (9001, None, None, None, 1, None, None), (9002, " ".join(words), "en", None, 1, None, None)]
+    for name, held in (("full", rows), ("empty", [])):
+        spark.createDataFrame(held, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs.select("doc_id", "toxic").limit(10**6 if held else 0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    ids = [r.doc_id for r in got]
+    assert 9001 not in ids and 9002 in ids and sorted(r.mix_place for r in got) == list(range(len(got)))
