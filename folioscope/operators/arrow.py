@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, _parse_datatype_string  # noqa: PLC2701
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 Rows = Callable[[str], list[tuple]]
 
@@ -43,9 +43,8 @@ def exploded(df: DataFrame, key: str, text: str, columns: str, rows_of: Rows) ->
     """(key, columns): a row for each tuple that rows_of gives for a row's text; texts that are null are left out.
     columns: a schema as in "ord int, label string"."""
     small = small_batches(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    made = _parse_datatype_string(columns)
-    kinds: list[DataType] = [f.dataType for f in made.fields]
-    names = [f.name for f in made.fields]
+    made = StructType.fromDDL(columns)
+    kinds, names = [f.dataType for f in made.fields], made.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = [to_arrow_type(k) for k in kinds]

@@ -1,88 +1,198 @@
-"""A stored keyword index: postings with what a score needs, laid out by term so that a search reads its terms only.
+"""A stored keyword index: postings with places, laid out by term so that a search reads its terms only.
 
-Under ``path``: ``postings`` (bucket, term, key, tf, len, norm, positions), partitioned by a hash bucket of the term and
-sorted by term, so that a search prunes the other buckets by folder and the other terms by row-group statistics; and
-``stats``, one row with the number of rows and their mean length. A frequent term is dealt over ``SPLITS`` files of its
-bucket. An empty text has length 0; a null one counts as a row but not in the mean length, as in the scans of
-``lexical``. Words are compared as the tokenizer gives them.
+Under ``path``:
+
+- ``postings`` (bucket, term, key, kind, tf, len, positions): in folders by a hash of the term, sorted by term and key. Their
+  number, and that of the tasks that write them, follows from the size of the postings; a term of many rows is dealt over
+  tasks, as ranges are cut by term and key.
+- ``terms`` (term, stem, df, cf), sorted by stem; ``norms`` (key, norm), the TF-IDF length of each row;
+- ``stats``, one row: rows, mean length, folders.
+
+A row's words are counted where the row is read, a column of them at a time; only narrow columns move for the document
+frequencies and norms, and places move once, when they are written.
+
+Defined results: a row whose key is null, blank or repeated is refused with an error before anything is written, as
+postings of two rows could not be told apart; an empty text has length 0; a null one counts as a row but not in the mean
+length; an empty table gives an empty index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import arrow, stems
+from folioscope.sources.builds import file_fingerprint
+from folioscope.sources.tables import scratch
+
+#: Bytes of postings that a task writes, and a folder holds, about.
+TASK_BYTES, FOLDER_BYTES, MOST_FOLDERS = 64 << 20, 256 << 20, 4096
+
+
+def folded(term: str) -> str:
+    """The term without accents."""
+    return term if term.isascii() else "".join(c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn")
+
 
-BUCKETS, SPLITS = 32, 4
+def _refuse(rows: DataFrame) -> None:
+    blank = rows.filter(F.col("key").isNull() | (F.trim(F.col("key").cast("string")) == "")).limit(1).count()
+    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and key is not null").select("key").limit(3).collect()
+    if blank or twice:
+        raise ValueError("the index refuses " + ("rows without a key" if blank else f"repeated keys, as {[r.key for r in twice]}"))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _postings(batches: Iterator[pa.RecordBatch], fold: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, words) to one row for each word of each row, with its places in order."""
+    for batch in batches:
+        words = batch["words"]
+        lens = np.diff(words.offsets.to_numpy())
+        first = int(words.offsets[0].as_py()) if len(words) else 0
+        flat = words.values.slice(first, int(lens.sum()))
+        coded = flat.dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if fold:
+            names, number = zip(*((n, k) for k, n in enumerate(dict.fromkeys(map(folded, names)))), strict=True) if names else ((), ())
+            known = dict(zip(names, number, strict=True))
+            codes = np.fromiter((known[folded(w)] for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[codes]
+        row = np.repeat(np.arange(len(lens)), lens)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+        order = np.lexsort((place, codes, row))
+        row, codes, place = row[order], codes[order], place[order]
+        begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
+        tf = np.diff(np.append(begins, len(row)))
+        at = pa.array(row[begins])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)), pa.int32()), pa.array(place, pa.int32()))
+        terms = pa.array(names, pa.string()).take(pa.array(codes[begins]))
+        yield pa.RecordBatch.from_arrays([terms, batch["key"].take(at), batch["kind"].take(at), pa.array(tf, pa.int32()), pa.array(lens, pa.int32()).take(at), lists], ["term", "key", "kind", "tf", "len", "positions"])
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = T.words) -> None:
-    """Write the index of docs; an index at path is replaced."""
+def _with_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([stems.stem(t) for t in batch["term"].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch["term"], found, batch["df"], batch["cf"]], ["term", "stem", "df", "cf"])
+
+
+def _bucket(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = T.words, kind: Column | None = None, fold: bool = False) -> None:
+    """Write the index of docs; an index at path is replaced. kind: what a search may be limited to. fold: whether terms
+    lose their accents."""
     spark = docs.sparkSession
-    split = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
-    split = split.withColumn("len", F.size("words"))
-    split.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
-    # the words of a row stand together, so that this aggregate combines them before they move
-    each = split.select("key", "len", F.posexplode("words").alias("position", "term"))
-    held = each.groupBy("term", "key", "len").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    held.write.mode("overwrite").parquet(f"{path}/draft")
-    draft = spark.read.parquet(f"{path}/draft")
+    rows = arrow.small_batches(docs).select(F.col(key).alias("key"), (F.lit("") if kind is None else F.coalesce(kind.cast("string"), F.lit(""))).alias("kind"), tokens(F.col(text)).alias("words"))
+    _refuse(rows.select("key"))
+    of_key = rows.schema["key"].dataType.simpleString()
+    draft = f"{path}/draft"
+    held = rows.filter(F.size("words") > 0).mapInArrow(lambda it: _postings(it, fold), f"term string, key {of_key}, kind string, tf int, len int, positions array<int>")
+    held.write.mode("overwrite").parquet(draft)
+    draft_rows = spark.read.schema(held.schema).parquet(draft)
+    size = _bytes(spark, draft)
+    folders = min(MOST_FOLDERS, max(1, -(-size // FOLDER_BYTES)))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.lit(folders).alias("folders"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    counted = draft_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    stemmed = counted.mapInArrow(_with_stems, "term string, stem string, df long, cf long")
+    stemmed.repartitionByRange("stem", "term").sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(f"{path}/terms")
     n = F.lit(spark.read.parquet(f"{path}/stats").first().n)
-    df = draft.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = (1 + F.log("tf")) * F.log(1 + n / (1 + F.col("df")))
-    norms = draft.select("term", "key", "tf").join(df, "term").groupBy("key").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    rows = draft.join(norms, "key").withColumn("bucket", _bucket(F.col("term"))).withColumn("split", F.pmod(F.xxhash64("key"), F.lit(SPLITS)))
-    rows = rows.repartition(BUCKETS * SPLITS, "bucket", "split").drop("split").sortWithinPartitions("bucket", "term", "key")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    draft.limit(0).write.mode("overwrite").parquet(f"{path}/draft")
+    weighed = draft_rows.select("term", "key", "tf").join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term")
+    weighed.groupBy("key").agg(F.sqrt(F.sum(weight * weight)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
+
+    laid = draft_rows.withColumn("bucket", _bucket(F.col("term"), folders))
+    laid = laid.repartitionByRange(max(1, -(-size // TASK_BYTES)), "bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    draft_rows.limit(0).write.mode("overwrite").parquet(draft)
+
+
+_SERVED: dict[tuple, str] = {}
+
+
+def served(docs: DataFrame, label: str, **options) -> str:
+    """The path of the index of docs, built when it is first asked for by this session and its files' state. label: names
+    the options, of which those that are functions can't be compared."""
+    spark = docs.sparkSession
+    at = (spark.sparkContext.applicationId, label, file_fingerprint(docs))
+    if at not in _SERVED:
+        path = scratch(spark, f"keyword-index-{label}")
+        build(docs, path, **options)
+        _SERVED[at] = path
+    return _SERVED[at]
+
+
+# --------------------------------------------------------------------------- search
+
+
+def _empty(spark: SparkSession, path: str) -> DataFrame:
+    kind = spark.read.parquet(f"{path}/norms").schema["key"].dataType.simpleString()
+    return spark.createDataFrame([], f"bucket int, term string, key {kind}, kind string, tf int, len int, positions array<int>")
 
 
 def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    """The rows of the index for these words; other buckets and terms are not read."""
-    buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(_bucket(F.col("w")).alias("b")).distinct().collect()]
-    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+    """The rows of the index for these words; other folders and terms are not read."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    if not words or spark.read.parquet(f"{path}/terms").limit(1).count() == 0:
+        return _empty(spark, path)
+    buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(_bucket(F.col("w"), stats.folders).alias("b")).distinct().collect()]
+    return spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+
 
+def _best(scored: DataFrame, k: int | None) -> DataFrame:
+    scored = scored.filter("score > 0")
+    return scored if k is None else scored.orderBy(F.desc("score"), "key").limit(k)
 
-def bm25(spark: SparkSession, path: str, words: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the k best rows by Okapi BM25, ties to the smaller key."""
-    held = postings(spark, path, words)
+
+def bm25(spark: SparkSession, path: str, words: list[str], k: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the k best rows by Okapi BM25, ties to the smaller key; k None: all that have a score."""
+    held = postings(spark, path, words).drop("positions")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each word of the query
     stats = spark.read.parquet(f"{path}/stats")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = held.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.filter("score > 0").orderBy(F.desc("score"), "key").limit(k)
+    return _best(scored, k)
 
 
-def tfidf(spark: SparkSession, path: str, words: list[str], k: int) -> DataFrame:
+def tfidf(spark: SparkSession, path: str, words: list[str], k: int | None) -> DataFrame:
     """(key, score) of the k best rows by TF-IDF, normed by the whole row."""
-    held = postings(spark, path, words)
+    held = postings(spark, path, words).drop("positions")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = (1 + F.log("tf")) * F.log(1 + F.col("n") / (1 + F.col("df")))
     joined = held.join(F.broadcast(df), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats")))
-    scored = joined.groupBy("key").agg(F.round(F.sum(weight) / F.max("norm"), 6).alias("score"))
-    return scored.filter("score > 0").orderBy(F.desc("score"), "key").limit(k)
+    dots = joined.groupBy("key").agg(F.sum(weight).alias("dot"))
+    normed = dots.join(spark.read.parquet(f"{path}/norms"), "key")
+    return _best(normed.select("key", F.round(F.col("dot") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0), 6).alias("score")), k)
 
 
 def _less(k: int) -> Callable[[Column], Column]:
     return lambda p: p - k
 
 
+def _together(units: list[str], places: Callable[[str], Column]) -> Column:
+    """The places at which the units stand one after another, from the column of each one's places."""
+    common = places(units[0])
+    for k, unit in enumerate(units[1:], 1):
+        common = F.array_intersect(common, F.transform(places(unit), _less(k)))
+    return common
+
+
 def phrase(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """(key, places): the rows in which the words stand one after another, and how often."""
-    held = postings(spark, path, sorted(set(words)))
-    starts = None
-    for k, word in enumerate(words):
-        at = held.filter(F.col("term") == word).select("key", F.transform("positions", _less(k)).alias(f"at{k}"))
-        starts = at if starts is None else starts.join(at, "key")
-    common = F.col("at0")
-    for k in range(1, len(words)):
-        common = F.array_intersect(common, F.col(f"at{k}"))
-    return starts.select("key", F.size(common).alias("places")).filter("places > 0")
+    distinct = sorted(set(words))
+    held = postings(spark, path, distinct)
+    each = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"at{k}") for k, w in enumerate(distinct)]
+    rows = held.groupBy("key").agg(*each)
+    common = _together(words, lambda w: F.col(f"at{distinct.index(w)}"))
+    return rows.select("key", F.size(common).alias("places")).filter("places > 0")

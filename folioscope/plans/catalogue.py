@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
-from folioscope.operators import lexical, matcher
+from folioscope.operators import index, lexical, matcher
 from folioscope.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ n = lambda name="n": F.count(F.lit(1)).alias(name)
 
 # --------------------------------------------------------------------------- retrieval
 
+
+def bm25_hits(spark: SparkSession, d: str, k: int | None) -> DataFrame:
+    """(doc_id, score) of the best documents from the stored index of words, which is built when it is first asked for."""
+    path = index.served(load(spark, d, "documents"), "documents-words", tokens=T.words)
+    return index.bm25(spark, path, QUERY_WORDS, k).withColumnRenamed("key", "doc_id")
+
+
 _TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]+')) AS term FROM documents"
 
 
@@ -41,7 +48,9 @@ w AS (SELECT doc_id, p.term, (1 + ln(tf)) * ln(1 + n / (1 + df)) AS w FROM p JOI
 s AS (SELECT doc_id, sum(CASE WHEN term IN ('the', 'thing', 'with', 'that') THEN w END) dot, sqrt(sum(w * w)) norm FROM w GROUP BY 1)
 SELECT doc_id, round(dot / CASE WHEN norm > 0 THEN norm ELSE 1 END, 6) AS score FROM s WHERE dot > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def lex_tfidf_topk(spark, d):
-    return lexical.tfidf_topk(load(spark, d, "documents"), QUERY_WORDS, 20)
+    """From the stored index of retrieval tokens, which is built when it is first asked for."""
+    path = index.served(load(spark, d, "documents"), "documents-tokens", tokens=T.tokens)
+    return index.tfidf(spark, path, QUERY_WORDS, 20).withColumnRenamed("key", "doc_id")
 
 
 _BM25 = """
@@ -54,7 +63,7 @@ SELECT doc_id, score FROM r WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {k
 
 @query(_BM25.replace("{k}", "20"))
 def lex_bm25_topk(spark, d):
-    return lexical.bm25_topk(load(spark, d, "documents"), QUERY_WORDS, 20)
+    return bm25_hits(spark, d, 20)
 
 
 def _vector_zero(spark, d):
@@ -86,7 +95,7 @@ SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, string_agg(m, '+'
 def hybrid_rrf(spark, d):
     """Vectors stand for documents of the same number."""
     semantic = lexical.cosine_topk(load(spark, d, "embeddings"), _vector_zero(spark, d), 100).withColumnRenamed("vec_id", "doc_id")
-    return lexical.fuse({"lexical": lexical.bm25_topk(load(spark, d, "documents"), QUERY_WORDS, 100), "semantic": semantic}, "doc_id", 20)
+    return lexical.fuse({"lexical": bm25_hits(spark, d, 100), "semantic": semantic}, "doc_id", 20)
 
 
 # --------------------------------------------------------------------------- matcher

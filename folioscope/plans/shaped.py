@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
-from folioscope.operators import index, lexical, shaping
-from folioscope.plans.catalogue import _BM25, _HOST, ORACLE_SQL, QUERIES, QUERY_WORDS, n, query
+from folioscope.operators import index, shaping
+from folioscope.plans.catalogue import _BM25, _HOST, ORACLE_SQL, QUERIES, QUERY_WORDS, bm25_hits, n, query
 from folioscope.sources.tables import load, scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -153,7 +153,7 @@ WITH h AS (SELECT doc_id, score, source, row_number() OVER (ORDER BY score DESC,
 SELECT source, count(*) AS hits, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY r) AS items, row_number() OVER (ORDER BY min(r))::INTEGER AS place FROM h GROUP BY source""")
 def hits_by_source(spark, d):
     docs = load(spark, d, "documents")
-    hits = lexical.bm25_topk(docs, QUERY_WORDS, 50)
+    hits = bm25_hits(spark, d, 50)
     grouped = shaping.grouped_by_source(docs.select("doc_id", "source").join(F.broadcast(hits), "doc_id"), "source", "doc_id", "score")
     return grouped.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
@@ -165,7 +165,7 @@ def lex_phrase_first(spark, d):
     """Documents that hold the phrase come before those that only hold its words."""
     docs = load(spark, d, "documents")
     held = F.lower("text").rlike(r"(^|[^\p{L}\p{N}])with that([^\p{L}\p{N}]|$)")
-    scored = lexical.bm25_topk(docs, QUERY_WORDS, None).join(docs.select("doc_id", F.when(held, 1000).otherwise(0).alias("lift")), "doc_id")
+    scored = bm25_hits(spark, d, None).join(docs.select("doc_id", F.when(held, 1000).otherwise(0).alias("lift")), "doc_id")
     return scored.select("doc_id", (F.col("score") + F.col("lift")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
