@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.sources.tables import scratch
+from folioscope.sources.tables import kept
 
 
 def held_of(words: Column, wanted: Iterable[str]) -> Column:
@@ -23,34 +23,32 @@ def placed(df: DataFrame, within: Sequence[Column], order: Sequence[Column], nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
 
 
-def chain_roots(df: DataFrame, row: str, parent: str, rounds: int = 6) -> DataFrame:
+def chain_roots(df: DataFrame, row: str, parent: str) -> DataFrame:
     """(row, root, depth): the end of each row's chain of parents, and how many steps away it is.
 
-    Each round doubles the steps (a row takes over what the ancestor it has reached knows), so that chains of up to
-    2 ** rounds steps take ``rounds`` joins and not one for each step; each round is written, so that plans don't double.
-    A parent that is no row ends a chain. Rows whose chain has no end within the steps, as in a cycle, have no root and no
-    depth; so have rows with a null id. Ids are distinct."""
-    spark = df.sparkSession
+    Each round doubles the steps (a row takes over what the ancestor it has reached knows) and is written, so that plans
+    don't double. A chain without a cycle has no more steps than there are rows, so that after as many rounds as double one
+    step beyond their number every chain has ended that ever does: the rounds follow from the table, and stop early when no
+    chain is open or a round ends none. A parent that is no row ends a chain. Rows whose chain
+    runs into a cycle have no root and no depth; so have rows with a null id. Ids are distinct."""
     start = df.select(F.col(row).alias("row"), F.coalesce(parent, row).alias("top"), F.col(parent).isNotNull().cast("long").alias("depth"), F.col(parent).isNull().alias("ended"))
-    state = _kept(start, "chain-0")
-    for k in range(rounds + 1):
-        if state.filter("not ended").isEmpty():
+    state = kept(start, "chain-0")
+    rows, open_ = state.agg(F.count(F.lit(1)), F.count_if(~F.col("ended"))).first()
+    for k in range(rows.bit_length() + 1):
+        if not open_:
             break
         known = state.select(F.col("row").alias("above"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("ended").alias("done"))
         joined = state.join(known, (F.col("top") == F.col("above")) & ~F.col("ended"), "left")
-        depth = F.col("depth") + F.coalesce("more", F.lit(0))
         ended = F.col("ended") | F.col("above").isNull() | F.col("done")
-        state = _kept(joined.select("row", F.coalesce("next", "top").alias("top"), depth.alias("depth"), ended.alias("ended")), f"chain-{k + 1}")
-    sure = F.col("ended") & F.col("row").isNotNull() & (F.col("depth") <= 2**rounds)
+        depth = F.col("depth") + F.coalesce("more", F.lit(0))
+        state = kept(joined.select("row", F.coalesce("next", "top").alias("top"), depth.alias("depth"), ended.alias("ended")), f"chain-{k + 1}")
+        before, open_ = open_, state.agg(F.count_if(~F.col("ended"))).first()[0]
+        if open_ == before:  # of the chains that end, the shortest open one ends in each round
+            break
+    sure = F.col("ended") & F.col("row").isNotNull()
     return state.select(F.col("row").alias(row), F.when(sure, F.col("top")).alias("root"), F.when(sure, F.col("depth")).alias("depth"))
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def reading_path(df: DataFrame, source: str, at: str, row: str) -> DataFrame:
     """(source, row, reasons) of each source's anchors: its earliest, middle and latest row; a row that is several of
     them has its reasons merged. One sort for each source."""

@@ -54,6 +54,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a fresh shared folder and read again: its lineage ends here, and a lost executor loses nothing of it."""
+    path = scratch(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def promote(df: DataFrame, path: str, gate: Callable[[DataFrame], list[str]]) -> list[str]:
     """Write df beside path, read it back, ask the gate, and put it in place of path only if the gate finds nothing.
     Returns what the gate found; path is then as it was."""
