@@ -132,9 +132,9 @@ def _quotes(docs):
     return docs.select("doc_id", F.substring("text", start, F.lit(6)).alias("span"), F.substring("text", F.greatest(start - 60, F.lit(1)), F.lit(240)).alias("context"))
 
 
-@query("SELECT doc_id, regexp_extract(text, '(?i)of the') AS span, substr(text, greatest(strpos(lower(text), 'of the') - 60, 1), 240) AS context FROM documents WHERE contains(lower(text), 'of the') AND lang = 'en'")
+@query("SELECT doc_id, regexp_extract(text, '(?i)of the') AS span, substr(text, greatest(strpos(lower(text), 'of the') - 60, 1), 240) AS context FROM documents WHERE contains(lower(text), 'of the')")
 def quote_context(spark, d):
-    return _quotes(load(spark, d, "documents").filter("lang = 'en'"))
+    return _quotes(load(spark, d, "documents"))
 
 
 @query("SELECT doc_id, regexp_extract(text, '(?i)of the') AS span, substr(text, greatest(strpos(lower(text), 'of the') - 60, 1), 240) AS context FROM documents WHERE contains(lower(text), 'of the')")
@@ -180,26 +180,21 @@ def _signals(docs, text):
     return r.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("source", "term", "n", "score", "rank")
 
 
-@query("""
-WITH t AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(left(text, 1800)), '[a-z][a-z]{3,}'))) AS term FROM documents),
-c AS (SELECT source, term, count(*) n FROM t GROUP BY 1, 2), y AS (SELECT term, count(*) k FROM c GROUP BY 1), s AS (SELECT count(DISTINCT source) m FROM documents),
-r AS (SELECT source, c.term, n, round(n * ln(1 + m / k), 6) score FROM c JOIN y USING (term), s)
-SELECT source, term, n, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, n DESC, term)::INTEGER AS rank FROM r) WHERE rank <= 5""")
-def yearly_signals(spark, d):
-    """Signals of the first 1800 characters, which is the length of the surveyed operator's chunks and what the SQL asks for."""
-    return _signals(load(spark, d, "documents"), F.left("text", F.lit(1800)))
-
-
 @query("""
 WITH t AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z]{3,}'))) AS term FROM documents),
 c AS (SELECT source, term, count(*) n FROM t GROUP BY 1, 2), y AS (SELECT term, count(*) k FROM c GROUP BY 1), s AS (SELECT count(DISTINCT source) m FROM documents),
 r AS (SELECT source, c.term, n, round(n * ln(1 + m / k), 6) score FROM c JOIN y USING (term), s)
 SELECT source, term, n, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, n DESC, term)::INTEGER AS rank FROM r) WHERE rank <= 5""")
-def yearly_signals_whole(spark, d):
+def yearly_signals(spark, d):
     """Signals of whole texts."""
     return _signals(load(spark, d, "documents"), F.col("text"))
 
 
+#: The name that the query of whole texts had beside one of prefixes.
+QUERIES["yearly_signals_whole"] = yearly_signals
+ORACLE_SQL["yearly_signals_whole"] = ORACLE_SQL["yearly_signals"]
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), ())")
 def counts_multi_dim(spark, d):
     cols = ["l_returnflag", "l_linestatus", "l_linenumber"]

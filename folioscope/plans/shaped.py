@@ -142,9 +142,9 @@ def lookup_with_ambiguity(spark, d):
 # --------------------------------------------------------------------------- pages, groups, terms
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents WHERE lang = 'en' GROUP BY sha256(coalesce(text, '')) ORDER BY doc_id LIMIT 40")
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(coalesce(text, '')) ORDER BY doc_id LIMIT 40")
 def page_without_twins(spark, d):
-    docs = load(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    docs = load(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
     return shaping.without_twins(docs, F.col("hash"), [F.col("doc_id")], 40).select("doc_id")
 
 

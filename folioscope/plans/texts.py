@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls as U
-from folioscope.operators import links, segments
+from folioscope.operators import links, matcher, segments
 from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query
 from folioscope.sources.tables import load
 
@@ -115,3 +115,50 @@ def chunk_bodies(spark, d):
 def chunk_places(spark, d):
     """Where each chunk of each text stands: its lead-in, its own body and its words."""
     return segments.chunk_rows(load(spark, d, "documents"), "doc_id").select("doc_id", "ord", "lead", "start", "stop", "words")
+
+
+@query(_KINDS + "SELECT url, min(page_id) AS first_page, count(DISTINCT page_id) AS pages, count(*) AS shown, count(DISTINCT page_id) > 1 AS shared FROM l WHERE kind = 'image' GROUP BY url")
+def shared_images(spark, d):
+    """Each image of the planted Markdown once: where it is first shown, on how many pages, and whether several share it."""
+    found = links.links(planted_markdown(spark, d), "page_id", "markdown").filter("kind = 'image'")
+    pages = F.count_distinct("page_id")
+    return found.groupBy("url").agg(F.min("page_id").alias("first_page"), pages.alias("pages"), F.count(F.lit(1)).alias("shown"), (pages > 1).alias("shared"))
+
+
+_RULES = {
+    "double entity": r"&amp;(amp|lt|gt|quot|nbsp|#[0-9]+);",
+    "template leak": r"(\{\{|\{%|<%=|\$\{)",
+    "mojibake": r"(Ã[\x{0080}-\x{00BF}]|â€|\x{FFFD})",
+    "markup in a title": r"(?is)<title[^>]*>[^<]*([*#%$&]{3})",
+    "empty paragraph": r"(?is)<p[^>]*>\s*(<br\s*/?>)?\s*</p>",
+    "paragraph in a paragraph": r"(?is)<p\\b[^>]*>[^<]*(<b>[^<]*)?(<br\\s*/?>)?<p\\b",
+    "link without a target": r"(?is)<a\b[^>]*href=\"\s*(#|javascript:[^\"]*)?\s*\"",
+    "script text": r"(?is)<script",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) AS pages, min(page_id) AS first_page FROM pages WHERE regexp_matches(html, '{rule}')" for name, rule in _RULES.items()))
+def page_findings(spark, d):
+    """By rule, how many pages break it and the first that does; rules that no page breaks are there with none."""
+    rows = load(spark, d, "pages")
+    hit = {name: F.coalesce(F.col("html").rlike(rule), F.lit(False)) for name, rule in _RULES.items()}
+    one = rows.agg(*[F.struct(F.count_if(c).alias("pages"), F.min(F.when(c, F.col("page_id"))).alias("first_page")).alias(name) for name, c in hit.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`.pages"), F.col(f"`{name}`.first_page")) for name in hit])).alias("r")).select("r.*")
+
+
+_REASON = lambda name: rf"(^|[^\p{{L}}\p{{N}}]){name}([^\p{{L}}\p{{N}}]|$)"
+
+
+@query(
+    f"""
+SELECT page_id, concat_ws(' ', CASE WHEN regexp_matches(title, '(?i){_REASON("onwh")}') THEN 'title:onwh' END, CASE WHEN regexp_matches(title, '(?i){_REASON("oui")}') THEN 'title:oui' END,
+  CASE WHEN regexp_matches(html, '(?i){_REASON("onwh")}') THEN 'body:onwh' END, CASE WHEN regexp_matches(html, '(?i){_REASON("oui")}') THEN 'body:oui' END) AS reasons
+FROM (SELECT page_id, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages) WHERE regexp_matches(html, '(?i){_REASON("onwh")}') OR regexp_matches(html, '(?i){_REASON("oui")}')"""
+)
+def match_reasons(spark, d):
+    """Why a page matches a term or its other name: the field and the name that hit there."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    why = [matcher.reasons({"title": title, "body": F.col("html")}, {name: ()}) for name in ("onwh", "oui")]
+    rows = load(spark, d, "pages").select("page_id", F.concat(*why).alias("why")).filter(F.size("why") > 0)
+    text = F.transform(F.array_sort(F.transform("why", lambda r: F.struct((r["field"] != "title").alias("late"), r["name"].alias("name"), r["field"].alias("field")))), lambda r: F.concat(r["field"], F.lit(":"), r["name"]))
+    return rows.select("page_id", F.array_join(text, " ").alias("reasons"))

@@ -117,3 +117,27 @@ def test_quotes_of_any_language(spark, tmp_path):
     got = sorted(map(tuple, __spark_entry__.queries()["quote_context_all"](spark, str(tmp_path)).collect()))
     assert [r[:2] for r in got] == [(0, "Of The"), (1, "of the"), (2, "of the")]
     assert got == sorted(con.execute(__spark_entry__.oracle_sql()["quote_context_all"]).fetchall())
+
+
+def test_accents_of_all_latin_blocks_and_typed_signs(spark):
+    hit = lambda text, term, **o: column(spark, [text], lambda c: matcher.matches(c, term, **o))[0]
+    assert all(hit(t, "lodz") for t in ("Łódź", "LÓDZ", "lodź", "ŁODZ"))
+    assert hit("smørrebrød", "smorrebrod") and hit("ệ", "e") and hit("Ǿ", "o") and not hit("œ", "o")
+    assert hit("it’s “so” — here", 'it\'s "so" - here', mode="literal") and hit("well known", "well known", mode="literal")
+    assert matcher.plain("Łódź đ Ħ é") == "Lodz d H e"
+
+
+def test_labels_aliases_hits_and_reasons(spark):
+    families = [("minn", "Minne Bar", "mb"), ("x",)]
+    assert matcher.aliases_for("Minne bar", families) == ("minn", "mb") and matcher.aliases_for("nobody", families) == ()
+    assert matcher.aliases_for("mb/Zed", families) == ("mb", "Zed", "minn", "Minne Bar")
+    labels = ["Élan", " «elan»! ", "elan vital", "Minne  Bar", None, ""]
+    assert column(spark, labels, lambda c: matcher.whole_label(c, "elan", ("minne bar",))) == [True, True, False, True, False, False]
+    assert column(spark, ["An elan, Élan. élans", None], lambda c: matcher.hits(c, "elan")) == [["elan", "Élan"], []]
+    df = spark.createDataFrame([("the Bar of minn", None), ("x", "Minne Bar"), (None, "zed")], "a string, b string")
+    rows = df.select(matcher.reasons({"a": F.col("a"), "b": F.col("b")}, {"minn": ("minne bar",), "bar": ()}).alias("r")).collect()
+    assert [[tuple(x) for x in r.r] for r in rows] == [
+        [("a", "minn", "minn", "minn", 12, True), ("a", "bar", "bar", "Bar", 5, True)],
+        [("b", "minn", "minne bar", "Minne Bar", 1, False), ("b", "bar", "bar", "Bar", 7, True)],
+        [],
+    ]
