@@ -61,17 +61,28 @@ class _Numbers(dict):
         return number
 
 
-#: The tokenizer's pattern for words of printable ASCII signs in lower case, and the pattern itself.
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The tokenizer's pattern for words of printable ASCII signs and Latin-1 letters in lower case, and the pattern itself.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(rb"[!-~]+").fullmatch
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _MARKS = regex.compile(r"\p{M}")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the vocabulary: printable bytes for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordwiseEncoder:
     """Ids of texts by a tokenizer of the tokenizers library whose pre-tokens don't span white space and that lowers case,
-    as its encode gives them without special tokens around. Words of printable ASCII signs are cut by its pattern, and
-    each part is given to its model once; others, and words that may hold an added token, go through the library whole."""
+    as its encode gives them without special tokens around. Words of printable ASCII signs and Latin-1 letters, which no
+    normal form changes, are cut by its pattern, and each part is given to its model once; others, and words that may hold
+    an added token, go through the library whole."""
 
     def __init__(self, config: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -94,7 +105,8 @@ class WordwiseEncoder:
         self.lens, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _part(self, part: str) -> list[int]:
-        found = self.parts[part] = [t.id for t in self.model.tokenize(part)]
+        mapped = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        found = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
         return found
 
     def _learn(self) -> None:
@@ -102,9 +114,10 @@ class WordwiseEncoder:
         if not words:
             return
         found, known, other = [], self.parts, []
-        for word in words:
-            if _PLAIN(word) and b"<|" not in word:
-                parts = _ASCII_PARTS.findall(word.lower().decode("ascii"))
+        texts = [w.decode("utf-8", "replace") for w in words]
+        for word in texts:
+            if _PLAIN(word) and "<|" not in word:
+                parts = _PARTS.findall(word.lower())
                 if len(parts) == 1:
                     found.append(known.get(parts[0]) or self._part(parts[0]))
                 else:
@@ -114,7 +127,7 @@ class WordwiseEncoder:
                 found.append([])
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            encoded = self.tokenizer.encode_batch([words[k].decode("utf-8", "replace") for k in part], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch([texts[k] for k in part], add_special_tokens=False)
             for k, e in zip(part, encoded, strict=True):
                 found[k] = e.ids
         lens = np.fromiter(map(len, found), np.int64, len(found))

@@ -119,6 +119,20 @@ def brute_pieces(rows, capacity):
 TEXTS = ["Hello World's 123 été É é ́x ﬁ İstanbul ΣΑΣ", "a<|endoftext|>b <|STARTOFTEXT|> <|startoftext|>", "x\x1cy\x85z w v", "don't we'll I'M", "日本語テキスト 한국어 가", "", None, " \n\t ", "🙂🙃 👩‍👩‍👧 a‍b", "﻿bom \x00 nul", "word " * 300, "q" * 3000]
 
 
+def test_words_of_all_kinds_get_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    signs = "abzABZ09'´!-#~<|>.,ÀàÖöØøÿßẞµªº×÷éÉœŒĀāİıſΣσςж中한🙂\u0301\u0300\u00ad\u200d\x7f\x01'st'll're"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(4000)] + ["it's", "IT'S", "Été'll", "ÇA", "naïve", "Straße", "STRASSE", "e\u0301", "E\u0301", "H\u0331", "<|endoftext|>", "x<|endoftext|>É", "<|ENDOFTEXT|>"]
+    joined = [" ".join(rng.choice(texts) for _ in range(rng.randrange(6))) for _ in range(1500)]
+    library, encoder = Tokenizer.from_file(WORDS), packing.WordwiseEncoder(open(WORDS).read())
+    for part in (texts, joined):
+        ids, ends = encoder.encode(part, 1)
+        want = [[*e.ids, 1] for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
 def check_packing(placed, capacity):
     sequences = {}
     for r in placed:
