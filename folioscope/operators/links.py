@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import urls as U
+from folioscope.functions.names import free_names
 from folioscope.operators import arrow
 
 _SIGN = regex.compile(r"(?P<escape>\\[!-/:-@\[-`{-~])|(?P<blank>\n[ \t]*\n)|(?P<open>!?\[)|(?P<close>\])")
@@ -129,13 +130,14 @@ def unlinked(text: str) -> str:
 def with_roles(found: DataFrame, df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """found (of ``links``) with role: ``headline`` if nothing but the link, and signs of a heading, stands in its line;
     ``media`` for images; ``commentary`` otherwise."""
-    body = df.select(F.col(key).alias("_of"), F.col(text).alias("_text"))
-    joined = found.join(body, found[key] == F.col("_of"))
-    ahead = F.substring_index(F.expr("left(_text, start)"), "\n", -1)
-    after = F.substring_index(F.expr("substring(_text, stop + 1)"), "\n", 1)
+    free = free_names([*found.columns, "role"])
+    of, body = free("of"), free("body")
+    joined = found.join(df.select(F.col(key).alias(of), F.col(text).alias(body)), F.col(key) == F.col(of))
+    ahead = F.substring_index(F.left(F.col(body), F.col("start")), "\n", -1)
+    after = F.substring_index(F.substring(F.col(body), F.col("stop") + 1, F.length(body)), "\n", 1)
     alone = ahead.rlike(r"^[ \t]*(#{1,6}[ \t]+|[-*+][ \t]+)?$") & after.rlike(r"^[ \t]*#*[ \t]*$")
     role = F.when(F.col("kind") == "image", "media").when(alone, "headline").otherwise("commentary")
-    return joined.withColumn("role", role).drop("_of", "_text")
+    return joined.withColumn("role", role).drop(of, body)
 
 
 def link_view(found: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions.names import free_names
 from folioscope.operators import arrow
 from folioscope.sources.tables import kept
 
@@ -22,8 +23,8 @@ def range_join(points: DataFrame, spans: DataFrame, at: Column, start: Column, s
     A span of length up to 2^l lies in one or two bins of 2^l; a point has one bin for each such l that occurs, of which
     there are 63 at most. So a pair meets once, by an equality key, and no long span is repeated often. Nulls meet nothing,
     nor does a span that stops before it starts."""
-    taken = {c.lower() for c in [*points.columns, *spans.columns]}
-    level, bin_, place, low, high = (_free(taken, c) for c in ("level", "bin", "place", "low", "high"))
+    free = free_names([*points.columns, *spans.columns])
+    level, bin_, place, low, high = (free(c) for c in ("level", "bin", "place", "low", "high"))
     width = F.greatest(F.col(high) - F.col(low), F.lit(1)).cast("double")
     sized = spans.withColumns({low: start.cast("long"), high: stop.cast("long")}).filter(F.col(low) <= F.col(high))
     sized = sized.withColumn(level, F.ceil(F.log2(width)).cast("int"))
@@ -41,13 +42,6 @@ def _shifted(number: str, by: str) -> Column:
     return F.call_function("shiftright", F.col(number), F.col(by))
 
 
-def _free(taken: set[str], name: str) -> str:
-    while name.lower() in taken:
-        name = f"{name}_"
-    taken.add(name.lower())
-    return name
-
-
 # --------------------------------------------------------------------------- lines
 
 
@@ -143,8 +137,8 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str)
     """df with each row's place (from 1) among the rows of its keys. Rows are cut into ranges of keys and order and written;
     a row's place is its number in its file, corrected by where its keys begin there and by how many rows of them stand
     in the files before. So a key of any number of rows is spread over tasks. The order must be total."""
-    taken = {c.lower() for c in df.columns} | {name.lower()}
-    file, index, first, held = (_free(taken, c) for c in ("file", "index", "first", "held"))
+    free = free_names([*df.columns, name])
+    file, index, first, held = (free(c) for c in ("file", "index", "first", "held"))
     rows = kept(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order), "ranked")
     rows = rows.select("*", F.col("_metadata")["file_path"].alias(file), F.col("_metadata")["row_index"].alias(index))
     parts = rows.groupBy(file, *keys).agg(F.min(index).alias(first), F.count(F.lit(1)).alias(held))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions.names import free_names
 from folioscope.sources.tables import kept
 
 
@@ -52,29 +53,36 @@ def chain_roots(df: DataFrame, row: str, parent: str) -> DataFrame:
 def reading_path(df: DataFrame, source: str, at: str, row: str) -> DataFrame:
     """(source, row, reasons) of each source's anchors: its earliest, middle and latest row; a row that is several of
     them has its reasons merged. One sort for each source."""
+    free = free_names([source, at, row])
+    place, held = free("place"), free("held")
     order = Window.partitionBy(source).orderBy(at, row)
-    ranked = df.select(source, at, row, F.row_number().over(order).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy(source)).alias("_n"))
-    why = F.concat_ws("+", F.when(F.col("_k") == 1, "earliest"), F.when(F.col("_k") == F.expr("(_n + 1) div 2"), "middle"), F.when(F.col("_k") == F.col("_n"), "latest"))
+    ranked = df.select(source, at, row, F.row_number().over(order).alias(place), F.count(F.lit(1)).over(Window.partitionBy(source)).alias(held))
+    middle = F.floor((F.col(held) + 1) / 2)
+    why = F.concat_ws("+", F.when(F.col(place) == 1, "earliest"), F.when(F.col(place) == middle, "middle"), F.when(F.col(place) == F.col(held), "latest"))
     return ranked.select(source, row, why.alias("reasons")).filter("reasons <> ''")
 
 
 def without_lead_in(df: DataFrame, source: str, order: str, words: str, most: int) -> DataFrame:
     """df whose word arrays no longer begin with the words that end the row before of the same source: the longest such
     run of at most ``most`` words goes."""
+    free = free_names(df.columns)
+    ahead, said_by = free("before"), free("said")
     before = F.lag(words).over(Window.partitionBy(source).orderBy(order))
-    now, last = F.col(words), F.col("_before")
+    now, last = F.col(words), F.col(ahead)
     same = lambda k: F.slice(now, F.lit(1), k) == F.slice(last, F.size(last) - k + 1, k)
     run = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(most), F.size(now), F.size(last))), same))
     said = F.when(last.isNull() | (F.size(last) == 0) | (F.size(now) == 0), F.lit(0)).otherwise(F.coalesce(run, F.lit(0)))
-    rows = df.withColumn("_before", before).withColumn("_said", said)
-    return rows.withColumn(words, F.slice(now, F.col("_said") + 1, F.greatest(F.size(now), F.lit(1)))).drop("_before", "_said")
+    rows = df.withColumn(ahead, before).withColumn(said_by, said)
+    return rows.withColumn(words, F.slice(now, F.col(said_by) + 1, F.greatest(F.size(now), F.lit(1)))).drop(ahead, said_by)
 
 
 def repeated_runs(df: DataFrame, row: str, words: Column, n: int = 5, apart: int = 5) -> DataFrame:
     """(row, runs): how many runs of n words stand in a text at two places at least ``apart`` words from each other. What
     moves is a hash of each run with its first and last place, combined where it is read."""
-    toks = df.select(row, words.alias("_w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda k: F.xxhash64(F.array_join(F.slice("_w", k, F.lit(n)), " ")))
-    each = toks.filter(F.size("_w") >= n).select(row, F.posexplode(grams).alias("_at", "_gram"))
-    ends = each.groupBy(row, "_gram").agg(F.min("_at").alias("_a"), F.max("_at").alias("_b")).filter(F.col("_b") - F.col("_a") >= apart)
+    free = free_names([row, "runs"])
+    said, at, gram, first, last = (free(c) for c in ("said", "at", "gram", "first", "last"))
+    toks = df.select(row, words.alias(said))
+    grams = F.transform(F.sequence(F.lit(1), F.size(said) - n + 1), lambda k: F.xxhash64(F.array_join(F.slice(said, k, F.lit(n)), " ")))
+    each = toks.filter(F.size(said) >= n).select(row, F.posexplode(grams).alias(at, gram))
+    ends = each.groupBy(row, gram).agg(F.min(at).alias(first), F.max(at).alias(last)).filter(F.col(last) - F.col(first) >= apart)
     return ends.groupBy(row).agg(F.count(F.lit(1)).alias("runs"))

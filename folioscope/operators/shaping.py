@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.functions.names import free_names
+
 # --------------------------------------------------------------------------- scope
 
 
@@ -38,8 +40,9 @@ def tri_state(flag: Column, wanted: bool | None) -> Column:
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, begin: str, end: str) -> DataFrame:
     """Points with the spans of the same key that hold them (begin <= at <= end)."""
-    spans = spans.withColumnRenamed(key, "_span_key")
-    return points.join(spans, (F.col(key) == F.col("_span_key")) & (F.col(at) >= F.col(begin)) & (F.col(at) <= F.col(end))).drop("_span_key")
+    own = free_names([*points.columns, *spans.columns])("span_key")
+    spans = spans.withColumnRenamed(key, own)
+    return points.join(spans, (F.col(key) == F.col(own)) & (F.col(at) >= F.col(begin)) & (F.col(at) <= F.col(end))).drop(own)
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str, days: int = 1) -> DataFrame:
@@ -47,9 +50,10 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str,
     an equi-join finds them. Columns of the right side are prefixed with ``other_``."""
     other = right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns])
     around = F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add(f"other_{day}", k)))
-    other = other.withColumn("_band", around)
-    on = [F.col(k) == F.col(f"other_{k}") for k in keys] + [F.col(day) == F.col("_band")]
-    return left.join(other, on).drop("_band")
+    band = free_names([*left.columns, *other.columns])("band")
+    other = other.withColumn(band, around)
+    on = [F.col(k) == F.col(f"other_{k}") for k in keys] + [F.col(day) == F.col(band)]
+    return left.join(other, on).drop(band)
 
 
 def attributed(rows: DataFrame, row: str, rules: Sequence[DataFrame]) -> DataFrame:
@@ -84,7 +88,7 @@ def mutual_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def lookup(names: DataFrame, rows: DataFrame, name: str, row: str) -> DataFrame:
     """Each asked name with the row it names, or why there is none: missing or ambiguous."""
-    found = rows.join(F.broadcast(names), name, "left_semi").groupBy(name).agg(F.count(F.lit(1)).alias("held"), F.min(row).alias(row))
+    found = rows.join(names, name, "left_semi").groupBy(name).agg(F.count(F.lit(1)).alias("held"), F.min(row).alias(row))
     state = F.when(F.col("held").isNull(), "missing").when(F.col("held") > 1, "ambiguous").otherwise("found")
     return names.join(found, name, "left").select(name, state.alias("state"), F.when(F.col("held") == 1, F.col(row)).alias(row))
 
@@ -95,16 +99,18 @@ def lookup(names: DataFrame, rows: DataFrame, name: str, row: str) -> DataFrame:
 def without_twins(df: DataFrame, twin: Column, order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows in order, of rows with equal twin keys only the first. Each key keeps its best row by an
     aggregate with map-side combination, not by a window over the key."""
-    ranked = df.withColumn("_twin", twin)
-    best = ranked.groupBy("_twin").agg(F.min(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in df.columns])).alias("_best"))
-    return best.select(*[F.col("_best")[f"_{c}"].alias(c) for c in df.columns]).orderBy(*order).limit(k)
+    free = free_names(df.columns)
+    of, best, held = free("twin"), free("best"), {c: free(f"kept_{c}") for c in df.columns}
+    first = df.withColumn(of, twin).groupBy(of).agg(F.min(F.struct(*order, *[F.col(c).alias(held[c]) for c in df.columns])).alias(best))
+    return first.select(*[F.col(best)[held[c]].alias(c) for c in df.columns]).orderBy(*order).limit(k)
 
 
 def grouped_by_source(hits: DataFrame, source: str, item: str, score: str) -> DataFrame:
     """Ranked hits (few: a top-k) by source, in order of each source's best hit."""
-    order = F.row_number().over(Window.orderBy(F.desc(score), item))
-    ranked = hits.withColumn("_rank", order)
-    groups = ranked.groupBy(source).agg(F.min("_rank").alias("best_rank"), F.count(F.lit(1)).alias("hits"), F.transform(F.sort_array(F.collect_list(F.struct("_rank", item))), lambda x: x[item]).alias("items"))
+    rank = free_names(hits.columns)("rank")
+    ranked = hits.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), item)))
+    items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("rank"), F.col(item).alias("item")))), lambda x: x["item"])
+    groups = ranked.groupBy(source).agg(F.min(rank).alias("best_rank"), F.count(F.lit(1)).alias("hits"), items.alias("items"))
     return groups.withColumn("place", F.row_number().over(Window.orderBy("best_rank"))).drop("best_rank")
 
 
