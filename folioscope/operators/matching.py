@@ -54,8 +54,10 @@ def _lines(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def _grams(lines: DataFrame, name: str) -> DataFrame:
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda k: F.array_join(F.slice("words", k, F.lit(3)), " ")))
-    return lines.select("key", F.col("line").alias(name), F.size(grams).alias(f"{name}_grams"), F.explode(grams).alias("gram"))
+    starts = F.when(F.size("words") > 2, F.sequence(F.lit(1), F.size("words") - 2))
+    grams = F.array_distinct(F.transform(starts, lambda k: F.array_join(F.slice("words", k, F.lit(3)), " ")))
+    # explode would put a filter on the trigrams below the split into words, where each of them splits its line again
+    return lines.select("key", F.col("line").alias(name), grams.alias("grams")).select("key", name, F.size("grams").alias(f"{name}_grams"), F.explode_outer("grams").alias("gram")).filter("gram is not null")
 
 
 def best_lines(left: DataFrame, right: DataFrame, key: str, text: str = "text", least: float = 0.5) -> DataFrame:

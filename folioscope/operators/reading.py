@@ -82,7 +82,9 @@ def repeated_runs(df: DataFrame, row: str, words: Column, n: int = 5, apart: int
     free = free_names([row, "runs"])
     said, at, gram, first, last = (free(c) for c in ("said", "at", "gram", "first", "last"))
     toks = df.select(row, words.alias(said))
-    grams = F.transform(F.sequence(F.lit(1), F.size(said) - n + 1), lambda k: F.xxhash64(F.array_join(F.slice(said, k, F.lit(n)), " ")))
-    each = toks.filter(F.size(said) >= n).select(row, F.posexplode(grams).alias(at, gram))
+    starts = F.when(F.size(said) >= n, F.sequence(F.lit(1), F.size(said) - n + 1))  # also where a filter is moved
+    grams = F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice(said, k, F.lit(n)), " ")))
+    # posexplode would put a filter on the runs below the split into words, where each of them splits its text again
+    each = toks.select(row, F.posexplode_outer(grams).alias(at, gram)).filter(F.col(gram).isNotNull())
     ends = each.groupBy(row, gram).agg(F.min(at).alias(first), F.max(at).alias(last)).filter(F.col(last) - F.col(first) >= apart)
     return ends.groupBy(row).agg(F.count(F.lit(1)).alias("runs"))

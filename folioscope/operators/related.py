@@ -30,7 +30,7 @@ def related_sources(df: DataFrame, key: str, text: str, kind: str, base: Column,
         named = F.concat(F.coalesce(named, F.array().cast("array<string>")), F.transform(F.array_distinct(F.coalesce(domains, F.array().cast("array<string>"))), lambda x: F.concat(F.lit("d:"), x)))
     rows = df.select(F.col(key).alias("id"), F.col(kind).alias("kind"), F.coalesce(base, F.lit(False)).alias("base"), named.alias("terms"))
     sources = rows.agg(F.greatest(F.count(F.lit(1)) * F.lit(share), F.lit(float(floor))).alias("most"))  # one row
-    each = rows.select("id", "kind", "base", F.explode("terms").alias("term"))
+    each = rows.select("id", "kind", "base", F.explode_outer("terms").alias("term")).filter("term is not null")  # explode would split each text twice
     counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.bool_or("base").alias("asked"))
     rare = counted.filter("asked").crossJoin(F.broadcast(sources)).filter(F.col("df") < F.col("most")).select("term")
     each = each.join(rare, "term")

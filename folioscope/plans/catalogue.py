@@ -171,7 +171,8 @@ def corpus_stats_by_kind(spark, d):
 
 def _signals(docs, text):
     """Distinctive terms of each bucket (here a source): counted once per document, weighted by how few buckets use them."""
-    t = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z]{3,})"), F.lit(1)))).alias("term"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z]{3,})"), F.lit(1)))
+    t = docs.select("source", F.explode_outer(terms).alias("term")).filter("term is not null")  # explode would split each text twice
     c = t.groupBy("source", "term").agg(n())
     y = c.groupBy("term").agg(n("k"))
     m = docs.agg(F.count_distinct("source").alias("m"))

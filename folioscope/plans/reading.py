@@ -159,7 +159,7 @@ SELECT doc_id, k::BIGINT AS chunk, sha256(array_to_string(w[said + 1 :], ' ')) A
 def chunks_without_overlap(spark, d):
     """Chunks that share words with the one before, without those words."""
     words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "^ +| +$", ""), "[ \t\n\r]+")
-    parts = load(spark, d, "documents").select("doc_id", F.posexplode(shaping.chunks(words, 120, 20)).alias("chunk", "words")).withColumn("words", F.split("words", " "))
+    parts = load(spark, d, "documents").select("doc_id", F.posexplode_outer(shaping.chunks(words, 120, 20)).alias("chunk", "words")).filter("words is not null").withColumn("words", F.split("words", " "))
     fresh = reading.without_lead_in(parts, "doc_id", "chunk", "words", 20)
     return fresh.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.sha2(F.array_join("words", " "), 256).alias("fresh"))
 

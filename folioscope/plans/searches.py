@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import index, keywords
+from folioscope.operators import evaluation, index, keywords, matcher, stems
 from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query
 from folioscope.sources.tables import load
 
@@ -66,3 +66,71 @@ GROUP BY term"""
 def index_terms(spark, d):
     """Every term of the index, with the rows that hold it and how often it stands in them."""
     return spark.read.parquet(f"{folded_index(spark, d)}/terms").select("term", "df", "cf")
+
+
+# --------------------------------------------------------------------------- many searches, pages, lenses
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(stems.STOP_WORDS))
+_FOUND = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
+u AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM t), p AS (SELECT doc_id, l, term, count(*) AS tf FROM u GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({_STOPS})))) AS term FROM benchmark),
+c AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), s GROUP BY 1, 2),
+f AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS place FROM c) WHERE place <= 20)"""
+
+
+def words_index(spark, d) -> str:
+    return index.served(load(spark, d, "documents"), "documents-words", tokens=T.words)
+
+
+def _benchmark_hits(spark, d):
+    items = load(spark, d, "benchmark")
+    terms = F.filter(T.words(F.col("text")), lambda w: ~w.isin(sorted(stems.STOP_WORDS)))
+    return evaluation.batch_bm25(spark, words_index(spark, d), items.select(F.col("item_id").alias("id"), terms.alias("terms")), 20)
+
+
+@query(_FOUND + " SELECT item_id, place, doc_id, score FROM f")
+def benchmark_hits(spark, d):
+    """The twenty best documents for the words of every benchmark passage, all searched at once."""
+    return _benchmark_hits(spark, d).withColumnsRenamed({"id": "item_id", "key": "doc_id"})
+
+
+@query(
+    _FOUND
+    + """, h AS (SELECT b.item_id, d.doc_id, d.source, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+r AS (SELECT h.*, f.place FROM h LEFT JOIN f USING (item_id, doc_id))
+SELECT lang, source, GROUPING(lang, source) AS level, count(*) AS pairs, round(avg(coalesce(1 / place, 0)), 6) AS mrr,
+  """
+    + ", ".join(f"round(avg(CASE WHEN place <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_{k}" for k in (1, 5, 10, 20))
+    + " FROM r GROUP BY ROLLUP (lang, source)"
+)
+def benchmark_retrieval(spark, d):
+    """How well keyword search finds the documents that hold a benchmark passage, by language and source, by language, and over
+    all: mean reciprocal rank and recall."""
+    docs, items = load(spark, d, "documents"), load(spark, d, "benchmark")
+    asked = items.select(F.col("item_id").alias("id"), "text", T.words(F.col("text")).alias("terms"))
+    truths = evaluation.holders(spark, words_index(spark, d), asked, docs, "doc_id")
+    truths = truths.join(docs.select(F.col("doc_id").alias("key"), "lang", "source"), "key")
+    return evaluation.retrieval_metrics(_benchmark_hits(spark, d), truths, ["lang", "source"])
+
+
+@query()
+def page_without_copied(spark, d):
+    """Twenty search results of which none repeats half of what one above it says; the page is filled up from below."""
+    hits = index.bm25(spark, words_index(spark, d), ["thing", "erre", "license", "tion"], None)
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    return evaluation.page_without_copied(hits, docs, 20).withColumnRenamed("key", "doc_id")
+
+
+_OWN, _OTHER = "(^|[^\\p{L}\\p{N}])thing([^\\p{L}\\p{N}]|$)", "(^|[^\\p{L}\\p{N}])tion([^\\p{L}\\p{N}]|$)"
+
+
+@query(f"""
+WITH r AS (SELECT source AS bucket, doc_id, coalesce(regexp_matches(lower(text), '{_OWN}'), false) AS own, coalesce(regexp_matches(lower(text), '{_OTHER}'), false) AS other FROM documents)
+SELECT bucket, GROUPING(bucket) AS level, count(*) AS considered, count(*) FILTER (WHERE own OR other) AS matched, count(*) FILTER (WHERE own) AS strict,
+  min(CASE WHEN own THEN doc_id END) AS first, max(CASE WHEN own THEN doc_id END) AS latest FROM r GROUP BY ROLLUP (bucket)""")
+def archive_lens(spark, d):
+    """A term and its other name over all sources: rows looked at, hit, hit by the term itself, and its first and last one."""
+    hit = matcher.matches(F.col("text"), "thing", aliases=("tion",))
+    return evaluation.term_lens(load(spark, d, "documents"), "doc_id", "source", hit, matcher.matches(F.col("text"), "thing"))

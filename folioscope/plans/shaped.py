@@ -223,7 +223,7 @@ SELECT doc_id, k::BIGINT AS chunk, sha256(array_to_string(w[k * 100 + 1 : k * 10
 def chunk_words(spark, d):
     """Runs of 120 words that share 20 with the next."""
     words = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "^ +| +$", ""), "[ \t\n\r]+")
-    parts = load(spark, d, "documents").select("doc_id", F.posexplode(shaping.chunks(words, 120, 20)).alias("chunk", "text"))
+    parts = load(spark, d, "documents").select("doc_id", F.posexplode_outer(shaping.chunks(words, 120, 20)).alias("chunk", "text")).filter("text is not null")
     return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.sha2("text", 256).alias("body"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import index, keywords, stems
+from folioscope.operators import evaluation, index, keywords, stems
 from folioscope.plans import searches as plans
 from folioscope.sources import builds
 
@@ -20,7 +20,8 @@ NAMES = [name for name, f in plans.QUERIES.items() if f.__module__ == plans.__na
 @pytest.mark.parametrize("name", NAMES)
 def test_rows_equal_sql(spark, name):
     with duckdb.connect() as duck:
-        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        for t in ("documents", "benchmark"):
+            duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = duck.execute(plans.ORACLE_SQL[name])
         columns, rows = [c[0] for c in want.description], want.fetchall()
     got = plans.QUERIES[name](spark, SF)
@@ -180,3 +181,58 @@ def test_row_digests_tell_nulls_and_neighbours_apart(spark):
     rows = [(None, "a"), ("", "a"), ("a", None), ("a", ""), ("a,b", ""), ("a", "b")]
     df = spark.createDataFrame(rows, "x string, y string")
     assert df.select(builds.row_digest(["x", "y"]).alias("d")).distinct().count() == len(rows)
+
+
+# --------------------------------------------------------------------------- pages, many searches
+
+
+def brute_page(rows, hits, k, run=5, share=0.5):
+    grams = {key: {tuple(w[i : i + run]) for i in range(len(w) - run + 1)} for key, w in ((key, (t or "").split()) for key, t in rows)}
+    page = []
+    for key, score in sorted(hits, key=lambda h: (-h[1], h[0])):
+        if len(page) < k and not any(grams[key] and len(grams[key] & grams[other]) >= share * len(grams[key]) for other, _ in page):
+            page.append((key, score))
+    return page
+
+
+def test_pages_leave_out_what_stands_above_and_are_filled_up(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(texts * 6)] + [(100, "a b"), (101, "a b"), (102, None), (103, texts[0][:40] + " " + texts[1][20:])]
+    hits = [(k, float(rng.randrange(3))) for k, _ in rows]
+    make = spark.createDataFrame(hits, "key long, score double")
+    docs = spark.createDataFrame(rows, "key long, text string")
+    for k, pool in ((5, 8), (14, 4), (100, 16)):
+        got = evaluation.page_without_copied(make, docs, k, pool=pool).orderBy("place").collect()
+        assert [(r.key, r.score) for r in got] == brute_page(rows, hits, k) and [r.place for r in got] == list(range(1, len(got) + 1))
+    assert evaluation.page_without_copied(make.limit(0), docs, 5).count() == 0
+
+
+def test_many_searches_equal_one_by_one(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["w%d" % k for k in range(30)]
+    df = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randrange(1, 25)))) for k in range(150)], "doc_id long, text string")
+    path = f"{tmp_path}/index"
+    index.build(df, path)
+    asked = [(k, rng.choices([*words, "nowhere", None], k=3)) for k in range(12)] + [(50, []), (51, None), (52, ["w1", "w1"])]
+    got = evaluation.batch_bm25(spark, path, spark.createDataFrame(asked, "id long, terms array<string>"), 7).collect()
+    for q, terms in asked:
+        own = sorted({t for t in terms or [] if t})
+        one = [(r.key, r.score) for r in index.bm25(spark, path, own, 7).collect()] if own else []
+        assert [(r.key, r.score) for r in sorted(got, key=lambda r: r.place) if r.id == q] == one
+
+
+def test_holders_are_those_whose_text_has_the_item(spark, tmp_path):
+    docs = [(1, "so one two three go"), (2, "one two  three"), (3, "xone two threex"), (4, None), (5, "three two one"), (6, "one two three one two three")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    path = f"{tmp_path}/index"
+    index.build(df, path)
+    items = spark.createDataFrame([(9, "one two three"), (8, "absent word here"), (7, "go")], "id long, text string").withColumn("terms", T.words(F.col("text")))
+    assert sorted(map(tuple, evaluation.holders(spark, path, items, df, "doc_id").collect())) == [(7, 1), (9, 1), (9, 3), (9, 6)]
+
+
+def test_metrics_by_hand(spark):
+    truths = spark.createDataFrame([(1, 10, "a"), (1, 11, "a"), (2, 12, "b")], "id long, key long, kind string")
+    found = spark.createDataFrame([(1, 10, 2), (1, 99, 1), (2, 12, 7)], "id long, key long, place int")
+    got = {(r.kind, r.level): (r.pairs, r.mrr, r.recall_1, r.recall_5, r.recall_10) for r in evaluation.retrieval_metrics(found, truths, ["kind"]).collect()}
+    assert got == {("a", 0): (2, 0.25, 0.0, 0.5, 0.5), ("b", 0): (1, round(1 / 7, 6), 0.0, 0.0, 1.0), (None, 1): (3, round((0.5 + 1 / 7) / 3, 6), 0.0, round(1 / 3, 6), round(2 / 3, 6))}
