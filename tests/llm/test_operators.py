@@ -260,6 +260,50 @@ def test_license_notices_need_their_key_phrases(spark):
     assert [list(r.labels) for r in licenses.scan(df).orderBy("doc_id").collect()] == [["gpl"], ["gpl"], [], [], ["proprietary"]]
 
 
+def brute_passages(text):
+    """Every start of every passage at which enough words agree, where the key phrases stand in the file."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    holds = lambda p: any(words[k : k + len(p)] == p for k in range(len(words)))
+    found = []
+    for label, t, keys in licenses.NOTICES:
+        t = t.split()
+        if all(holds(key.split()) for key in keys):
+            for s in range(1 - len(t), len(words)):
+                agree = sum(0 <= s + k < len(words) and words[s + k] == w for k, w in enumerate(t))
+                if agree >= math.ceil(licenses.NOTICE_SHARE * len(t)):
+                    found.append((s, label))
+    return sorted(found)
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(18)
+    texts = []
+    for _ in range(160):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            _, t, keys = rng.choice(licenses.NOTICES)
+            part = [w if rng.random() < 0.9 else rng.choice(["x", "the", "license"]) for w in t.split()]
+            words += part[rng.choice([0, 0, 0, 2, 4]) :] + rng.choice([[], keys[0].split(), ["and", "so"]])
+        texts.append(rng.choice([" ", "\n", ", "]).join(words))
+    texts += [t for _, t, _ in licenses.NOTICES] + ["", None, "all rights reserved " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((p.start, p.label) for p in r.notices) for r in licenses.scan(df).collect()}
+    assert got == {k: brute_passages(t) for k, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 250
+
+
+def test_index_shares_two_postings_with_any_start_that_counts():
+    idf = {w: float(len(w)) for w in licenses._vocabulary()}
+    held = {}
+    for word, places in licenses.postings(idf).items():
+        for t, k in places:
+            assert licenses.templates()[t][1][k] == word
+            held[t] = held.get(t, 0) + 1
+    for t, (_, words, whole, _) in enumerate(licenses.templates()):
+        assert held[t] - (len(words) - licenses.needed(words, whole)) == 2
+
+
 # --------------------------------------------------------------------------- 9
 
 
