@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls as U
-from folioscope.operators import links, matcher, segments
+from folioscope.operators import links, matcher, segments, voices
 from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query
 from folioscope.sources.tables import load
 
@@ -162,3 +162,44 @@ def match_reasons(spark, d):
     rows = load(spark, d, "pages").select("page_id", F.concat(*why).alias("why")).filter(F.size("why") > 0)
     text = F.transform(F.array_sort(F.transform("why", lambda r: F.struct((r["field"] != "title").alias("late"), r["name"].alias("name"), r["field"].alias("field")))), lambda r: F.concat(r["field"], F.lit(":"), r["name"]))
     return rows.select("page_id", F.array_join(text, " ").alias("reasons"))
+
+
+def _voiced(spark, d):
+    """The planted Markdown with every third line quoted."""
+    lines = F.transform(F.split("markdown", "\n"), lambda x, i: F.when((i % 3 == 2) & (x != ""), F.concat(F.lit("> "), x)).otherwise(x))
+    return planted_markdown(spark, d).select("page_id", F.array_join(lines, "\n").alias("markdown"))
+
+
+_VOICED = """
+WITH a AS (SELECT page_id, regexp_extract_all(html, '(?i)<a href="([^"]*)">([^<]*)</a>', 1) AS paths FROM pages),
+u AS (SELECT page_id, unnest(paths) AS path, unnest(range(len(paths))) AS k FROM a),
+h AS (SELECT page_id, unnest(['# Links', '', '\\[none](x) [a', '', 'b] `https://code.test/x` <!-- https://comment.test/y -->', '', '```', 'https://fence.test/z', '```', '']) AS x, unnest(range(10)) AS i FROM pages),
+b AS (SELECT page_id, 10 + k AS i, 'https://www.example.org' || path AS addr, k % 6 AS form FROM u),
+l AS (SELECT page_id, i, x, length(x) AS size, 'own' AS plain FROM h
+  UNION ALL SELECT page_id, i, CASE form WHEN 0 THEN '- [one](' || addr || ')' WHEN 1 THEN 'see ![two](' || addr || ') there' WHEN 2 THEN '[three [3] \\]](<' || addr || '>) and more'
+    WHEN 3 THEN 'a [![four](' || addr || '/image.png)](' || addr || ') b' WHEN 4 THEN 'x [five [5](inner)]( ' || addr || ' "a (title)") y' ELSE 'so (' || addr || '/p(6)). End' END, 0, CASE form WHEN 0 THEN 'link' ELSE 'own' END FROM b
+  UNION ALL SELECT page_id, 10, '', 0, 'own' FROM a WHERE len(paths) = 0),
+v AS (SELECT page_id, i, CASE WHEN i % 3 = 2 AND x <> '' THEN '> ' || x ELSE x END AS x, CASE WHEN i % 3 = 2 AND x <> '' THEN 'quoted' ELSE plain END AS voice FROM l)
+"""
+
+
+@query(_VOICED + "SELECT page_id, count(*) FILTER (WHERE voice = 'quoted') AS quoted_lines, count(*) FILTER (WHERE voice = 'link') AS link_lines, (sum(length(x)) + count(*) - 1)::BIGINT AS signs FROM v GROUP BY page_id")
+def voice_lines(spark, d):
+    """How many lines of each page are quoted or nothing but a link, from the spans of voices, which cover the text."""
+    pages = _voiced(spark, d)
+    found = voices.voice_spans(pages, "page_id", "markdown").join(pages.withColumnRenamed("page_id", "of"), F.col("page_id") == F.col("of"))
+    said = F.filter(F.split(F.substring(F.col("markdown"), F.col("start") + 1, F.col("stop") - F.col("start")), "\n"), lambda x: F.trim(x) != "")
+    count = lambda voice, name: F.sum(F.when(F.col("voice") == voice, F.size(said)).otherwise(0)).cast("long").alias(name)
+    return found.groupBy("page_id").agg(count("quoted", "quoted_lines"), count("link", "link_lines"), F.sum(F.col("stop") - F.col("start")).alias("signs"))
+
+
+@query()
+def own_words(spark, d):
+    """What each page says itself: no quoted lines, no links that stand alone, no images."""
+    return voices.said_by(_voiced(spark, d), "page_id", ["own"], "markdown")
+
+
+@query()
+def image_contexts(spark, d):
+    """Each page's distinct images with their text and the prose nearest to them."""
+    return voices.media(_voiced(spark, d), "page_id", "markdown")

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from folioscope.operators import links, segments
+from folioscope.operators import links, segments, voices
 from folioscope.plans import texts as plans
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +131,32 @@ def test_chunks_prefer_blank_lines_then_sentences():
     text = "One two. Three four.\n\nFive six. Seven eight nine."
     assert [text[c.start : c.stop] for c in segments.chunks(text, 5, 0, 100)] == ["One two. Three four.\n\n", "Five six. Seven eight nine."]
     assert [text[c.lead : c.stop] for c in segments.chunks(text, 6, 2, 100)] == ["One two. Three four.\n\n", "Three four.\n\nFive six. ", "Five six. Seven eight nine."]
+
+
+def test_voices_cover_the_text():
+    text = "Mine.\n> said\n\n> more\nMine **[t](u)** too\n- [a](b) c.org\n[d](e)\n"
+    found = voices.spans(text)
+    assert [(v, text[a:b]) for v, a, b in found] == [("own", "Mine.\n"), ("quoted", "> said\n\n> more"), ("own", "\nMine "), ("link", "**[t](u)**"), ("own", " too\n"), ("link", "- [a](b) c.org\n[d](e)"), ("own", "\n")]
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rng.choice(["> q", "[a](b)", "**[a](b)**", "w ", "\n", "\n\n", "- ", " ", "![i](j)"]) for _ in range(rng.randrange(20)))
+        for headlines in (True, False):
+            found = voices.spans(text, headlines)
+            assert "".join(text[a:b] for _, a, b in found) == text
+            assert all(a[2] == b[1] and a[0] != b[0] for a, b in zip(found, found[1:], strict=False))
+            at = 0
+            for line in text.split("\n"):
+                if line.lstrip(" \t").startswith(">"):
+                    assert {v for v, a, b in found if a < at + len(line) and b > at} == {"quoted"}
+                at += len(line) + 1
+
+
+def test_own_words_and_images(spark):
+    text = "> theirs\nWhat I say here is long enough to be kept ![x](y)\n[only](link)\n\nand **goes** on\n![alt](http://i.test/a)\n<p>Caption &amp; <b>words</b></p>\n![](http://i.test/b)\n![again](http://i.test/a)"
+    df = spark.createDataFrame([(1, text, 0), (2, "> all theirs, and long enough to be kept if it were not", 0), (3, None, 0), (4, "short", 0)], "id long, text string, ord int")
+    assert [tuple(r) for r in voices.said_by(df, "id", ["own"]).collect()] == [(1, "What I say here is long enough to be kept\n\nand **goes** on\n\n<p>Caption &amp; <b>words</b></p>")]
+    got = [tuple(r) for r in voices.media(df.filter("id = 1"), "id").collect()]
+    assert got == [(1, 0, "y", "x", "only"), (1, 1, "http://i.test/a", "alt", "Caption & words"), (1, 2, "http://i.test/b", "", "Caption & words")]
+    covers = spark.createDataFrame([(1, "http://i.test/a"), (2, "http://i.test/own"), (3, "http://i.test/s?1"), (4, "http://i.test/s#2"), (5, "IMG_1"), (6, None)], "id long, cover string")
+    states = voices.cover_state(voices.media(df, "id"), covers, "id").collect()
+    assert {r.id: r.state for r in states} == {1: "shown", 2: "own", 3: "shared", 4: "shared", 5: "none", 6: "none"}
