@@ -132,6 +132,37 @@ def line_diffs(left: DataFrame, right: DataFrame, key: str, text: str = "text",
     return arrow.small_batches(both.select(*names, "a", "b")).mapInArrow(run, f"{schema}, diff string, gone array<string>, new array<string>")
 
 
+# --------------------------------------------------------------------------- coverage
+
+
+def covered_runs(df: DataFrame, key: str, words: Column, known: DataFrame, known_words: Column, size: int = 8) -> DataFrame:
+    """(key, words, covered, runs, longest, uncovered): of each row, how many words it has, how many of them stand in a run of
+    ``size`` words that any known row has as well, the number of such stretches and the longest of them, and the longest
+    stretch of words without. Rows with fewer words than ``size`` are covered nowhere; keys are distinct.
+
+    Runs meet by their 128-bit digests: the known ones once each, those of df by their place. What stays is one row for
+    each place that is covered, however many known rows cover it."""
+
+    def runs(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+        starts = F.when(F.size(column) >= size, F.sequence(F.lit(0), F.size(column) - size))
+        grams = F.transform(starts, lambda k: F.unhex(F.md5(F.array_join(F.slice(column, k + 1, F.lit(size)), " ").cast("binary"))))
+        # explode would put a filter on the runs below the split into words
+        return rows.select(*names, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
+
+    texts = df.select(F.col(key).alias("key"), words.alias("said"))
+    held = runs(known.select(known_words.alias("said")), "said", []).select("gram").distinct()
+    places = runs(texts, "said", ["key"]).join(held, "gram", "left_semi").select("key", "at")
+    order = Window.partitionBy("key").orderBy("at")
+    begins = places.withColumn("new", (F.col("at") - F.lag("at").over(order) > size) | F.lag("at").over(order).isNull())
+    islands = begins.withColumn("island", F.sum(F.col("new").cast("int")).over(order)).groupBy("key", "island").agg(F.min("at").alias("first"), (F.max("at") + size).alias("stop"))
+    after = Window.partitionBy("key").orderBy("first")
+    gaps = islands.select("key", "first", "stop", (F.col("stop") - F.col("first")).alias("length"), (F.col("first") - F.coalesce(F.lag("stop").over(after), F.lit(0))).alias("gap"))
+    found = gaps.groupBy("key").agg(F.sum("length").alias("covered"), F.count(F.lit(1)).alias("runs"), F.max("length").alias("longest"), F.max("gap").alias("gap"), F.max("stop").alias("last"))
+    all_ = texts.select("key", F.coalesce(F.size("said"), F.lit(0)).cast("long").alias("words")).join(found, "key", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return all_.select(F.col("key").alias(key), "words", zero("covered").alias("covered"), zero("runs").alias("runs"), zero("longest").alias("longest"), F.greatest(zero("gap"), F.col("words") - zero("last")).alias("uncovered"))
+
+
 # --------------------------------------------------------------------------- copies
 
 

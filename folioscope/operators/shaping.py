@@ -114,6 +114,34 @@ def grouped_by_source(hits: DataFrame, source: str, item: str, score: str) -> Da
     return groups.withColumn("place", F.row_number().over(Window.orderBy("best_rank"))).drop("best_rank")
 
 
+def fit_to_cap(df: DataFrame, group: str, order: Sequence[Column], text: str, cap: int, least: int = 40) -> DataFrame:
+    """df's rows that fit a cap of signs for each group, in order, with ``shown`` (the text, or its beginning up to a space),
+    ``clipped``, and the group's ``omitted`` rows and ``next_offset`` (null if none is). The first row that is too long is
+    clipped if at least ``least`` signs of it fit; later rows are omitted. A null text is empty."""
+    free = free_names([*df.columns, "shown", "clipped", "omitted", "next_offset"])
+    size, used, total, place, nth, salt, of = (free(c) for c in ("size", "used", "total", "place", "nth", "salt", "of"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumn(size, F.length(body)).withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64)))
+    # a row that is too late among those of its salt is too late in its group, and so are all that follow: whole groups
+    # need not meet in one task
+    part = Window.partitionBy(group, salt).orderBy(*order)
+    rows = rows.withColumn(used, F.sum(size).over(part) - F.col(size)).filter(F.col(used) <= cap)
+    within = Window.partitionBy(group).orderBy(*order)
+    rows = rows.withColumn(used, F.sum(size).over(within) - F.col(size)).withColumn(place, F.row_number().over(within))
+    room = F.greatest(F.lit(cap) - F.col(used), F.lit(0))
+    clipped = (F.col(size) > room) & (room >= least)
+    rows = rows.filter((F.col(size) <= room) | clipped)
+    cut = F.regexp_replace(F.left(body, room), r"\s+\S*$", "")
+    rows = rows.withColumn("shown", F.when(clipped, cut).otherwise(body)).withColumn("clipped", clipped)
+    # an empty text would fit after the first one that doesn't: what is shown is the beginning of the group
+    rows = rows.withColumn(nth, F.row_number().over(within)).filter(F.col(nth) == F.col(place))
+    rows = rows.withColumn(nth, F.count(F.lit(1)).over(Window.partitionBy(group)))
+    totals = df.groupBy(F.col(group).alias(of)).agg(F.count(F.lit(1)).alias(total))
+    found = rows.join(totals, F.col(group).eqNullSafe(F.col(of)))
+    omitted = F.col(total) - F.col(nth)
+    return found.withColumn("omitted", omitted).withColumn("next_offset", F.when(omitted > 0, F.col(nth))).drop(size, used, total, place, nth, salt, of)
+
+
 def inverted_index(df: DataFrame, row: str, terms: Column, least: int, most: int) -> DataFrame:
     """(term, df, first, last) of the terms that stand in ``least`` to ``most`` rows."""
     t = df.select(row, F.explode(F.array_distinct(terms)).alias("term"))

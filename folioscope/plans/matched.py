@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import matching, related, similar
+from folioscope.operators import matching, related, shaping, similar
 from folioscope.operators.stems import STOP_WORDS
 from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query
 from folioscope.sources.tables import load
@@ -88,6 +88,24 @@ def edited_words(spark, d):
     return found.select("doc_id", "line", "best", "diff", F.array_join("gone", " ").alias("gone"), F.array_join("new", " ").alias("new"))
 
 
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM b),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram, unnest(range(0, len(w) - 7)) AS spot FROM t),
+h AS (SELECT doc_id, spot FROM p WHERE gram IN (SELECT gram FROM g)),
+c AS (SELECT DISTINCT doc_id, unnest(range(spot, spot + 8)) AS word FROM h),
+i AS (SELECT doc_id, word, word - row_number() OVER (PARTITION BY doc_id ORDER BY word) AS island FROM c),
+r AS (SELECT doc_id, min(word) AS first, max(word) + 1 AS stop FROM i GROUP BY doc_id, island),
+s AS (SELECT doc_id, sum(stop - first) AS covered, count(*) AS runs, max(stop - first) AS longest, max(stop) AS last FROM r GROUP BY doc_id),
+o AS (SELECT doc_id, max(first - before) AS gap FROM (SELECT doc_id, first, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM r) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS words, coalesce(covered, 0)::BIGINT AS covered, coalesce(runs, 0)::BIGINT AS runs, coalesce(longest, 0)::BIGINT AS longest, greatest(coalesce(gap, 0), coalesce(len(w), 0) - coalesce(last, 0))::BIGINT AS uncovered
+FROM t LEFT JOIN s USING (doc_id) LEFT JOIN o USING (doc_id)""")
+def covered_words(spark, d):
+    """How much of each document stands in passages of the benchmark, by runs of eight words."""
+    words = T.words(F.col("text"))
+    return matching.covered_runs(load(spark, d, "documents"), "doc_id", words, load(spark, d, "benchmark"), words)
+
+
 # --------------------------------------------------------------------------- copies
 
 _PASSES = {
@@ -138,3 +156,19 @@ def related_documents(spark, d):
 def passage_windows(spark, d):
     """The 300 signs of each text that show most of a query."""
     return related.windows(load(spark, d, "documents"), "doc_id", "thing erre Réaux aulich theaer", 300)
+
+
+# --------------------------------------------------------------------------- answers
+
+
+@query(r"""
+WITH r AS (SELECT source, doc_id, coalesce(text, '') AS t, row_number() OVER w AS place, sum(length(coalesce(text, ''))) OVER w - length(coalesce(text, '')) AS used, count(*) OVER (PARTITION BY source) AS total
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+f AS (SELECT *, greatest(6000 - used, 0) AS room, length(t) > greatest(6000 - used, 0) AS over FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM f WHERE NOT over OR room >= 40),
+h AS (SELECT *, count(*) OVER (PARTITION BY source) AS held FROM k WHERE nth = place)
+SELECT source, doc_id, md5(CASE WHEN over THEN regexp_replace(substr(t, 1, room::BIGINT), '\s+\S*$', '') ELSE t END) AS shown, over AS clipped, total - held AS omitted, CASE WHEN total > held THEN held END AS next_offset FROM h""")
+def answers_to_cap(spark, d):
+    """The documents of each source that an answer of 6,000 signs has room for, the last of them clipped, and how many it omits."""
+    found = shaping.fit_to_cap(load(spark, d, "documents").select("source", "doc_id", "text"), "source", [F.col("doc_id")], "text", 6000)
+    return found.select("source", "doc_id", F.md5(F.col("shown").cast("binary")).alias("shown"), "clipped", "omitted", "next_offset")

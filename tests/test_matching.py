@@ -22,7 +22,7 @@ NAMES = [name for name, f in plans.QUERIES.items() if f.__module__ == plans.__na
 @pytest.mark.parametrize("name", NAMES)
 def test_rows_equal_sql(spark, name):
     with duckdb.connect() as duck:
-        for t in ("documents", "embeddings", "events"):
+        for t in ("benchmark", "documents", "embeddings", "events"):
             duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = duck.execute(plans.ORACLE_SQL[name])
         columns, rows = [c[0] for c in want.description], want.fetchall()
@@ -263,3 +263,51 @@ def test_quota_stream_equals_a_batch_reckoning(spark, tmp_path):
                 want.append((identity, day, request, action, action == "refund" or counts[identity, day] <= 4, counts[identity, day], True))
         order = lambda r: tuple((x is None, str(x)) for x in r)
         assert sorted(seen, key=order) == sorted(want, key=order)
+
+
+# --------------------------------------------------------------------------- coverage and caps
+
+
+def test_covered_runs_equal_brute_force(spark):
+    rng = random.Random(10)
+    known = [[rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(6)]
+    rows = [(k, [rng.choice("abc") for _ in range(rng.randrange(40))]) for k in range(80)] + [(100, None), (101, known[0] * 3)]
+    make = lambda rs: spark.createDataFrame([(k, None if w is None else " ".join(w)) for k, w in rs], "id long, t string")
+    words = F.filter(F.split("t", " "), lambda w: w != "")
+    got = {r.id: tuple(r)[1:] for r in matching.covered_runs(make(rows), "id", words, make(list(enumerate(known))), words, size=4).collect()}
+    grams = {tuple(w[i : i + 4]) for w in known for i in range(len(w) - 3)}
+    for k, w in rows:
+        w = w or []
+        hit = [any(tuple(w[i : i + 4]) in grams for i in range(max(0, j - 3), j + 1) if i + 4 <= len(w)) for j in range(len(w))]
+        runs = "".join("x" if h else " " for h in hit)
+        stretches, gaps = [len(x) for x in runs.split(" ") if x], [len(x) for x in runs.split("x") if x]
+        assert got[k] == (len(w), sum(hit), len(stretches), max(stretches, default=0), max(gaps, default=0)), w
+
+
+def test_answers_fit_their_cap(spark):
+    from folioscope.operators import shaping
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([None, "", "word " * rng.randrange(30), "x" * 90])) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, t string")
+    for cap in (0, 39, 40, 500, 10**6):
+        want = []
+        for g in {r[0] for r in rows}:
+            used, page, group = 0, [], sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+            for _, k, t in group:
+                t = t or ""
+                room = max(cap - used, 0)
+                if len(t) > room and room < 40:
+                    break
+                cut = t[:room]
+                if len(t) > room:
+                    cut = cut[: cut.rstrip().rfind(" ")].rstrip() if " " in cut.rstrip() and not cut.endswith(" ") else cut.rstrip()
+                page.append((g, k, cut if len(t) > room else t, len(t) > room))
+                used += len(t)
+            left = len(group) - len(page)
+            want += [(*p, left, len(page) if left else None) for p in page]
+        got = [(r.g, r.k, r.shown, r.clipped, r.omitted, r.next_offset) for r in shaping.fit_to_cap(df, "g", [F.col("k")], "t", cap).collect()]
+        order = lambda r: (r[0] or "", r[1])
+        assert [(r[0], r[1], r[3], r[4], r[5]) for r in sorted(got, key=order)] == [(r[0], r[1], r[3], r[4], r[5]) for r in sorted(want, key=order)]
+        assert all(g[2] == w[2] for g, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True) if not g[3])
+        assert all(len(g[2]) <= cap for g in got)
