@@ -5,7 +5,7 @@ Under ``path``:
 - ``postings`` (bucket, term, key, kind, tf, len, positions): in folders by a hash of the term, sorted by term and key. Their
   number, and that of the tasks that write them, follows from the size of the postings; a term of many rows is dealt over
   tasks, as ranges are cut by term and key.
-- ``terms`` (term, stem, df, cf), sorted by stem; ``norms`` (key, norm), the TF-IDF length of each row;
+- ``terms`` (term, stem, df, cf), sorted by stem; ``norms`` (key, norm), the TF-IDF length of each row, if asked for;
 - ``stats``, one row: rows, mean length, folders.
 
 A row's words are counted where the row is read, a column of them at a time; only narrow columns move for the document
@@ -40,15 +40,16 @@ def folded(term: str) -> str:
     return term if term.isascii() else "".join(c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn")
 
 
-def _refuse(rows: DataFrame) -> None:
-    blank = rows.filter(F.col("key").isNull() | (F.trim(F.col("key").cast("string")) == "")).limit(1).count()
-    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and key is not null").select("key").limit(3).collect()
-    if blank or twice:
-        raise ValueError("the index refuses " + ("rows without a key" if blank else f"repeated keys, as {[r.key for r in twice]}"))
+def _refuse(keys: DataFrame) -> None:
+    """One pass over the keys: each that is blank, or that several rows have, is refused."""
+    blank = F.col("key").isNull() | (F.trim(F.col("key").cast("string")) == "")
+    odd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(blank | (F.col("n") > 1)).select("key", blank.alias("blank")).limit(3).collect()
+    if odd:
+        raise ValueError("the index refuses " + ("rows without a key" if any(r.blank for r in odd) else f"repeated keys, as {[r.key for r in odd]}"))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], fold: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, kind, words) to one row for each word of each row, with its places in order."""
+def _postings(batches: Iterator[pa.RecordBatch], fold: bool, places: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, words) to one row for each word of each row, with its places in order (none if they aren't asked for)."""
     for batch in batches:
         words = batch["words"]
         lens = np.diff(words.offsets.to_numpy())
@@ -67,7 +68,10 @@ def _postings(batches: Iterator[pa.RecordBatch], fold: bool) -> Iterator[pa.Reco
         begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
         tf = np.diff(np.append(begins, len(row)))
         at = pa.array(row[begins])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)), pa.int32()), pa.array(place, pa.int32()))
+        if not places:
+            place = place[:0]
+        ends = np.append(begins, len(row)) if places else np.zeros(len(begins) + 1)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
         terms = pa.array(names, pa.string()).take(pa.array(codes[begins]))
         yield pa.RecordBatch.from_arrays([terms, batch["key"].take(at), batch["kind"].take(at), pa.array(tf, pa.int32()), pa.array(lens, pa.int32()).take(at), lists], ["term", "key", "kind", "tf", "len", "positions"])
 
@@ -87,15 +91,15 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = T.words, kind: Column | None = None, fold: bool = False) -> None:
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = T.words, kind: Column | None = None, fold: bool = False, norms: bool = True, places: bool = True) -> None:
     """Write the index of docs; an index at path is replaced. kind: what a search may be limited to. fold: whether terms
-    lose their accents."""
+    lose their accents. norms: for ``tfidf``; places: for phrases."""
     spark = docs.sparkSession
     rows = arrow.small_batches(docs).select(F.col(key).alias("key"), (F.lit("") if kind is None else F.coalesce(kind.cast("string"), F.lit(""))).alias("kind"), tokens(F.col(text)).alias("words"))
     _refuse(rows.select("key"))
     of_key = rows.schema["key"].dataType.simpleString()
     draft = f"{path}/draft"
-    held = rows.filter(F.size("words") > 0).mapInArrow(lambda it: _postings(it, fold), f"term string, key {of_key}, kind string, tf int, len int, positions array<int>")
+    held = rows.filter(F.size("words") > 0).mapInArrow(lambda it: _postings(it, fold, places), f"term string, key {of_key}, kind string, tf int, len int, positions array<int>")
     held.write.mode("overwrite").parquet(draft)
     draft_rows = spark.read.schema(held.schema).parquet(draft)
     size = _bytes(spark, draft)
@@ -105,11 +109,12 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
 
     counted = draft_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     stemmed = counted.mapInArrow(_with_stems, "term string, stem string, df long, cf long")
-    stemmed.repartitionByRange("stem", "term").sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    n = F.lit(spark.read.parquet(f"{path}/stats").first().n)
-    weight = (1 + F.log("tf")) * F.log(1 + n / (1 + F.col("df")))
-    weighed = draft_rows.select("term", "key", "tf").join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term")
-    weighed.groupBy("key").agg(F.sqrt(F.sum(weight * weight)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
+    stemmed.repartition(F.col("stem")).sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(f"{path}/terms")
+    if norms:
+        n = F.lit(spark.read.parquet(f"{path}/stats").first().n)
+        weight = (1 + F.log("tf")) * F.log(1 + n / (1 + F.col("df")))
+        weighed = draft_rows.select("term", "key", "tf").join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term")
+        weighed.groupBy("key").agg(F.sqrt(F.sum(weight * weight)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
 
     laid = draft_rows.withColumn("bucket", _bucket(F.col("term"), folders))
     laid = laid.repartitionByRange(max(1, -(-size // TASK_BYTES)), "bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
@@ -136,7 +141,7 @@ def served(docs: DataFrame, label: str, **options) -> str:
 
 
 def _empty(spark: SparkSession, path: str) -> DataFrame:
-    kind = spark.read.parquet(f"{path}/norms").schema["key"].dataType.simpleString()
+    kind = spark.read.parquet(f"{path}/draft").schema["key"].dataType.simpleString()
     return spark.createDataFrame([], f"bucket int, term string, key {kind}, kind string, tf int, len int, positions array<int>")
 
 

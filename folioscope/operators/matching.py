@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from folioscope.functions.names import free_names
 from folioscope.operators import arrow
 from folioscope.sources.tables import kept
 
+_WORD = regex.compile(r"[\p{L}\p{N}'-]+")
+
 # --------------------------------------------------------------------------- spans
 
 
@@ -45,30 +51,65 @@ def _shifted(number: str, by: str) -> Column:
 # --------------------------------------------------------------------------- lines
 
 
-def _lines(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(key, line, words): the distinct lines of ``least`` words or more, each by its first number, from 0."""
-    split = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "said"))
-    words = F.regexp_extract_all(F.lower("said"), F.lit(r"([\p{L}\p{N}'-]+)"), F.lit(1))
-    rows = split.select("key", "line", words.alias("words")).filter((F.size("words") >= least) & F.col("key").isNotNull())
-    return rows.groupBy("key", "words").agg(F.min("line").alias("line"))
+def distinct_lines(text: str, least: int = 3) -> dict[tuple[str, ...], int]:
+    """The distinct lines of ``least`` words or more, as words in lower case, each with its first number, from 0."""
+    found: dict[tuple[str, ...], int] = {}
+    for k, line in enumerate(text.split("\n")):
+        words = tuple(_WORD.findall(line.lower()))
+        if len(words) >= least:
+            found.setdefault(words, k)
+    return found
 
 
-def _grams(lines: DataFrame, name: str) -> DataFrame:
-    starts = F.when(F.size("words") > 2, F.sequence(F.lit(1), F.size("words") - 2))
-    grams = F.array_distinct(F.transform(starts, lambda k: F.array_join(F.slice("words", k, F.lit(3)), " ")))
-    # explode would put a filter on the trigrams below the split into words, where each of them splits its line again
-    return lines.select("key", F.col("line").alias(name), grams.alias("grams")).select("key", name, F.size("grams").alias(f"{name}_grams"), F.explode_outer("grams").alias("gram")).filter("gram is not null")
+def _grams(words: Sequence[str]) -> set[tuple[str, ...]]:
+    return set(zip(words, words[1:], words[2:], strict=False))
+
+
+def aligned(left: str, right: str, least: float) -> list[tuple[int, int, int, int, Sequence[str], Sequence[str]]]:
+    """(line, best, shared, grams, words of the line, words of the best) by an inverted index of the right text's trigrams: a
+    line meets only the lines that share some with it."""
+    rights = distinct_lines(right)
+    index: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for words in rights:
+        for gram in _grams(words):
+            index.setdefault(gram, []).append(words)
+    found = []
+    for words, line in distinct_lines(left).items():
+        grams = _grams(words)
+        shared = Counter(other for gram in grams for other in index.get(gram, ()))
+        if shared:
+            best = min(shared, key=lambda other: (-shared[other], rights[other]))
+            if shared[best] >= least * len(grams):
+                found.append((line, rights[best], shared[best], len(grams), words, best))
+    return found
 
 
 def best_lines(left: DataFrame, right: DataFrame, key: str, text: str = "text", least: float = 0.5) -> DataFrame:
     """(key, line, best, shared, grams): for each distinct line of three words or more of a left text, the line of the right
     text of the same key with most of its word trigrams, ties to the first; only where at least the share ``least`` of
-    them is there. Lines meet by the trigrams they share; keys are distinct on each side."""
-    a, b = _grams(_lines(left, key, text, 3), "line"), _grams(_lines(right, key, text, 3), "best")
-    shared = a.join(b.drop("best_grams"), ["key", "gram"]).groupBy("key", "line", "best").agg(F.count(F.lit(1)).alias("shared"), F.first("line_grams").alias("grams"))
-    top = F.max_by(F.struct("best", "shared", "grams"), F.struct(F.col("shared"), -F.col("best"))).alias("top")
-    found = shared.groupBy("key", "line").agg(top).select(F.col("key").alias(key), "line", "top.best", "top.shared", "top.grams")
-    return found.filter(F.col("shared") >= least * F.col("grams"))
+    them is there. Keys are distinct on each side. Texts meet by their key, one row each; trigrams don't move."""
+    return _pairs(left, right, key, text, "line int, best int, shared long, grams int", lambda a, b: [x[:4] for x in aligned(a, b, least)])
+
+
+def _pairs(left: DataFrame, right: DataFrame, key: str, text: str, columns: str, rows_of: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """(key, columns): a row for each tuple that rows_of gives for the two texts of a key."""
+    a = left.select(F.col(key).alias("key"), F.col(text).cast("string").alias("a"))
+    both = arrow.small_batches(a.join(right.select(F.col(key).alias("key"), F.col(text).cast("string").alias("b")), "key"))
+    both = both.filter("a is not null and b is not null")
+    made = StructType.fromDDL(columns)
+    kinds, names = [f.dataType for f in made.fields], made.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(k) for k in kinds]
+        for batch in batches:
+            for piece in arrow.pieces(iter([batch]), "a"):
+                found = [rows_of(x, y) for x, y in zip(piece["a"].to_pylist(), piece["b"].to_pylist(), strict=True)]
+                at = pa.array([k for k, x in enumerate(found) for _ in x], pa.int64())
+                flat = [r for x in found for r in x]
+                yield pa.RecordBatch.from_arrays([piece["key"].take(at), *(pa.array([r[j] for r in flat], kind) for j, kind in enumerate(types))], ["key", *names])
+
+    kind = both.schema["key"].dataType.simpleString()
+    return both.mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
 
 
 def word_runs(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, int, int]]:
@@ -115,21 +156,17 @@ def word_runs(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, i
 def line_diffs(left: DataFrame, right: DataFrame, key: str, text: str = "text", least: float = 0.5) -> DataFrame:
     """best_lines with ``diff``: the runs of words kept, gone and new from the left line to the right one, as "=3 -1 =2 +4"; and
     the words ``gone`` and ``new``."""
-    found = best_lines(left, right, key, text, least)
-    words = lambda df, line, name: _lines(df, key, text, 3).select(F.col("key").alias(key), F.col("line").alias(line), F.col("words").alias(name))
-    both = found.join(words(left, "line", "a"), [key, "line"]).join(words(right, "best", "b"), [key, "best"])
-    names = found.columns
 
-    def run(batches):
-        for batch in batches:
-            out = [word_runs(a, b) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
-            gone = [[w for s, i, j, _, _ in runs if s == "-" for w in a[i:j]] for runs, a in zip(out, batch["a"].to_pylist(), strict=True)]
-            new = [[w for s, _, _, i, j in runs if s == "+" for w in b[i:j]] for runs, b in zip(out, batch["b"].to_pylist(), strict=True)]
-            text = [" ".join(f"{s}{max(i2 - i1, j2 - j1)}" for s, i1, i2, j1, j2 in runs) for runs in out]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(text), pa.array(gone, pa.list_(pa.string())), pa.array(new, pa.list_(pa.string()))], [*names, "diff", "gone", "new"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    return arrow.small_batches(both.select(*names, "a", "b")).mapInArrow(run, f"{schema}, diff string, gone array<string>, new array<string>")
+    def rows_of(a: str, b: str) -> list[tuple]:
+        out = []
+        for line, best, shared, grams, old, new in aligned(a, b, least):
+            runs = word_runs(old, new)
+            diff = " ".join(f"{s}{max(i2 - i1, j2 - j1)}" for s, i1, i2, j1, j2 in runs)
+            gone, come = [w for s, i, j, _, _ in runs if s == "-" for w in old[i:j]], [w for s, _, _, i, j in runs if s == "+" for w in new[i:j]]
+            out.append((line, best, shared, grams, diff, gone, come))
+        return out
+
+    return _pairs(left, right, key, text, "line int, best int, shared long, grams int, diff string, gone array<string>, new array<string>", rows_of)
 
 
 # --------------------------------------------------------------------------- coverage

@@ -14,7 +14,7 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 def folded_index(spark, d) -> str:
     """The index of all documents by words without accents, with their source as kind; built once for a state of the files."""
-    return index.served(load(spark, d, "documents"), "documents-folded", tokens=T.words, kind=F.col("source"), fold=True)
+    return index.served(load(spark, d, "documents"), "documents-folded", tokens=T.words, kind=F.col("source"), fold=True, norms=False)
 
 
 def _sql(terms: list[str], phrase: list[str], scope: str, k: int) -> str:
@@ -81,7 +81,7 @@ f AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION
 
 
 def words_index(spark, d) -> str:
-    return index.served(load(spark, d, "documents"), "documents-words", tokens=T.words)
+    return index.served(load(spark, d, "documents"), "documents-words", tokens=T.words, norms=False)
 
 
 def _benchmark_hits(spark, d):
