@@ -23,12 +23,8 @@ def batch_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: f
     stats = spark.read.parquet(f"{path}/stats")
     folders = stats.first().folders
     asked = queries.select("id", F.explode(F.array_distinct("terms")).alias("term")).filter("term is not null")
-    asked = asked.join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term").withColumn("bucket", index._bucket(F.col("term"), folders))
-    if spark.read.parquet(f"{path}/terms").limit(1).count() == 0:
-        held = index._empty(spark, path)
-    else:
-        held = spark.read.parquet(f"{path}/postings")
-    met = held.select("bucket", "term", "key", "tf", "len").join(asked, ["bucket", "term"]).crossJoin(F.broadcast(stats))  # one row
+    asked = asked.join(index.terms(spark, path).select("term", "df"), "term").withColumn("bucket", index._bucket(F.col("term"), folders))
+    met = index.all_postings(spark, path, asked).crossJoin(F.broadcast(stats))  # one row
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = met.groupBy("id", "key").agg(F.round(F.sum(part), 6).alias("score")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
@@ -42,11 +38,11 @@ def holders(spark: SparkSession, path: str, items: DataFrame, docs: DataFrame, k
     that holds the text holds each of its inner words, so that only the rows with its rarest one are looked at; an item of
     fewer than three words meets all rows with its rarest word, whole words only."""
     inner = F.when(F.size("terms") > 2, F.slice("terms", F.lit(2), F.size("terms") - 2)).otherwise(F.col("terms"))
-    words = items.select("id", F.explode(F.array_distinct(inner)).alias("term")).join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term")
+    words = items.select("id", F.explode(F.array_distinct(inner)).alias("term")).join(index.terms(spark, path).select("term", "df"), "term")
     rarest = words.groupBy("id").agg(F.min(F.struct("df", "term")).alias("rarest")).select("id", "rarest.term")
     folders = spark.read.parquet(f"{path}/stats").first().folders
     asked = rarest.withColumn("bucket", index._bucket(F.col("term"), folders))
-    found = spark.read.parquet(f"{path}/postings").select("bucket", "term", "key").join(asked, ["bucket", "term"]).select("id", "key")
+    found = index.all_postings(spark, path, asked).select("id", "key")
     whole = found.join(items.select("id", F.col("text").alias("said")), "id").join(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key")
     return whole.filter(F.contains("body", "said")).select("id", "key")
 

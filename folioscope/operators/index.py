@@ -2,14 +2,15 @@
 
 Under ``path``:
 
-- ``postings`` (bucket, term, key, kind, tf, len, positions): in folders by a hash of the term, sorted by term and key. Their
-  number, and that of the tasks that write them, follows from the size of the postings; a term of many rows is dealt over
-  tasks, as ranges are cut by term and key.
+- ``postings`` (bucket, term, split, df, cf and the arrays keys, kinds, tfs, lens, ends, places): a row for each term of each block
+  of rows, in folders by a hash of the term, sorted by term; places are those of all the rows, the ends of each one's in
+  ``ends``. The numbers of folders and of tasks that write them follow from the size
+  of the table's files; the rows of a term that a quarter of a block's rows hold are dealt over tasks by their block;
 - ``terms`` (term, stem, df, cf), sorted by stem; ``norms`` (key, norm), the TF-IDF length of each row, if asked for;
 - ``stats``, one row: rows, mean length, folders.
 
-A row's words are counted where the row is read, a column of them at a time; only narrow columns move for the document
-frequencies and norms, and places move once, when they are written.
+Blocks of rows are counted where they are read, a column of words at a time, and move once, when they are written; document
+frequencies are sums of the blocks' numbers.
 
 Defined results: a row whose key is null, blank or repeated is refused with an error before anything is written, as
 postings of two rows could not be told apart; an empty text has length 0; a null one counts as a row but not in the mean
@@ -23,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from folioscope.operators import arrow, stems
 from folioscope.sources.builds import file_fingerprint
 from folioscope.sources.tables import scratch
 
-#: Bytes of postings that a task writes, and a folder holds, about.
-TASK_BYTES, FOLDER_BYTES, MOST_FOLDERS = 64 << 20, 256 << 20, 4096
+#: Bytes of the table's files that a folder, a task and a part of a frequent term stand for, about.
+FOLDER_BYTES, TASK_BYTES, SPLIT_BYTES, MOST_FOLDERS = 64 << 20, 16 << 20, 1 << 30, 4096
 
 
 def folded(term: str) -> str:
@@ -48,32 +50,57 @@ def _refuse(keys: DataFrame) -> None:
         raise ValueError("the index refuses " + ("rows without a key" if any(r.blank for r in odd) else f"repeated keys, as {[r.key for r in odd]}"))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], fold: bool, places: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, kind, words) to one row for each word of each row, with its places in order (none if they aren't asked for)."""
-    for batch in batches:
-        words = batch["words"]
+_ROW = "term string, split long, df long, cf long, keys array<{}>, kinds array<string>, tfs array<int>, lens array<int>, ends array<int>, places array<int>"
+
+
+def _postings(batches: Iterator[pa.RecordBatch], fold: bool, kinds: bool, places: bool, splits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, words) to one row for each word of each batch, with the rows that hold it and its places there (none
+    if they aren't asked for), and two rows that count: the term "" all rows, the term "\\0" those with words or none, but
+    not null."""
+    part = TaskContext.get().partitionId()
+    for number, batch in enumerate(batches):
+        words, rows = batch["words"], batch.num_rows
         lens = np.diff(words.offsets.to_numpy())
-        first = int(words.offsets[0].as_py()) if len(words) else 0
-        flat = words.values.slice(first, int(lens.sum()))
-        coded = flat.dictionary_encode()
+        known = np.asarray(words.is_valid().to_numpy(zero_copy_only=False), bool)
+        lens[~known] = 0
+        coded = words.flatten().dictionary_encode()
         codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        if fold:
-            names, number = zip(*((n, k) for k, n in enumerate(dict.fromkeys(map(folded, names)))), strict=True) if names else ((), ())
-            known = dict(zip(names, number, strict=True))
-            codes = np.fromiter((known[folded(w)] for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[codes]
-        row = np.repeat(np.arange(len(lens)), lens)
+        if fold and names:
+            plain = list(map(folded, names))
+            names = list(dict.fromkeys(plain))
+            place_of = {n: k for k, n in enumerate(names)}
+            codes = np.fromiter(map(place_of.__getitem__, plain), np.int64, len(plain))[codes]
+        row = np.repeat(np.arange(rows), lens)
         place = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-        order = np.lexsort((place, codes, row))
+        order = np.argsort(codes, kind="stable")  # rows and places within a word stay in order
         row, codes, place = row[order], codes[order], place[order]
-        begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
-        tf = np.diff(np.append(begins, len(row)))
-        at = pa.array(row[begins])
-        if not places:
-            place = place[:0]
-        ends = np.append(begins, len(row)) if places else np.zeros(len(begins) + 1)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
-        terms = pa.array(names, pa.string()).take(pa.array(codes[begins]))
-        yield pa.RecordBatch.from_arrays([terms, batch["key"].take(at), batch["kind"].take(at), pa.array(tf, pa.int32()), pa.array(lens, pa.int32()).take(at), lists], ["term", "key", "kind", "tf", "len", "positions"])
+        begins = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        ends = np.append(begins, len(row))
+        of_word, at = codes[begins], pa.array(row[begins])
+        first = np.flatnonzero(np.diff(of_word, prepend=-1))
+        held = np.diff(np.append(first, len(begins)))
+        tf = np.diff(ends)
+        # the two counting rows come last and hold no rows
+        offsets = pa.array(np.concatenate([first, [len(begins)] * 3]), pa.int32())
+        terms = [names[k] for k in of_word[first].tolist()] + ["", "\0"]
+        df = np.concatenate([held, [rows, known.sum()]])
+        cf = np.concatenate([np.add.reduceat(tf, first) if len(first) else np.zeros(0, np.int64), [lens.sum(), 0]])
+        hot = np.concatenate([(4 * held > rows) & (held >= 8), [True, True]])
+        split = np.where(hot, (part * 8191 + number) % splits, 0)
+        column = lambda values: pa.ListArray.from_arrays(offsets, values)
+        nothing = lambda kind: pa.nulls(len(terms), pa.list_(kind))
+        starts = np.repeat(ends[np.append(first, len(begins))[:-1]], held)  # where the places of a term begin
+        bounds = pa.array(ends[np.append(first, [len(begins)] * 3)], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(terms), pa.array(split, pa.int64()), pa.array(df, pa.int64()), pa.array(cf, pa.int64())),
+                *(column(batch["key"].take(at)), column(batch["kind"].take(at)) if kinds else nothing(pa.string())),
+                *(column(pa.array(tf, pa.int32())), column(pa.array(lens, pa.int32()).take(at))),
+                column(pa.array(ends[1:] - starts, pa.int32())) if places else nothing(pa.int32()),
+                pa.ListArray.from_arrays(bounds, pa.array(place, pa.int32())) if places else nothing(pa.int32()),
+            ],
+            ["term", "split", "df", "cf", "keys", "kinds", "tfs", "lens", "ends", "places"],
+        )
 
 
 def _with_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +113,12 @@ def _bucket(term: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
-def _bytes(spark: SparkSession, path: str) -> int:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+def _input_bytes(df: DataFrame) -> int:
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    return total
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = T.words, kind: Column | None = None, fold: bool = False, norms: bool = True, places: bool = True) -> None:
@@ -97,29 +127,29 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     spark = docs.sparkSession
     rows = arrow.small_batches(docs).select(F.col(key).alias("key"), (F.lit("") if kind is None else F.coalesce(kind.cast("string"), F.lit(""))).alias("kind"), tokens(F.col(text)).alias("words"))
     _refuse(rows.select("key"))
-    of_key = rows.schema["key"].dataType.simpleString()
-    draft = f"{path}/draft"
-    held = rows.filter(F.size("words") > 0).mapInArrow(lambda it: _postings(it, fold, places), f"term string, key {of_key}, kind string, tf int, len int, positions array<int>")
-    held.write.mode("overwrite").parquet(draft)
-    draft_rows = spark.read.schema(held.schema).parquet(draft)
-    size = _bytes(spark, draft)
-    folders = min(MOST_FOLDERS, max(1, -(-size // FOLDER_BYTES)))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.lit(folders).alias("folders"))
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-    counted = draft_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    size = _input_bytes(docs)
+    folders, splits = min(MOST_FOLDERS, max(1, -(-size // FOLDER_BYTES))), max(4, -(-size // SPLIT_BYTES))
+    schema = _ROW.format(rows.schema["key"].dataType.simpleString())
+    kinds = kind is not None
+    laid = rows.mapInArrow(lambda it: _postings(it, fold, kinds, places, splits), schema).withColumn("bucket", _bucket(F.col("term"), folders))
+    tasks = max(1, -(-size // TASK_BYTES)) if size else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = laid.repartition(tasks, "bucket", "split").sortWithinPartitions("bucket", "term")
+    laid.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+
+    written = spark.read.schema(laid.schema).parquet(f"{path}/postings")  # an empty table's folder tells no schema
+    counted = written.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     stemmed = counted.mapInArrow(_with_stems, "term string, stem string, df long, cf long")
     stemmed.repartition(F.col("stem")).sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(f"{path}/terms")
+    held = spark.read.parquet(f"{path}/terms")
+    of = lambda term, what: F.coalesce(F.sum(F.when(F.col("term") == term, F.col(what))), F.lit(0))
+    stats = held.filter(F.col("term").isin("", "\0")).agg(of("", "df").alias("n"), F.try_divide(of("", "cf"), of("\0", "df")).alias("mean"), F.lit(folders).alias("folders"), F.lit(schema).alias("schema"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
     if norms:
         n = F.lit(spark.read.parquet(f"{path}/stats").first().n)
-        weight = (1 + F.log("tf")) * F.log(1 + n / (1 + F.col("df")))
-        weighed = draft_rows.select("term", "key", "tf").join(spark.read.parquet(f"{path}/terms").select("term", "df"), "term")
-        weighed.groupBy("key").agg(F.sqrt(F.sum(weight * weight)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
-
-    laid = draft_rows.withColumn("bucket", _bucket(F.col("term"), folders))
-    laid = laid.repartitionByRange(max(1, -(-size // TASK_BYTES)), "bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
-    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    draft_rows.limit(0).write.mode("overwrite").parquet(draft)
+        weight = (1 + F.log("tf")) * F.log(1 + n / (1 + F.col("of_all")))
+        weighed = written.select("term", "keys", "tfs").join(held.select("term", F.col("df").alias("of_all")), "term")
+        each = weighed.select("of_all", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("tfs").alias("tf"))).alias("d")).select("of_all", "d.key", "d.tf")
+        each.groupBy("key").agg(F.sqrt(F.sum(weight * weight)).alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
 
 
 _SERVED: dict[tuple, str] = {}
@@ -140,18 +170,46 @@ def served(docs: DataFrame, label: str, **options) -> str:
 # --------------------------------------------------------------------------- search
 
 
-def _empty(spark: SparkSession, path: str) -> DataFrame:
-    kind = spark.read.parquet(f"{path}/draft").schema["key"].dataType.simpleString()
-    return spark.createDataFrame([], f"bucket int, term string, key {kind}, kind string, tf int, len int, positions array<int>")
+def terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term, stem, df, cf) of every term."""
+    return spark.read.parquet(f"{path}/terms").filter(~F.col("term").isin("", "\0"))
 
 
-def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    """The rows of the index for these words; other folders and terms are not read."""
+def _written(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The rows of the postings, and the number of folders."""
     stats = spark.read.parquet(f"{path}/stats").first()
-    if not words or spark.read.parquet(f"{path}/terms").limit(1).count() == 0:
-        return _empty(spark, path)
-    buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(_bucket(F.col("w"), stats.folders).alias("b")).distinct().collect()]
-    return spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+    return spark.read.schema(f"{stats.schema}, bucket int").parquet(f"{path}/postings"), stats.folders
+
+
+def _each(rows: DataFrame, columns: list[str], places: bool) -> DataFrame:
+    """A row for each row that holds the term: key, kind, tf, len and, if asked for, its positions."""
+    arrays = [F.col("keys").alias("key"), F.coalesce("kinds", F.transform("keys", lambda _: F.lit(""))).alias("kind"), F.col("tfs").alias("tf"), F.col("lens").alias("len")]
+    if places:
+        arrays.append(F.col("ends").alias("end"))
+    kept = [*columns, "places"] if places else columns
+    each = rows.select(*kept, F.explode_outer(F.arrays_zip(*arrays)).alias("d")).filter("d is not null").select(*kept, "d.*")
+    if not places:
+        return each
+    return each.withColumn("positions", F.slice("places", F.col("end") - F.col("tf") + 1, F.col("tf"))).drop("places", "end")
+
+
+def postings(spark: SparkSession, path: str, words: list[str], places: bool = False) -> DataFrame:
+    """(bucket, term, key, kind, tf, len) and, if asked for, positions for these words; other folders and terms are not
+    read."""
+    held, folders = _written(spark, path)
+    if words:
+        buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(_bucket(F.col("w"), folders).alias("b")).distinct().collect()]
+        held = held.filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+    else:
+        held = held.filter("false")
+    return _each(held, ["bucket", "term"], places)
+
+
+def all_postings(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """asked (bucket, term and others) beside each row that holds its term: (key, kind, tf, len); only their folders are
+    read."""
+    met = _written(spark, path)[0].select("bucket", "term", "keys", "kinds", "tfs", "lens").join(asked, ["bucket", "term"])
+    return _each(met, asked.columns, False)
 
 
 def _best(scored: DataFrame, k: int | None) -> DataFrame:
@@ -161,7 +219,7 @@ def _best(scored: DataFrame, k: int | None) -> DataFrame:
 
 def bm25(spark: SparkSession, path: str, words: list[str], k: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the k best rows by Okapi BM25, ties to the smaller key; k None: all that have a score."""
-    held = postings(spark, path, words).drop("positions")
+    held = postings(spark, path, words)
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each word of the query
     stats = spark.read.parquet(f"{path}/stats")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -172,7 +230,7 @@ def bm25(spark: SparkSession, path: str, words: list[str], k: int | None, k1: fl
 
 def tfidf(spark: SparkSession, path: str, words: list[str], k: int | None) -> DataFrame:
     """(key, score) of the k best rows by TF-IDF, normed by the whole row."""
-    held = postings(spark, path, words).drop("positions")
+    held = postings(spark, path, words)
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = (1 + F.log("tf")) * F.log(1 + F.col("n") / (1 + F.col("df")))
     joined = held.join(F.broadcast(df), "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/stats")))
@@ -196,7 +254,7 @@ def _together(units: list[str], places: Callable[[str], Column]) -> Column:
 def phrase(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """(key, places): the rows in which the words stand one after another, and how often."""
     distinct = sorted(set(words))
-    held = postings(spark, path, distinct)
+    held = postings(spark, path, distinct, places=True)
     each = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"at{k}") for k, w in enumerate(distinct)]
     rows = held.groupBy("key").agg(*each)
     common = _together(words, lambda w: F.col(f"at{distinct.index(w)}"))

@@ -52,7 +52,7 @@ def parse(text: str | None, mode: str = "adjacent", fold: bool = False) -> Keywo
 
 def _forms(spark: SparkSession, path: str, units: list[str]) -> dict[str, list[str]]:
     """The terms of the index that each stem stands for: endings that the stemmer takes off are few, so these are few."""
-    rows = spark.read.parquet(f"{path}/terms").filter(F.col("stem").isin(units)).select("stem", "term").collect()
+    rows = index.terms(spark, path).filter(F.col("stem").isin(units)).select("stem", "term").collect()
     found: dict[str, list[str]] = {u: [] for u in units}
     for r in rows:
         found[r.stem].append(r.term)
@@ -71,7 +71,7 @@ def search(spark: SparkSession, path: str, query: KeywordQuery, k: int | None =
     units = sorted({*terms, *(u for p in phrases for u in p)})
     forms = _forms(spark, path, units) if stemmed else {u: [u] for u in units}
     of_term = {t: u for u, held in forms.items() for t in held}
-    held = index.postings(spark, path, sorted(of_term))
+    held = index.postings(spark, path, sorted(of_term), places=bool(phrases))
     named = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(of_term.items()) for x in pair])[F.col("term")], F.col("term")) if of_term else F.col("term")
     in_phrase = sorted({u for p in phrases for u in p})
     places = [F.array_sort(F.flatten(F.collect_list(F.when(F.col("unit") == u, F.col("positions"))))).alias(f"at{j}") for j, u in enumerate(in_phrase)]

@@ -10,33 +10,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
-from folioscope.operators import arrow, stems
+from folioscope.operators import arrow, index, stems
 
 #: Letters without a decomposition that are folded all the same. Fixed values.
 _FOLDS = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "’": "'", "‘": "'", "–": "-", "—": "-", " ": " "}
 
 
-def related_sources(df: DataFrame, key: str, text: str, kind: str, base: Column, k: int = 5, least: int = 3, share: float = 0.02, floor: int = 20, domains: str | None = None) -> DataFrame:
+def _distinctive(term: Column) -> Column:
+    return (F.length(term) > 4) & ~term.rlike("^[0-9]+$") & ~term.isin(sorted(stems.STOP_WORDS))
+
+
+def related_sources(df: DataFrame, key: str, text: str, kind: str, base: Column, k: int = 5, least: int = 3, share: float = 0.02, floor: int = 20, domains: str | None = None, path: str | None = None) -> DataFrame:
     """(base, place, related, score, shared): for each base row the k rows that share most of its distinctive terms: words of
     five signs or more of the whole text, without stop words and numbers, and domains (an array column), that fewer than
     ``share`` of all rows hold, or fewer than ``floor``. ``least`` shared terms are needed; a domain counts four times, a
     row of another kind has two more; ties to the smaller key.
 
-    The term must be held by a base row, and its rows meet the base rows that hold it, so that work is bounded by the base rows'
-    terms times the cut; a term's rows are not paired with one another. Null texts share nothing; keys are distinct."""
-    words = F.filter(F.array_distinct(T.tokens(F.col(text))), lambda w: (F.length(w) > 4) & ~w.rlike("^[0-9]+$") & ~w.isin(sorted(stems.STOP_WORDS)))
-    named = F.transform(words, lambda w: F.concat(F.lit("w:"), w))
+    path: a keyword index of df by T.tokens with its kinds; without one, it is built once for a state of df's files. Only the
+    base rows' texts are read besides, and only postings of their distinctive words are unpacked, so that work is bounded by
+    the base rows' words times the cut; a word's rows are not paired with one another. Null texts share nothing; keys are
+    distinct and not null."""
+    spark = df.sparkSession
+    path = path or index.served(df.select(key, text, kind), "related", key=key, text=text, tokens=T.tokens, kind=F.col(kind), norms=False, places=False)
+    stats = spark.read.parquet(f"{path}/stats").first()
+    most = max(stats.n * share, float(floor))
+    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), F.coalesce(base, F.lit(False)).alias("base"), F.col(text).alias("said"), *([F.col(domains).alias("hosts")] if domains else []))
+    rare = index.terms(spark, path).filter((F.col("df") < most) & _distinctive(F.col("term"))).select("term")
+    words = rows.filter("base").select(F.col("id").alias("asker"), F.col("kind").alias("own"), F.explode_outer(F.array_distinct(T.tokens(F.col("said")))).alias("term"))
+    asking = words.filter("term is not null").join(rare, "term").withColumn("bucket", index._bucket(F.col("term"), stats.folders))
+    met = index.all_postings(spark, path, asking).select("asker", "own", F.col("key").alias("id"), "kind", F.lit(0).alias("link"))
     if domains:
-        named = F.concat(F.coalesce(named, F.array().cast("array<string>")), F.transform(F.array_distinct(F.coalesce(domains, F.array().cast("array<string>"))), lambda x: F.concat(F.lit("d:"), x)))
-    rows = df.select(F.col(key).alias("id"), F.col(kind).alias("kind"), F.coalesce(base, F.lit(False)).alias("base"), named.alias("terms"))
-    sources = rows.agg(F.greatest(F.count(F.lit(1)) * F.lit(share), F.lit(float(floor))).alias("most"))  # one row
-    each = rows.select("id", "kind", "base", F.explode_outer("terms").alias("term")).filter("term is not null")  # explode would split each text twice
-    counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.bool_or("base").alias("asked"))
-    rare = counted.filter("asked").crossJoin(F.broadcast(sources)).filter(F.col("df") < F.col("most")).select("term")
-    each = each.join(rare, "term")
-    asking = each.filter("base").select("term", F.col("id").alias("asker"), F.col("kind").alias("own"))
-    met = asking.join(each.select("term", "id", "kind"), "term").filter(F.col("asker") != F.col("id"))
-    scores = met.groupBy("asker", "id").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("term").startswith("d:")).alias("links"), F.first(~F.col("own").eqNullSafe(F.col("kind"))).alias("other"))
+        hosts = rows.select("id", "kind", "base", F.explode_outer(F.array_distinct("hosts")).alias("host")).filter("host is not null")
+        few = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("df"), F.bool_or("base").alias("asked")).filter(F.col("asked") & (F.col("df") < most)).select("host")
+        hosts = hosts.join(few, "host")
+        links = hosts.filter("base").select("host", F.col("id").alias("asker"), F.col("kind").alias("own")).join(hosts.select("host", "id", "kind"), "host")
+        met = met.unionByName(links.select("asker", "own", "id", "kind", F.lit(1).alias("link")))
+    met = met.filter(F.col("asker") != F.col("id"))
+    scores = met.groupBy("asker", "id").agg(F.count(F.lit(1)).alias("shared"), F.sum("link").alias("links"), F.first(F.col("own") != F.col("kind")).alias("other"))
     scores = scores.filter(F.col("shared") >= least).withColumn("score", F.col("shared") + 3 * F.col("links") + F.when(F.col("other"), 2).otherwise(0))
     place = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "id"))
     return scores.withColumn("place", place).filter(F.col("place") <= k).select(F.col("asker").alias("base"), "place", F.col("id").alias("related"), "score", "shared")

@@ -33,6 +33,11 @@ n = lambda name="n": F.count(F.lit(1)).alias(name)
 # --------------------------------------------------------------------------- retrieval
 
 
+def tokens_index(spark: SparkSession, d: str) -> str:
+    """The index of all documents by retrieval tokens, with their source as kind; built once for a state of the files."""
+    return index.served(load(spark, d, "documents"), "documents-tokens", tokens=T.tokens, kind=F.col("source"), places=False)
+
+
 def bm25_hits(spark: SparkSession, d: str, k: int | None) -> DataFrame:
     """(doc_id, score) of the best documents from the stored index of words, which is built when it is first asked for."""
     path = index.served(load(spark, d, "documents"), "documents-words", tokens=T.words, norms=False)
@@ -49,8 +54,7 @@ s AS (SELECT doc_id, sum(CASE WHEN term IN ('the', 'thing', 'with', 'that') THEN
 SELECT doc_id, round(dot / CASE WHEN norm > 0 THEN norm ELSE 1 END, 6) AS score FROM s WHERE dot > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def lex_tfidf_topk(spark, d):
     """From the stored index of retrieval tokens, which is built when it is first asked for."""
-    path = index.served(load(spark, d, "documents"), "documents-tokens", tokens=T.tokens, places=False)
-    return index.tfidf(spark, path, QUERY_WORDS, 20).withColumnRenamed("key", "doc_id")
+    return index.tfidf(spark, tokens_index(spark, d), QUERY_WORDS, 20).withColumnRenamed("key", "doc_id")
 
 
 _BM25 = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import matching, related, shaping, similar
 from folioscope.operators.stems import STOP_WORDS
-from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query
+from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query, tokens_index
 from folioscope.sources.tables import load
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -149,7 +149,7 @@ p AS (SELECT a.doc_id AS base, b.doc_id AS related, count(*) AS shared, count(*)
 SELECT * FROM (SELECT base, row_number() OVER (PARTITION BY base ORDER BY score DESC, related)::INTEGER AS place, related, score, shared FROM p) WHERE place <= 5""")
 def related_documents(spark, d):
     """For each document whose number is divisible by 50, the five others that share most of its rare words."""
-    return related.related_sources(load(spark, d, "documents"), "doc_id", "text", "source", F.col("doc_id") % 50 == 0)
+    return related.related_sources(load(spark, d, "documents"), "doc_id", "text", "source", F.col("doc_id") % 50 == 0, path=tokens_index(spark, d))
 
 
 @query()

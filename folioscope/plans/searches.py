@@ -65,7 +65,7 @@ GROUP BY term"""
 )
 def index_terms(spark, d):
     """Every term of the index, with the rows that hold it and how often it stands in them."""
-    return spark.read.parquet(f"{folded_index(spark, d)}/terms").select("term", "df", "cf")
+    return index.terms(spark, folded_index(spark, d)).select("term", "df", "cf")
 
 
 # --------------------------------------------------------------------------- many searches, pages, lenses

@@ -103,7 +103,8 @@ def test_search_equals_plain_reckoning(spark, tmp_path, stemmed):
 def test_search_reads_only_its_terms(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "FOLDER_BYTES", 1 << 12)
     monkeypatch.setattr(index, "TASK_BYTES", 1 << 12)
-    df = spark.createDataFrame([(k, "hot " + " ".join(f"w{k}x{j}" for j in range(40))) for k in range(200)], "doc_id long, text string")
+    spark.createDataFrame([(k, "hot " + " ".join(f"w{k}x{j}" for j in range(40))) for k in range(200)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
     path = f"{tmp_path}/index"
     index.build(df, path)
     assert spark.read.parquet(f"{path}/stats").first().folders > 8
