@@ -9,8 +9,8 @@ Under ``path``:
 - ``terms`` (term, stem, df, cf), sorted by stem; ``norms`` (key, norm), the TF-IDF length of each row, if asked for;
 - ``stats``, one row: rows, mean length, folders.
 
-Blocks of rows are counted where they are read, a column of words at a time, and move once, when they are written; document
-frequencies are sums of the blocks' numbers.
+Blocks of rows are counted where they are read, a column of words at a time, and move once, packed by folder, before they are
+written; document frequencies are sums of the blocks' numbers.
 
 Defined results: a row whose key is null, blank or repeated is refused with an error before anything is written, as
 postings of two rows could not be told apart; an empty text has length 0; a null one counts as a row but not in the mean
@@ -20,6 +20,7 @@ length; an empty table gives an empty index.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -103,6 +104,31 @@ def _postings(batches: Iterator[pa.RecordBatch], fold: bool, kinds: bool, places
         )
 
 
+def _packed(rows: pa.RecordBatch, folders: int) -> pa.RecordBatch:
+    """One row for each folder and split: (bucket, split, size, payload), its rows compressed."""
+    bucket = np.fromiter((zlib.crc32(t.encode()) % folders for t in rows["term"].to_pylist()), np.int64, rows.num_rows)
+    split = rows["split"].to_numpy()
+    order = np.lexsort((split, bucket))
+    rows, bucket, split = rows.take(pa.array(order)), bucket[order], split[order]
+    begins = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(split, prepend=-1) != 0))
+    out = []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as stream:
+            stream.write_batch(pa.Table.from_batches([rows.slice(a, b - a)]).combine_chunks().to_batches()[0])
+        data = sink.getvalue()
+        out.append((int(bucket[a]), int(split[a]), data.size, pa.compress(data, "zstd", asbytes=True)))
+    kinds = (("bucket", pa.int32()), ("split", pa.int64()), ("size", pa.int64()), ("payload", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, size, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "size", "payload")), strict=True):
+            for rows in pa.ipc.open_stream(pa.decompress(payload, size, "zstd")):
+                yield rows.append_column("bucket", pa.array([bucket] * rows.num_rows, pa.int32()))
+
+
 def _with_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = pa.array([stems.stem(t) for t in batch["term"].to_pylist()], pa.string())
@@ -110,7 +136,7 @@ def _with_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket(term: Column, folders: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+    return (F.crc32(term.cast("binary")) % folders).cast("int")
 
 
 def _input_bytes(df: DataFrame) -> int:
@@ -131,9 +157,10 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     folders, splits = min(MOST_FOLDERS, max(1, -(-size // FOLDER_BYTES))), max(4, -(-size // SPLIT_BYTES))
     schema = _ROW.format(rows.schema["key"].dataType.simpleString())
     kinds = kind is not None
-    laid = rows.mapInArrow(lambda it: _postings(it, fold, kinds, places, splits), schema).withColumn("bucket", _bucket(F.col("term"), folders))
+    counted = lambda it: (_packed(x, folders) for x in _postings(it, fold, kinds, places, splits))
+    packed = rows.mapInArrow(counted, "bucket int, split long, size long, payload binary")
     tasks = max(1, -(-size // TASK_BYTES)) if size else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = laid.repartition(tasks, "bucket", "split").sortWithinPartitions("bucket", "term")
+    laid = packed.repartition(tasks, "bucket", "split").mapInArrow(_unpacked, f"{schema}, bucket int").sortWithinPartitions("bucket", "term")
     laid.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
 
     written = spark.read.schema(laid.schema).parquet(f"{path}/postings")  # an empty table's folder tells no schema
