@@ -187,7 +187,8 @@ def covered_runs(df: DataFrame, key: str, words: Column, known: DataFrame, known
         return rows.select(*names, F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
 
     texts = df.select(F.col(key).alias("key"), words.alias("said"))
-    held = runs(known.select(known_words.alias("said")), "said", []).select("gram").distinct()
+    # written, so that their size is known: few are broadcast, many are met by a shuffle
+    held = kept(runs(known.select(known_words.alias("said")), "said", []).select("gram").distinct(), "known-runs")
     places = runs(texts, "said", ["key"]).join(held, "gram", "left_semi").select("key", "at")
     order = Window.partitionBy("key").orderBy("at")
     begins = places.withColumn("new", (F.col("at") - F.lag("at").over(order) > size) | F.lag("at").over(order).isNull())
