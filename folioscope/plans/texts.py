@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
 from folioscope.functions import urls as U
-from folioscope.operators import links, matcher, segments, voices
+from folioscope.operators import links, matcher, passages, segments, voices
 from folioscope.plans.catalogue import ORACLE_SQL, QUERIES, query
 from folioscope.sources.tables import load
 
@@ -203,3 +204,29 @@ def own_words(spark, d):
 def image_contexts(spark, d):
     """Each page's distinct images with their text and the prose nearest to them."""
     return voices.media(_voiced(spark, d), "page_id", "markdown")
+
+
+def _page_passages(spark, d):
+    pages = load(spark, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"), segments.html_to_markdown(F.col("html")).alias("markdown"))
+    return passages.passages(pages, "page_id", "markdown", "title", max_words=120, overlap=20, input_chars=1200)
+
+
+@query()
+def page_passages(spark, d):
+    """Each page's passages with their sections and the digest of what would be embedded."""
+    found = _page_passages(spark, d)
+    return found.select("page_id", "section", "ord", "heading", F.array_join("path", " > ").alias("path"), passages.content_kind(F.col("heading")).alias("kind"), "start", "stop", "words", "digest", "over")
+
+
+@query(r"""
+WITH m AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<head\b.*?</head\s*>', ' ', 'g') AS h FROM pages)
+SELECT page_id, TRUE AS titled, TRUE AS whole FROM m WHERE regexp_matches(regexp_replace(h, '<[^>]+>', '', 'g'), '[\p{L}\p{N}]')""")
+def passage_headers(spark, d):
+    """Pages with words: whether every passage's input begins with its header and ends with its text, which is of the size that
+    its places say."""
+    pages = load(spark, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
+    rows = _page_passages(spark, d).join(pages.withColumnRenamed("page_id", "of"), F.col("page_id") == F.col("of"))
+    header = F.array_join(F.filter(F.array(F.trim("title"), F.array_join("path", " > ")), lambda x: x != ""), "\n")
+    titled = F.col("input") == F.concat(header, F.lit("\n"), F.col("text"))
+    whole = (F.length("text") <= F.col("stop") - F.col("start")) & ((F.length("input") <= 1200) | F.col("over"))
+    return rows.groupBy("page_id").agg(F.bool_and(titled).alias("titled"), F.bool_and(whole).alias("whole"))

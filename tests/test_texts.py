@@ -4,8 +4,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from folioscope.operators import links, segments, voices
+from folioscope.operators import links, passages, segments, voices
 from folioscope.plans import texts as plans
 
 SF = "/root/testdata/sf0.001"
@@ -160,3 +161,36 @@ def test_own_words_and_images(spark):
     covers = spark.createDataFrame([(1, "http://i.test/a"), (2, "http://i.test/own"), (3, "http://i.test/s?1"), (4, "http://i.test/s#2"), (5, "IMG_1"), (6, None)], "id long, cover string")
     states = voices.cover_state(voices.media(df, "id"), covers, "id").collect()
     assert {r.id: r.state for r in states} == {1: "shown", 2: "own", 3: "shared", 4: "shared", 5: "none", 6: "none"}
+
+
+def test_passages_carry_their_headers():
+    text = "intro words\n# A\n## B b\n" + "one two three. " * 100 + "\n## C\n# D\nlast"
+    found = passages.passages_of("Title", text, 40, 5, 1300)
+    assert [x[2] for x in found][0] == "" and {tuple(x[3]) for x in found} == {(), ("A", "B b"), ("D",)}
+    for number, level, heading, path, k, start, stop, words, said, whole, digest, over in found:
+        assert whole == "\n".join([*filter(None, ["Title", " > ".join(path)]), said]) and text[start:stop].strip() == said
+        assert words <= 40 and len(whole) <= 1300 and not over and len(digest) == 64
+    assert passages.passages_of("", "", 40, 5, 1300) == passages.passages_of("", "# only\n", 40, 5, 1300) == []
+    assert passages.passages_of("t" * 2000, "x " * 10, 40, 5, 1300)[0][-1]
+
+
+def test_passages_by_section_and_kind_and_their_vectors(spark, tmp_path):
+    rows = [(1, "T", "# Photo Journal\none\n## Deep\ntwo\n# Links!\nthree"), (2, None, "no heading"), (3, "x", None)]
+    df = spark.createDataFrame(rows, "id long, title string, text string")
+    found = passages.passages(df, "id", "text", "title")
+    got = {(r.id, r.text): (r.input, r.kind, r.inside) for r in found.select("*", passages.content_kind(F.col("heading")).alias("kind"), passages.in_section("photo journal").alias("inside")).collect()}
+    assert got == {(1, "one"): ("T\nPhoto Journal\none", "personal", True), (1, "two"): ("T\nPhoto Journal > Deep\ntwo", "essay", True), (1, "three"): ("T\nLinks!\nthree", "links", False), (2, "no heading"): ("no heading", "essay", False)}
+    path, made = f"file://{tmp_path}/vectors", spark.sparkContext.accumulator(0)
+
+    def vectors_of(rows):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows.select("id", F.array(F.length("input").cast("float")).alias("vector")).mapInArrow(run, "id string, vector array<float>")
+
+    keyed = lambda df: passages.passages(df, "id", "text", "title").select(F.concat_ws("-", "id", "section", "ord").alias("id"), "input")
+    assert passages.embed(keyed(df), path, ["input"], "m1", vectors_of)[1:] == (4, 0, 0) and made.value == 4
+    changed = spark.createDataFrame([rows[0], (2, None, "another text"), rows[2]], df.schema)
+    assert passages.embed(keyed(changed), path, ["input"], "m1", vectors_of)[1:] == (1, 3, 0) and made.value == 5
