@@ -19,6 +19,7 @@ length; an empty table gives an empty index.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -54,10 +55,55 @@ def _refuse(keys: DataFrame) -> None:
 _ROW = "term string, split long, df long, cf long, keys array<{}>, kinds array<string>, tfs array<int>, lens array<int>, ends array<int>, places array<int>"
 
 
-def _postings(batches: Iterator[pa.RecordBatch], fold: bool, kinds: bool, places: bool, splits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, kind, words) to one row for each word of each batch, with the rows that hold it and its places there (none
-    if they aren't asked for), and two rows that count: the term "" all rows, the term "\\0" those with words or none, but
-    not null."""
+def _expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """starts[k] .. starts[k] + lens[k] - 1 for each k, one after another."""
+    before = np.cumsum(lens) - lens
+    return np.repeat(starts - before, lens) + np.arange(int(lens.sum()))
+
+
+def _within(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sums of values from the beginning of each stretch of these lengths on."""
+    sums = np.cumsum(values)
+    first = np.cumsum(lens) - lens
+    return sums - np.repeat(np.where(first > 0, sums[np.maximum(first, 1) - 1], 0) if len(sums) else first, lens)
+
+
+def _bytes_of(*parts: np.ndarray | bytes) -> bytes:
+    """Whole numbers in as few bytes as they need, and bytes, as one value; _parts_of gives them back in order."""
+    held, head = [], []
+    for part in parts:
+        if not isinstance(part, bytes):
+            top = int(part.max(initial=0))
+            part = part.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+        head.append(["" if isinstance(part, bytes) else part.dtype.str, len(part) if isinstance(part, bytes) else part.nbytes])
+        held.append(part if isinstance(part, bytes) else part.tobytes())
+    first = json.dumps(head).encode()
+    return len(first).to_bytes(4, "little") + first + b"".join(held)
+
+
+def _parts_of(data: bytes) -> list[np.ndarray | bytes]:
+    size = int.from_bytes(data[:4], "little")
+    at, out = 4 + size, []
+    for kind, n in json.loads(data[4 : 4 + size]):
+        out.append(np.frombuffer(data[at : at + n], kind).astype(np.int64) if kind else data[at : at + n])
+        at += n
+    return out
+
+
+def _ipc(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+_PACKED = {"bucket": pa.int32(), "split": pa.int64(), "size": pa.int64(), "payload": pa.binary()}
+
+
+def _packed(batches: Iterator[pa.RecordBatch], fold: bool, places: bool, folders: int, splits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, words) to one row for each folder and split of each batch: (bucket, split, size, payload). A payload has
+    the folder's words, the rows that hold each of them, how often, and the gaps between its places there (none if they
+    aren't asked for). Two words count rows: "" all of them, "\\0" those whose words aren't null."""
     part = TaskContext.get().partitionId()
     for number, batch in enumerate(batches):
         words, rows = batch["words"], batch.num_rows
@@ -75,58 +121,62 @@ def _postings(batches: Iterator[pa.RecordBatch], fold: bool, kinds: bool, places
         place = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
         order = np.argsort(codes, kind="stable")  # rows and places within a word stay in order
         row, codes, place = row[order], codes[order], place[order]
-        begins = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
-        ends = np.append(begins, len(row))
-        of_word, at = codes[begins], pa.array(row[begins])
-        first = np.flatnonzero(np.diff(of_word, prepend=-1))
+        begins = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))  # of a word in a row
+        tf = np.diff(np.append(begins, len(row)))
+        first = np.flatnonzero(np.diff(codes[begins], prepend=-1))  # of a word
         held = np.diff(np.append(first, len(begins)))
-        tf = np.diff(ends)
-        # the two counting rows come last and hold no rows
-        offsets = pa.array(np.concatenate([first, [len(begins)] * 3]), pa.int32())
-        terms = [names[k] for k in of_word[first].tolist()] + ["", "\0"]
-        df = np.concatenate([held, [rows, known.sum()]])
-        cf = np.concatenate([np.add.reduceat(tf, first) if len(first) else np.zeros(0, np.int64), [lens.sum(), 0]])
-        hot = np.concatenate([(4 * held > rows) & (held >= 8), [True, True]])
-        split = np.where(hot, (part * 8191 + number) % splits, 0)
-        column = lambda values: pa.ListArray.from_arrays(offsets, values)
-        nothing = lambda kind: pa.nulls(len(terms), pa.list_(kind))
-        starts = np.repeat(ends[np.append(first, len(begins))[:-1]], held)  # where the places of a term begin
-        bounds = pa.array(ends[np.append(first, [len(begins)] * 3)], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(terms), pa.array(split, pa.int64()), pa.array(df, pa.int64()), pa.array(cf, pa.int64())),
-                *(column(batch["key"].take(at)), column(batch["kind"].take(at)) if kinds else nothing(pa.string())),
-                *(column(pa.array(tf, pa.int32())), column(pa.array(lens, pa.int32()).take(at))),
-                column(pa.array(ends[1:] - starts, pa.int32())) if places else nothing(pa.int32()),
-                pa.ListArray.from_arrays(bounds, pa.array(place, pa.int32())) if places else nothing(pa.int32()),
-            ],
-            ["term", "split", "df", "cf", "keys", "kinds", "tfs", "lens", "ends", "places"],
-        )
-
-
-def _packed(rows: pa.RecordBatch, folders: int) -> pa.RecordBatch:
-    """One row for each folder and split: (bucket, split, size, payload), its rows compressed."""
-    bucket = np.fromiter((zlib.crc32(t.encode()) % folders for t in rows["term"].to_pylist()), np.int64, rows.num_rows)
-    split = rows["split"].to_numpy()
-    order = np.lexsort((split, bucket))
-    rows, bucket, split = rows.take(pa.array(order)), bucket[order], split[order]
-    begins = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(split, prepend=-1) != 0))
-    out = []
-    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as stream:
-            stream.write_batch(pa.Table.from_batches([rows.slice(a, b - a)]).combine_chunks().to_batches()[0])
-        data = sink.getvalue()
-        out.append((int(bucket[a]), int(split[a]), data.size, pa.compress(data, "zstd", asbytes=True)))
-    kinds = (("bucket", pa.int32()), ("split", pa.int64()), ("size", pa.int64()), ("payload", pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = [names[k].encode("utf-8", "surrogatepass") for k in codes[begins][first].tolist()]
+        bucket = np.fromiter((zlib.crc32(t) % folders for t in terms), np.int64, len(terms))
+        split = np.where((4 * held > rows) & (held >= 8), (part * 8191 + number) % splits, 0)
+        order = np.lexsort((split, bucket))
+        cells = np.flatnonzero((np.diff(bucket[order], prepend=-1) != 0) | (np.diff(split[order], prepend=-1) != 0))
+        out = []
+        for cell in np.split(order, cells[1:]) if len(cells) else ():
+            mine = _expand(first[cell], held[cell])
+            used, doc = np.unique(row[begins[mine]], return_inverse=True)
+            gaps = np.zeros(0, np.int64)
+            if places:
+                gaps = place[_expand(begins[mine], tf[mine])]
+                inner = np.ones(len(gaps), bool)
+                inner[np.cumsum(tf[mine]) - tf[mine]] = False
+                gaps[1:][inner[1:]] -= gaps[:-1][inner[1:]].copy()
+            docs = pa.RecordBatch.from_arrays([batch["key"].take(pa.array(used)), batch["kind"].take(pa.array(used)), pa.array(lens[used], pa.int32())], ["key", "kind", "len"])
+            data = _bytes_of(b"".join(terms[k] for k in cell.tolist()), np.array([len(terms[k]) for k in cell.tolist()]), held[cell], doc, tf[mine], gaps, _ipc(docs))
+            out.append((int(bucket[cell[0]]), int(split[cell[0]]), len(data), pa.compress(data, "zstd", asbytes=True)))
+        nobody = _ipc(pa.RecordBatch.from_arrays([batch["key"][:0], batch["kind"][:0], pa.array([], pa.int32())], ["key", "kind", "len"]))
+        for term, n, total in ((b"", rows, int(lens.sum())), (b"\0", int(known.sum()), 0)):
+            data = _bytes_of(term, np.array([len(term)]), np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 3, nobody, np.array([n, total]))
+            out.append((zlib.crc32(term) % folders, number % splits, len(data), pa.compress(data, "zstd", asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(_PACKED.values())], list(_PACKED))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: bool, places: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each word of each payload."""
     for batch in batches:
-        for bucket, size, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "size", "payload")), strict=True):
-            for rows in pa.ipc.open_stream(pa.decompress(payload, size, "zstd")):
-                yield rows.append_column("bucket", pa.array([bucket] * rows.num_rows, pa.int32()))
+        for bucket, split, size, payload in zip(*(batch[c].to_pylist() for c in _PACKED), strict=True):
+            text, sizes, held, doc, tf, gaps, docs, *counts = _parts_of(pa.decompress(payload, size, "zstd", asbytes=True))
+            docs = pa.ipc.open_stream(docs).read_all().combine_chunks()
+            ends = np.cumsum(sizes)
+            terms = [text[a:b].decode("utf-8", "surrogatepass") for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            n, at = len(terms), pa.array(doc)
+            column = lambda values, held=held: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), values)
+            nothing = lambda kind, n=n: pa.nulls(n, pa.list_(kind))
+            taken = lambda c, docs=docs, at=at: pa.concat_arrays(docs[c].chunks or [pa.array([], docs.schema.field(c).type)]).take(at)
+            in_term = _within(tf, held)  # where the places of a row end among those of its word
+            of_term = np.zeros(n, np.int64)
+            np.add.at(of_term, np.repeat(np.arange(n), held), tf)
+            df, cf = (counts[0][:1], counts[0][1:]) if counts else (held, of_term)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(terms, pa.string()), pa.array(np.full(n, split)), pa.array(df), pa.array(cf)),
+                    *(column(taken("key")), column(taken("kind")) if kinds else nothing(pa.string())),
+                    *(column(pa.array(tf, pa.int32())), column(taken("len"))),
+                    column(pa.array(in_term, pa.int32())) if places else nothing(pa.int32()),
+                    column(pa.array(_within(gaps, tf), pa.int32()), of_term) if places else nothing(pa.int32()),
+                    pa.array(np.full(n, bucket), pa.int32()),
+                ],
+                ["term", "split", "df", "cf", "keys", "kinds", "tfs", "lens", "ends", "places", "bucket"],
+            )
 
 
 def _with_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +207,9 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     folders, splits = min(MOST_FOLDERS, max(1, -(-size // FOLDER_BYTES))), max(4, -(-size // SPLIT_BYTES))
     schema = _ROW.format(rows.schema["key"].dataType.simpleString())
     kinds = kind is not None
-    counted = lambda it: (_packed(x, folders) for x in _postings(it, fold, kinds, places, splits))
-    packed = rows.mapInArrow(counted, "bucket int, split long, size long, payload binary")
+    packed = rows.mapInArrow(lambda it: _packed(it, fold, places, folders, splits), "bucket int, split long, size long, payload binary")
     tasks = max(1, -(-size // TASK_BYTES)) if size else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = packed.repartition(tasks, "bucket", "split").mapInArrow(_unpacked, f"{schema}, bucket int").sortWithinPartitions("bucket", "term")
+    laid = packed.repartition(tasks, "bucket", "split").mapInArrow(lambda it: _unpacked(it, kinds, places), f"{schema}, bucket int").sortWithinPartitions("bucket", "term")
     laid.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
 
     written = spark.read.schema(laid.schema).parquet(f"{path}/postings")  # an empty table's folder tells no schema
