@@ -5,7 +5,8 @@ Under ``path``:
 - ``postings`` (bucket, term, split, df, cf and the arrays keys, kinds, tfs, lens, ends, places): a row for each term of each block
   of rows, in folders by a hash of the term, sorted by term; places are those of all the rows, the ends of each one's in
   ``ends``. The numbers of folders and of tasks that write them follow from the size
-  of the table's files; the rows of a term that a quarter of a block's rows hold are dealt over tasks by their block;
+  of the table's files; a folder is written by several tasks, each with some of its terms, and a term that a quarter of a
+  block's rows hold is dealt over tasks by its blocks;
 - ``terms`` (term, stem, df, cf), sorted by stem; ``norms`` (key, norm), the TF-IDF length of each row, if asked for;
 - ``stats``, one row: rows, mean length, folders.
 
@@ -36,7 +37,7 @@ from folioscope.sources.builds import file_fingerprint
 from folioscope.sources.tables import scratch
 
 #: Bytes of the table's files that a folder, a task and a part of a frequent term stand for, about.
-FOLDER_BYTES, TASK_BYTES, SPLIT_BYTES, MOST_FOLDERS = 64 << 20, 16 << 20, 1 << 30, 4096
+FOLDER_BYTES, TASK_BYTES, SPLIT_BYTES, MOST_FOLDERS = 64 << 20, 8 << 20, 1 << 30, 4096
 
 
 def folded(term: str) -> str:
@@ -100,7 +101,7 @@ def _ipc(rows: pa.RecordBatch) -> bytes:
 _PACKED = {"bucket": pa.int32(), "split": pa.int64(), "size": pa.int64(), "payload": pa.binary()}
 
 
-def _packed(batches: Iterator[pa.RecordBatch], fold: bool, places: bool, folders: int, splits: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], fold: bool, places: bool, folders: int, parts: int, splits: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, kind, words) to one row for each folder and split of each batch: (bucket, split, size, payload). A payload has
     the folder's words, the rows that hold each of them, how often, and the gaps between its places there (none if they
     aren't asked for). Two words count rows: "" all of them, "\\0" those whose words aren't null."""
@@ -126,8 +127,10 @@ def _packed(batches: Iterator[pa.RecordBatch], fold: bool, places: bool, folders
         first = np.flatnonzero(np.diff(codes[begins], prepend=-1))  # of a word
         held = np.diff(np.append(first, len(begins)))
         terms = [names[k].encode("utf-8", "surrogatepass") for k in codes[begins][first].tolist()]
-        bucket = np.fromiter((zlib.crc32(t) % folders for t in terms), np.int64, len(terms))
-        split = np.where((4 * held > rows) & (held >= 8), (part * 8191 + number) % splits, 0)
+        hashed = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
+        bucket = hashed % folders
+        # a folder's words are dealt over parts by their hash; those that many of the rows hold, over more by the batch
+        split = np.where((4 * held > rows) & (held >= 8), parts + (part * 8191 + number) % splits, hashed // folders % parts)
         order = np.lexsort((split, bucket))
         cells = np.flatnonzero((np.diff(bucket[order], prepend=-1) != 0) | (np.diff(split[order], prepend=-1) != 0))
         out = []
@@ -146,7 +149,7 @@ def _packed(batches: Iterator[pa.RecordBatch], fold: bool, places: bool, folders
         nobody = _ipc(pa.RecordBatch.from_arrays([batch["key"][:0], batch["kind"][:0], pa.array([], pa.int32())], ["key", "kind", "len"]))
         for term, n, total in ((b"", rows, int(lens.sum())), (b"\0", int(known.sum()), 0)):
             data = _bytes_of(term, np.array([len(term)]), np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 3, nobody, np.array([n, total]))
-            out.append((zlib.crc32(term) % folders, number % splits, len(data), pa.compress(data, "zstd", asbytes=True)))
+            out.append((zlib.crc32(term) % folders, parts + number % splits, len(data), pa.compress(data, "zstd", asbytes=True)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(_PACKED.values())], list(_PACKED))
 
 
@@ -207,8 +210,9 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     folders, splits = min(MOST_FOLDERS, max(1, -(-size // FOLDER_BYTES))), max(4, -(-size // SPLIT_BYTES))
     schema = _ROW.format(rows.schema["key"].dataType.simpleString())
     kinds = kind is not None
-    packed = rows.mapInArrow(lambda it: _packed(it, fold, places, folders, splits), "bucket int, split long, size long, payload binary")
     tasks = max(1, -(-size // TASK_BYTES)) if size else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-tasks // folders)
+    packed = rows.mapInArrow(lambda it: _packed(it, fold, places, folders, parts, splits), "bucket int, split long, size long, payload binary")
     laid = packed.repartition(tasks, "bucket", "split").mapInArrow(lambda it: _unpacked(it, kinds, places), f"{schema}, bucket int").sortWithinPartitions("bucket", "term")
     laid.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
 
