@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import chat, gif, licenses, mixing, topk
 
@@ -45,6 +46,19 @@ def test_top_k_small_tables(spark):
     assert topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_few_rows_of_each_task_are_sent_for_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SEEDS", 50)
+    rows = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
+    got = [r.vec_id for r in topk._seeds(rows, 20_000)]
+    assert got == [r.vec_id for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(50).collect()]
+    assert len(topk._seeds(rows.withColumn("vec_id", F.lit(7)), 20_000)) == 50  # one hash: the bound is raised until rows are below it
+    limits = []
+    kept = type(rows).filter
+    monkeypatch.setattr(type(rows), "filter", lambda self, by: limits.append(kept(self, by)) or limits[-1])
+    topk._seeds(rows, 20_000)
+    assert limits[0].count() < 16 * 50 / 2  # of the rows that 16 tasks would send
+
+
 def test_triangle_bounds_leave_annuli_out():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 1, (512, 4)) for c in (0, 60)]).round()
