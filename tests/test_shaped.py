@@ -65,6 +65,18 @@ def test_twins_and_attribution(spark):
     assert sorted((r.id, r.target, r.rule) for r in shaping.attributed(rows, "id", [first, second]).collect()) == [(1, None, None), (2, "c", 0), (3, "w", 1)]
 
 
+def test_attribution_joins_two_names_of_a_nation_at_most(spark, tmp_path):
+    from folioscope.plans import shaped
+
+    spark.createDataFrame([(k, 1 + k % 3) for k in range(100, 160)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    makers = [(k, f"S{k}", 1, 8000.0) for k in range(40)] + [(50, "T", 2, 8000.0), (51, "T", 2, 9000.0), (52, "U", 2, 10.0), (101, "V", 9, 1.0)]
+    spark.createDataFrame(makers, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = shaped.attribution(spark, str(tmp_path))
+    assert {r.c_custkey: (r.target, r.rule) for r in got.collect()} == {k: ("V", 0) if k == 101 else ("T", 1) if k % 3 == 1 else (None, None) for k in range(100, 160)}
+    by_nation = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(s_name" in by_nation and "max(s_name" in by_nation
+
+
 def test_index_equals_scans_and_reads_only_its_terms(spark, tmp_path):
     from folioscope.functions import text as T
     from folioscope.operators import index, lexical
