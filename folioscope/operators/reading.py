@@ -76,15 +76,37 @@ def without_lead_in(df: DataFrame, source: str, order: str, words: str, most: in
     return rows.withColumn(words, F.slice(now, F.col(said_by) + 1, F.greatest(F.size(now), F.lit(1)))).drop(ahead, said_by)
 
 
+def _spans(said: Column, n: int) -> Column:
+    """(gram, at) of each run of n words, by a hash of it, sorted."""
+    starts = F.when(F.size(said) >= n, F.sequence(F.lit(1), F.size(said) - n + 1))  # also where a filter is moved
+    return F.array_sort(F.transform(starts, lambda k: F.struct(F.xxhash64(F.array_join(F.slice(said, k, F.lit(n)), " ")).alias("gram"), k.alias("at"))))
+
+
 def repeated_runs(df: DataFrame, row: str, words: Column, n: int = 5, apart: int = 5) -> DataFrame:
-    """(row, runs): how many runs of n words stand in a text at two places at least ``apart`` words from each other. What
-    moves is a hash of each run with its first and last place, combined where it is read."""
+    """(row, runs): how many runs of n words stand in a text at two places at least ``apart`` words from each other. A row's
+    runs are sorted by a hash where the row is read, and counted there; only of ids that several rows have (or none) do they
+    move, and those rows are read again."""
     free = free_names([row, "runs"])
-    said, at, gram, first, last = (free(c) for c in ("said", "at", "gram", "first", "last"))
+    said, spans, gram, first, last, held, by = (free(c) for c in ("said", "spans", "gram", "first", "last", "held", "by"))
+
+    def step(state: Column, span: Column) -> Column:
+        again = state["gram"].eqNullSafe(span["gram"])
+        far = again & (span["at"] - state["first"] >= apart)
+        runs = state["runs"] + F.when(far & ~state["done"], 1).otherwise(0)
+        return F.struct(span["gram"].alias("gram"), F.when(again, state["first"]).otherwise(span["at"]).alias("first"), F.when(again, state["done"] | far).otherwise(False).alias("done"), runs.cast("long").alias("runs"))
+
+    start = F.struct(F.lit(None).cast("long").alias("gram"), F.lit(0).alias("first"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("runs"))
     toks = df.select(row, words.alias(said))
-    starts = F.when(F.size(said) >= n, F.sequence(F.lit(1), F.size(said) - n + 1))  # also where a filter is moved
-    grams = F.transform(starts, lambda k: F.xxhash64(F.array_join(F.slice(said, k, F.lit(n)), " ")))
-    # posexplode would put a filter on the runs below the split into words, where each of them splits its text again
-    each = toks.select(row, F.posexplode_outer(grams).alias(at, gram)).filter(F.col(gram).isNotNull())
-    ends = each.groupBy(row, gram).agg(F.min(at).alias(first), F.max(at).alias(last)).filter(F.col(last) - F.col(first) >= apart)
-    return ends.groupBy(row).agg(F.count(F.lit(1)).alias("runs"))
+    local = toks.select(row, F.coalesce(F.aggregate(_spans(F.col(said), n), start, step, lambda s: s["runs"]), F.lit(0)).alias("runs"))
+    counted = kept(local.groupBy(row).agg(F.count(F.lit(1)).alias(held), F.sum("runs").alias("runs")), "repeated-runs")
+    several = (F.col(held) > 1) | F.col(row).isNull()
+    once = counted.filter(~several & (F.col("runs") > 0)).select(row, "runs")
+    shared = counted.filter(several).select(F.col(row).alias(by))
+    if shared.isEmpty():
+        return once
+    # explode would put a filter on the runs below the split into words, where each of them splits its text again
+    again = df.join(shared, F.col(row).eqNullSafe(F.col(by)), "left_semi").select(row, words.alias(said))
+    each = again.select(row, F.explode_outer(_spans(F.col(said), n)).alias(spans)).filter(F.col(spans).isNotNull())
+    each = each.select(row, F.col(spans)["gram"].alias(gram), F.col(spans)["at"].alias(spans))
+    ends = each.groupBy(row, gram).agg(F.min(spans).alias(first), F.max(spans).alias(last)).filter(F.col(last) - F.col(first) >= apart)
+    return once.unionByName(ends.groupBy(row).agg(F.count(F.lit(1)).alias("runs")))

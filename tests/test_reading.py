@@ -61,3 +61,12 @@ def test_repeated_runs_stand_apart(spark):
     df = spark.createDataFrame([(1, "a b c d e x a b c d e"), (2, "a a a a a a a"), (3, "a b"), (4, None), (5, "a a a a a a a a a a")], "id long, t string")
     got = reading.repeated_runs(df, "id", F.split("t", " "))
     assert {r.id: r.runs for r in got.collect()} == {1: 1, 5: 1}
+
+
+def test_repeated_runs_move_only_for_ids_of_several_rows(spark):
+    rows = [(1, "a b c d e x a b c d e"), (2, "a b c d e"), (2, "x x x x x a b c d e"), (None, "a b c d e"), (None, "x x x x x a b c d e"), (3, "b b")]
+    got = reading.repeated_runs(spark.createDataFrame(rows, "id long, t string"), "id", F.split("t", " "))
+    assert {r.id: r.runs for r in got.collect()} == {1: 1, 2: 1, None: 1}
+    single = reading.repeated_runs(spark.createDataFrame(rows[:2], "id long, t string"), "id", F.split("t", " "))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    assert single.count() == 1
