@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
 from folioscope.operators import arrow, index, stems
+from folioscope.sources.tables import kept
+
+#: Rows that a group has at most, about, and as few as let a table be dealt over GROUPS.
+GROUP, SMALL_GROUP, GROUPS = 32768, 4096, 48
 
 #: Letters without a decomposition that are folded all the same. Fixed values.
 _FOLDS = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "’": "'", "‘": "'", "–": "-", "—": "-", " ": " "}
@@ -26,32 +34,123 @@ def related_sources(df: DataFrame, key: str, text: str, kind: str, base: Column,
     ``share`` of all rows hold, or fewer than ``floor``. ``least`` shared terms are needed; a domain counts four times, a
     row of another kind has two more; ties to the smaller key.
 
-    path: a keyword index of df by T.tokens with its kinds; without one, it is built once for a state of df's files. Only the
-    base rows' texts are read besides, and only postings of their distinctive words are unpacked, so that work is bounded by
-    the base rows' words times the cut; a word's rows are not paired with one another. Null texts share nothing; keys are
-    distinct and not null."""
+    path: a keyword index of df by T.tokens with its kinds; without one, it is built once for a state of df's files. Rows are
+    dealt over groups of a bounded size. The rows that hold an asked word move once, packed, to their groups, and the base
+    rows' words pass by each group, where what they share is counted: the pairs themselves, which grow with the square of
+    the table, don't move. Only the base rows' texts are read besides. Null texts share nothing; keys are distinct and not
+    null."""
     spark = df.sparkSession
     path = path or index.served(df.select(key, text, kind), "related", key=key, text=text, tokens=T.tokens, kind=F.col(kind), norms=False, places=False)
     stats = spark.read.parquet(f"{path}/stats").first()
     most = max(stats.n * share, float(floor))
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), F.coalesce(base, F.lit(False)).alias("base"), F.col(text).alias("said"), *([F.col(domains).alias("hosts")] if domains else []))
+    groups = max(1, -(-stats.n // GROUP), min(GROUPS, -(-stats.n // SMALL_GROUP)))
+    rows = arrow.small_batches(df).select(F.col(key).alias("id"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind"), F.coalesce(base, F.lit(False)).alias("base"), F.col(text).alias("said"), *([F.col(domains).alias("hosts")] if domains else []))
     rare = index.terms(spark, path).filter((F.col("df") < most) & _distinctive(F.col("term"))).select("term")
     words = rows.filter("base").select(F.col("id").alias("asker"), F.col("kind").alias("own"), F.explode_outer(F.array_distinct(T.tokens(F.col("said")))).alias("term"))
-    asking = words.filter("term is not null").join(rare, "term").withColumn("bucket", index._bucket(F.col("term"), stats.folders))
-    met = index.all_postings(spark, path, asking).select("asker", "own", F.col("key").alias("id"), "kind", F.lit(0).alias("link"))
-    if domains:
+    asking = kept(words.filter("term is not null").join(rare, "term"), "related-words")
+    number = F.monotonically_increasing_id()  # written, so that it stays
+    codes = kept(asking.select("term").distinct().select("term", number.alias("code")), "related-terms")
+    met = index.holders_of(spark, path, codes.withColumn("bucket", index._bucket(F.col("term"), stats.folders)), _distinctive(F.col("term"))).select("code", "keys")
+    asking = asking.join(codes, "term").select("asker", "own", "code")
+    if domains:  # their codes are below 0
         hosts = rows.select("id", "kind", "base", F.explode_outer(F.array_distinct("hosts")).alias("host")).filter("host is not null")
-        few = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("df"), F.bool_or("base").alias("asked")).filter(F.col("asked") & (F.col("df") < most)).select("host")
-        hosts = hosts.join(few, "host")
-        links = hosts.filter("base").select("host", F.col("id").alias("asker"), F.col("kind").alias("own")).join(hosts.select("host", "id", "kind"), "host")
-        met = met.unionByName(links.select("asker", "own", "id", "kind", F.lit(1).alias("link")))
-    met = met.filter(F.col("asker") != F.col("id"))
-    scores = met.groupBy("asker", "id").agg(F.count(F.lit(1)).alias("shared"), F.sum("link").alias("links"), F.first(F.col("own") != F.col("kind")).alias("other"))
-    scores = scores.filter(F.col("shared") >= least).withColumn("score", F.col("shared") + 3 * F.col("links") + F.when(F.col("other"), 2).otherwise(0))
+        few = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("df"), F.bool_or("base").alias("asked")).filter(F.col("asked") & (F.col("df") < most))
+        hosts = hosts.join(kept(few.select("host", (-1 - number).alias("code")), "related-hosts"), "host")
+        met = met.unionByName(hosts.select("code", F.array("id").alias("keys")))
+        asking = asking.unionByName(hosts.filter("base").select(F.col("id").alias("asker"), F.col("kind").alias("own"), "code"))
+    kind_of = rows.schema["id"].dataType.simpleString()
+    group_of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    dealt = f"group int, role int, ids array<{kind_of}>, kinds array<string>, codes array<long>"
+    members = rows.select(group_of(F.col("id")).alias("group"), F.lit(0).alias("role"), F.array("id").alias("ids"), F.array("kind").alias("kinds"), F.lit(None).cast("array<long>").alias("codes"))
+    holding = met.select("code", "keys", F.transform("keys", group_of).alias("groups")).mapInArrow(_dealt, dealt)
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    askers = asking.groupBy("asker", "own").agg(F.collect_list("code").alias("codes"))
+    askers = askers.select(each.alias("group"), F.lit(2).alias("role"), F.array("asker").alias("ids"), F.array("own").alias("kinds"), "codes")
+    together = members.unionByName(holding).unionByName(askers).repartition(groups, "group").sortWithinPartitions("group", "role")
+    scores = together.mapInArrow(lambda it: _shared(it, k, least), f"asker {kind_of}, id {kind_of}, score long, shared long")
     place = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "id"))
     return scores.withColumn("place", place).filter(F.col("place") <= k).select(F.col("asker").alias("base"), "place", F.col("id").alias("related"), "score", "shared")
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (code, keys, groups of the keys) to a row for each group of a batch: its keys and the code of each."""
+    for batch in batches:
+        keys, groups = batch["keys"].flatten(), batch["groups"].flatten().to_numpy()
+        codes = np.repeat(batch["code"].to_numpy(), np.diff(batch["keys"].offsets.to_numpy()))
+        order = np.argsort(groups, kind="stable")
+        cuts = np.flatnonzero(np.diff(groups[order], prepend=-1))
+        ends = pa.array(np.append(cuts, len(order)), pa.int32())
+        n = len(cuts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(groups[order][cuts], pa.int32()), pa.array(np.ones(n), pa.int32())),
+                *(pa.ListArray.from_arrays(ends, keys.take(pa.array(order))), pa.nulls(n, pa.list_(pa.string()))),
+                pa.ListArray.from_arrays(ends, pa.array(codes[order], pa.int64())),
+            ],
+            ["group", "role", "ids", "kinds", "codes"],
+        )
+
+
+class _Group:
+    """The rows of a group: their kinds, and which of them hold a code."""
+
+    def __init__(self, ids: list[pa.Array], kinds: list[pa.Array], keys: list[pa.Array], codes: list[np.ndarray]):
+        self.ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int64())
+        self.kinds = np.array(pa.concat_arrays(kinds).to_pylist() if kinds else [], object)
+        self.rank = np.empty(len(self.ids), np.int64)
+        self.rank[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
+        row = np.concatenate([pc.index_in(k, value_set=self.ids).to_numpy(zero_copy_only=False) for k in keys] or [np.zeros(0)]).astype(np.int32)
+        code = np.concatenate(codes or [np.zeros(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.row, code = row[order], code[order]
+        self.first = np.flatnonzero(np.diff(code, prepend=code[0] - 1)) if len(code) else np.zeros(0, np.int64)
+        self.code, self.held = code[self.first], np.diff(np.append(self.first, len(code)))
+
+    def best(self, asker: pa.Scalar, own: str, codes: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, score, shared) of the k rows that share most."""
+        at = np.searchsorted(self.code, codes)
+        inside = at < len(self.code)
+        inside[inside] = self.code[at[inside]] == codes[inside]
+        at = at[inside]
+        hits = self.row[index._expand(self.first[at], self.held[at])]
+        shared = np.bincount(hits, minlength=len(self.ids))
+        row = np.flatnonzero(shared >= least)
+        score = shared[row] + 2 * (self.kinds[row] != own)
+        if len(at := at[self.code[at] < 0]):
+            score += 3 * np.bincount(self.row[index._expand(self.first[at], self.held[at])], minlength=len(self.ids))[row]
+        if len(row) > k + 1:  # one of them may be the asker
+            some = score >= np.partition(score, len(row) - k - 1)[len(row) - k - 1]
+            row, score = row[some], score[some]
+        order = np.lexsort((self.rank[row], -score))[: k + 1]
+        row, score = row[order], score[order]
+        other = ~pc.equal(self.ids.take(pa.array(row)), asker).to_numpy(zero_copy_only=False)
+        return row[other][:k], score[other][:k], shared[row[other][:k]]
+
+
+def _shared(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows by group: its members (role 0), those that hold codes (1), then all that ask."""
+    current, group, parts = None, None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for j, (at, role) in enumerate(zip(batch["group"].to_pylist(), batch["role"].to_pylist(), strict=True)):
+            if at != current:
+                current, group, parts = at, None, ([], [], [], [])
+            ids, kinds, codes = (batch[c][j].values for c in ("ids", "kinds", "codes"))
+            if role < 2:
+                for part, values in zip(parts[2 * role :], (ids, kinds if role == 0 else codes.to_numpy()), strict=False):
+                    part.append(values)
+                continue
+            if group is None:
+                group, parts = _Group(*parts), None
+            row, score, shared = group.best(ids[0], kinds[0].as_py(), codes.to_numpy(), k, least)
+            if len(row):
+                found = group.ids.take(pa.array(row))
+                out.append((pa.array([ids[0].as_py()] * len(row), ids.type), found, score, shared))
+        if out:
+            columns = [pa.concat_arrays([o[c] for o in out]) for c in (0, 1)] + [pa.array(np.concatenate([o[c] for o in out]), pa.int64()) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays(columns, ["asker", "id", "score", "shared"])
+
+
 def folded_in_place(text: str) -> str:
     """The text in lower case without accents, sign by sign, so that places stay the same."""
 

@@ -192,6 +192,26 @@ def test_related_sources_count_domains_more(spark):
     assert none.count() == 0
 
 
+def test_related_pairs_are_counted_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(related, "SMALL_GROUP", 7)
+    rng = random.Random(4)
+    names = [f"{a}{b}word" for a in "bcdfg" for b in "aeiou"]
+    rows = [(k, rng.choice("xy"), " ".join(rng.choices(names, k=9))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string")
+    found = related.related_sources(df, "doc_id", "text", "kind", F.col("doc_id") % 10 == 0, k=4, least=2, share=0.5)
+    df_of = {n: sum(n in t.split() for _, _, t in rows) for n in names}
+    few = {n for n in names if df_of[n] < 30}
+    held = {k: few & set(t.split()) for k, _, t in rows}
+    kind = {k: x for k, x, _ in rows}
+    want = []
+    for q in range(0, 60, 10):
+        each = sorted((-(len(held[q] & held[o]) + 2 * (kind[q] != kind[o])), o, len(held[q] & held[o])) for o in held if o != q and len(held[q] & held[o]) >= 2)[:4]
+        want += [(q, j + 1, o, -s, n) for j, (s, o, n) in enumerate(each)]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.lstrip(" +-:").startswith("Aggregate [asker") and ", id#" in line.split("]")[0] for line in plan.splitlines())  # no row moves for a pair
+
+
 def brute_window(text, terms, room):
     if len(text) <= room:
         return 0, len(text), 0.0
