@@ -68,6 +68,18 @@ def test_best_matches_equal_brute_force(spark):
     assert similar.best_matches(df.limit(0), 3).count() == 0
 
 
+def test_a_task_meets_one_lane_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LANE_BYTES", 400)
+    monkeypatch.setattr(similar, "PENDING", 5)
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, team string, embedding array<double>")
+    found = similar.best_matches(df, 3, -1.0, team="team", block=8, group=32)
+    assert sorted((r.id, r.place, r.match, r.score) for r in found.collect()) == brute_best(rows, 3, -1.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    parts, lanes = -(-len(rows) // 32), -(-sum(len(v) for *_, v in rows) * 8 // 400)
+    assert f", {parts * lanes}" in next(line for line in plan.splitlines() if "Repartition" in line)
+
+
 def test_diverse_matches_equal_a_plain_loop(spark):
     rows = vector_rows()
     vectors, teams = {i: v for i, _, v in rows}, {i: t for i, t, _ in rows}
