@@ -141,3 +141,12 @@ def test_labels_aliases_hits_and_reasons(spark):
         [("b", "minn", "minne bar", "Minne Bar", 1, False), ("b", "bar", "bar", "Bar", 7, True)],
         [],
     ]
+
+
+def test_pairs_are_counted_by_tasks_that_follow_from_the_rows(spark, monkeypatch):
+    from folioscope.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "COUNTED_ROWS", 500)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = catalogue.QUERIES["cooccurrence_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [s#" in plan and plan.count(f", {-(-lines // 500)}") >= 3
