@@ -115,6 +115,29 @@ def test_search_reads_only_its_terms(spark, tmp_path, monkeypatch):
     assert len(index.postings(spark, path, ["hot"]).select("bucket").distinct().collect()) == 1
 
 
+def test_a_frequent_word_is_written_by_as_many_tasks_as_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "MOST_FOLDERS", 2)
+    monkeypatch.setattr(index, "TASK_BYTES", 1 << 11)
+    rows = [(k, "hot " + " ".join(f"w{k}x{j}" for j in range(40))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(index, "FOLDER_BYTES", 1 << 11)
+    path = f"{tmp_path}/index"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        index.build(spark.read.parquet(f"{tmp_path}/docs"), path, norms=False)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    hot = spark.read.parquet(f"{path}/postings").filter("term = 'hot'").select(F.input_file_name().alias("file"), "df")
+    assert hot.agg(F.sum("df")).first()[0] == 400
+    assert hot.select("file").distinct().count() > 5  # four parts before, however large the table
+
+
+def test_words_folded_together_are_those_folded_alone():
+    words = ["Été", "a\u0301\u0323b", "ascii", "", "\u0301", "한국", "ǭ", "ﬁ"]
+    for held in (words, ["x", "y"], [], ["é\né", "a"]):
+        assert index._all_folded(held) == list(map(index.folded, held))
+
+
 def test_index_refuses_rows_that_cannot_be_told_apart(spark, tmp_path):
     for rows in ([(1, "a"), (1, "b")], [(None, "a")]):
         with pytest.raises(ValueError, match="refuses"):
