@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,25 +16,62 @@ from folioscope.functions import text as T
 from folioscope.operators import index
 from folioscope.sources.tables import kept
 
-SALTS = 64
+#: Pairs of a query's term and a row that are reckoned at once.
+AT_ONCE = 2_000_000
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To six digits as F.round does it: halves of the number as it is written go up."""
+    out = np.floor(scores * 1e6 + 0.5) / 1e6
+    for j in np.flatnonzero(np.abs(scores * 1e6 % 1 - 0.5) < 1e-3).tolist():
+        out[j] = float(Decimal(repr(float(scores[j]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _best_of_blocks(batches: Iterator[pa.RecordBatch], k: int, mean: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """Each block's k best rows for each query: (id, key, score). met: the queries that ask for a term, and its weight."""
+    for met, keys, _, lens, row, held, tf in index.blocks_of(batches):
+        asks, weight = met.field("ids"), met.field("weight").to_numpy(zero_copy_only=False)
+        coded = asks.flatten().dictionary_encode()
+        query, n = coded.indices.to_numpy().astype(np.int64), len(keys)
+        part = np.repeat(weight, held) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens.to_numpy(zero_copy_only=False)[row] / mean))
+        term = np.repeat(np.arange(len(held)), np.diff(asks.offsets.to_numpy()))
+        rank = np.empty(n, np.int64)
+        rank[pc.sort_indices(keys).to_numpy()] = np.arange(n)
+        order = np.argsort(query, kind="stable")
+        query, term = query[order], term[order]
+        starts, upto = np.flatnonzero(np.diff(query, prepend=-1)), np.cumsum(held[term])
+        first = np.cumsum(held) - held
+        while len(starts):  # whole queries, as many as fit
+            a = int(starts[0])
+            ends = upto[np.append(starts[1:], len(query)) - 1]
+            taken = max(1, int(np.searchsorted(ends, (upto[a - 1] if a else 0) + AT_ONCE, "right")))
+            z = int(starts[taken]) if taken < len(starts) else len(query)
+            at = index._expand(first[term[a:z]], held[term[a:z]])
+            code, pair = np.unique(np.repeat(query[a:z], held[term[a:z]]) * n + row[at], return_inverse=True)
+            score, asker, of = _rounded(np.bincount(pair, part[at], len(code))), code // n, code % n
+            order = np.lexsort((rank[of], -score, asker))
+            asker, of, score = asker[order], of[order], score[order]
+            begins = np.flatnonzero(np.diff(asker, prepend=-1))
+            few = np.arange(len(asker)) - np.repeat(begins, np.diff(np.append(begins, len(asker)))) < k
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(asker[few])), keys.take(pa.array(of[few])), pa.array(score[few], pa.float64())], ["id", "key", "score"])
+            starts = starts[taken:]
 
 
 def batch_bm25(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, place, key, score): the k best rows of the index for each of many queries (id, terms array<string>; distinct ids),
     by BM25, ties to the smaller key. Postings meet the queries by folder and term, so that only the folders of their terms
-    are read; what a query finds is ranked in salted parts first, so that a query that finds most rows is not ranked by
-    one task. Null terms find nothing."""
-    stats = spark.read.parquet(f"{path}/stats")
-    folders = stats.first().folders
-    asked = queries.select("id", F.explode(F.array_distinct("terms")).alias("term")).filter("term is not null")
-    asked = asked.join(index.terms(spark, path).select("term", "df"), "term").withColumn("bucket", index._bucket(F.col("term"), folders))
-    met = index.all_postings(spark, path, asked).crossJoin(F.broadcast(stats))  # one row
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = met.groupBy("id", "key").agg(F.round(F.sum(part), 6).alias("score")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    best = [F.desc("score"), F.col("key")]
-    few = scored.withColumn("place", F.row_number().over(Window.partitionBy("id", "salt").orderBy(*best))).filter(F.col("place") <= k)
-    return few.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*best))).filter(F.col("place") <= k).select("id", "place", "key", "score")
+    are read, and then one another by block: a block's rows are scored where they meet, so that only its best ones for
+    each query move. Null terms find nothing."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    words = queries.select("id", F.explode(F.array_distinct("terms")).alias("term")).filter("term is not null")
+    asked = words.groupBy("term").agg(F.collect_list("id").alias("ids")).join(index.terms(spark, path).select("term", "df"), "term")
+    asked = asked.select("term", "ids", F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"), index._bucket(F.col("term"), stats.folders).alias("bucket"))
+    met = index.by_block(spark, path, index.asked_rows(spark, path, asked), ["ids", "weight", "rows", "tfs"])
+    kinds = f"id {queries.schema['id'].dataType.simpleString()}, key {index.key_kind(spark, path)}, score double"
+    few = met.mapInArrow(lambda it, mean=stats.mean: _best_of_blocks(it, k, mean, k1, b), kinds)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "key"))
+    return few.withColumn("place", place).filter(F.col("place") <= k).select("id", "place", "key", "score")
 
 
 def holders(spark: SparkSession, path: str, items: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,31 @@ def test_many_searches_equal_one_by_one(spark, tmp_path):
         assert [(r.key, r.score) for r in sorted(got, key=lambda r: r.place) if r.id == q] == one
 
 
+def test_many_searches_move_only_the_best_of_each_block(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    words = ["w%d" % k for k in range(12)]
+    df = spark.createDataFrame([(f"k{k}", " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for k in range(300)], "doc_id string, text string")
+    path = f"{tmp_path}/index"
+    index.build(df, path)
+    asked = spark.createDataFrame([(k, rng.sample(words, 5)) for k in range(9)], "id long, terms array<string>")
+    plan = evaluation.batch_bm25(spark, path, asked, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and not re.search(r"hashpartitioning\(id#\d+L?, (key|salt)#", plan)  # what all queries find was dealt by query and row
+    ids = asked.select("id", F.explode("terms").alias("term")).groupBy("term").agg(F.collect_list("id").alias("ids"), F.lit(1.0).alias("weight"))
+    ids = ids.withColumn("bucket", index._bucket(F.col("term"), 1))
+    batches = index.by_block(spark, path, index.asked_rows(spark, path, ids), ["ids", "weight", "rows", "tfs"]).toArrow().to_batches()
+    run = lambda: [r for b in evaluation._best_of_blocks(iter(batches), 4, 4.5, 1.2, 0.75) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    whole = run()
+    monkeypatch.setattr(evaluation, "AT_ONCE", 1)
+    assert run() == whole and len(whole) >= 9 * 4
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    rng = random.Random(7)
+    numbers = [k / 1e6 + 5e-7 for k in range(400)] + [rng.random() * 30 for _ in range(400)] + [0.0, 1.0000005, 2.5, 12.3456785, 12.34567849999]
+    want = [r.x for r in spark.createDataFrame([(x,) for x in numbers], "x double").coalesce(1).select(F.round("x", 6).alias("x")).collect()]
+    assert evaluation._rounded(np.array(numbers)).tolist() == want
+
+
 def test_holders_are_those_whose_text_has_the_item(spark, tmp_path):
     docs = [(1, "so one two three go"), (2, "one two  three"), (3, "xone two threex"), (4, None), (5, "three two one"), (6, "one two three one two three")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
