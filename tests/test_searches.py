@@ -133,6 +133,18 @@ def test_a_frequent_word_is_written_by_as_many_tasks_as_others(spark, tmp_path,
     assert hot.select("file").distinct().count() > 5  # four parts before, however large the table
 
 
+def test_a_task_sorts_one_part_of_one_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK_BYTES", 1 << 11)
+    monkeypatch.setattr(index, "FOLDER_BYTES", 1 << 13)
+    rows = [(k, " ".join(f"w{k * j % 977}" for j in range(60))) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    df, path = spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/index"
+    index.build(df, path, norms=False)
+    written = spark.read.parquet(f"{path}/postings").select("bucket", F.regexp_extract(F.input_file_name(), "part-(\\d+)", 1).alias("task"))
+    held = written.groupBy("task").agg(F.countDistinct("bucket").alias("n")).collect()
+    assert len(held) > 8 and {r.n for r in held} == {1}  # before, a task had the parts that a hash gave it, or none
+
+
 def test_words_folded_together_are_those_folded_alone():
     words = ["Été", "a\u0301\u0323b", "ascii", "", "\u0301", "한국", "ǭ", "ﬁ"]
     for held in (words, ["x", "y"], [], ["é\né", "a"]):
