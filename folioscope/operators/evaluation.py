@@ -18,6 +18,8 @@ from folioscope.sources.tables import kept
 
 #: Pairs of a query's term and a row that are reckoned at once.
 AT_ONCE = 2_000_000
+#: Hits of a page that meet one another at a time.
+HEAD = 50
 
 
 def _rounded(scores: np.ndarray) -> np.ndarray:
@@ -98,34 +100,63 @@ def retrieval_metrics(found: DataFrame, truths: DataFrame, by: list[str], at: tu
     return placed.rollup(*by).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("pairs"), reciprocal, *within)
 
 
+def _repeats(each: DataFrame, above: list, keys: list, share: float) -> set[tuple]:
+    """Pairs (key, above) of these keys: at least the share of key's runs stands in above. each: (key, n, gram), n runs of key."""
+    spark, kind = each.sparkSession, each.schema["key"].dataType.simpleString()
+    table = lambda rows: F.broadcast(spark.createDataFrame([(x,) for x in rows], f"key {kind}"))
+    upper = each.join(table(above), "key", "left_semi").select(F.col("key").alias("above"), "gram")
+    lower = each.join(table(keys), "key", "left_semi")
+    shared = lower.join(upper, "gram").filter("key <> above").groupBy("key", "above").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"))
+    return {(r.key, r.above) for r in shared.filter(F.col("both") >= share * F.col("n")).select("key", "above").collect()}
+
+
 def page_without_copied(hits: DataFrame, docs: DataFrame, k: int, tokens: Callable[[Column], Column] = T.words, run: int = 5, share: float = 0.5, pool: int = 50) -> DataFrame:
     """(place, key, score): the first k hits (key, score; ties to the smaller key) that don't repeat what stands above them: a hit
     goes if at least the share of its distinct runs of ``run`` words stands in one that was kept. docs: (key, text), keys
     distinct.
 
-    A pool of the best hits is looked at, and a larger one if the page isn't full; only the pool's texts are read, and its
-    hits meet by the runs that they share. What the driver sees of a pool is its keys and the pairs that repeat one
-    another: its square at most."""
+    Pools of hits are looked at, best first, each twice as large as the one before, until the page is full; only a pool's
+    texts and the page's are read. Of a pool, the hits with the words of one above go, as whatever that one repeats they
+    repeat too, and those that repeat the page. Then the first ``HEAD`` that are left
+    meet one another, so that the page grows by one at least, and the others meet those that were taken. So a hit meets
+    the page and a head, never its copies in the pool: rows and what the driver sees grow with the hits looked at."""
     spark = hits.sparkSession
     hits = kept(hits.select("key", "score"), "page-hits")
+    kind = hits.schema["key"].dataType.simpleString()
     starts = F.when(F.size("words") >= run, F.sequence(F.lit(1), F.size("words") - run + 1))
     grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(run)), " ")))
+    page: list[tuple] = []
+    left = hits
     while True:
-        top = [tuple(r) for r in hits.orderBy(F.desc("score"), "key").limit(pool).collect()]
-        texts = docs.filter(F.col("key").isin([r[0] for r in top])).select("key", tokens(F.col("text")).alias("words"))
+        top = [tuple(r) for r in left.orderBy(F.desc("score"), "key").limit(pool).collect()]
+        read = spark.createDataFrame([(r[0],) for r in page + top], f"key {kind}")
+        texts = docs.join(F.broadcast(read), "key", "left_semi").select("key", tokens(F.col("text")).alias("words"))
         # explode would put a filter on the runs below the scan of the words, where each run splits its text again
-        each = texts.select("key", grams.alias("grams")).select("key", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
+        said = F.sha2(F.array_join("words", " "), 256).alias("said")
+        each = texts.select("key", said, grams.alias("grams")).select("key", "said", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
         each = kept(each.filter("gram is not null"), "page-runs")
-        above = each.select(F.col("key").alias("above"), "gram")
-        shared = each.join(above, "gram").filter("key <> above").groupBy("key", "above").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"))
-        repeats = {(r.key, r.above) for r in shared.filter(F.col("both") >= share * F.col("n")).select("key", "above").collect()}
-        page: list[tuple] = []
-        for key, score in top:
-            if len(page) < k and not any((key, other) in repeats for other, _ in page):
-                page.append((key, score))
+        says, first = dict(each.select("key", "said").distinct().collect()), {}
+        for key, _ in page + top:
+            first.setdefault(says.get(key, (key,)), key)  # a text without runs repeats nothing
+        firsts = set(first.values())
+        rest, taken = [r for r in top if r[0] in firsts], [key for key, _ in page]
+        while rest and len(page) < k:
+            if taken:
+                gone = {key for key, _ in _repeats(each, taken, [key for key, _ in rest], share)}
+                rest, taken = [r for r in rest if r[0] not in gone], []
+            head, rest = rest[:HEAD], rest[HEAD:]
+            heads = [key for key, _ in head]
+            repeats = _repeats(each, heads, heads, share) if head else set()
+            for key, score in head:
+                if len(page) < k and not any((key, other) in repeats for other in taken):
+                    page.append((key, score))
+                    taken.append(key)
         if len(page) == k or len(top) < pool:
-            kind = hits.schema["key"].dataType.simpleString()
             return spark.createDataFrame([(j + 1, *row) for j, row in enumerate(page)], f"place int, key {kind}, score double")
+        last, score = top[-1]
+        below = F.col("score").isNull() | (F.col("score") < F.lit(score)) if score is not None else F.lit(False)
+        later = F.col("key") > F.lit(last).cast(kind) if last is not None else F.col("key").isNotNull()
+        left = hits.filter(below | (F.col("score").eqNullSafe(F.lit(score)) & later))
         pool *= 2
 
 

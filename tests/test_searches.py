@@ -245,6 +245,33 @@ def test_pages_leave_out_what_stands_above_and_are_filled_up(spark):
     assert evaluation.page_without_copied(make.limit(0), docs, 5).count() == 0
 
 
+def test_copies_of_a_hit_meet_the_page_and_not_one_another(spark, monkeypatch):
+    texts = [" ".join(f"{x}{j}" for j in range(12)) for x in "abc"]
+    rows = [(k, texts[k // 300]) for k in range(900)]
+    hits = [(k, float(-(k // 300))) for k, _ in rows] + [(1000, None), (1001, None)]
+    rows += [(1000, "short one"), (1001, "short one")]
+    seen, plain = [], evaluation._repeats
+    monkeypatch.setattr(evaluation, "_repeats", lambda *a: seen.append(plain(*a)) or seen[-1])
+    make, docs = spark.createDataFrame(hits, "key long, score double"), spark.createDataFrame(rows, "key long, text string")
+    got = evaluation.page_without_copied(make, docs, 5, pool=256).orderBy("place").collect()
+    assert [r.key for r in got] == [0, 300, 600, 1000, 1001]
+    # before, each pool's copies met one another: 300 * 299 pairs of each text
+    assert sum(map(len, seen)) < 900 + 6 * evaluation.HEAD**2
+
+
+def test_tasks_follow_from_texts_and_not_from_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK_BYTES", 1 << 14)
+    text = " ".join(f"w{j}" for j in range(400))
+    spark.createDataFrame([(k, text) for k in range(800)], "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        index.build(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/index", norms=False)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = spark.read.parquet(f"{tmp_path}/index/postings").filter("bucket >= 0").select(F.input_file_name().alias("file")).distinct()
+    assert files.count() > 10  # before, a few: a file holds a copied text once
+
+
 def test_many_searches_equal_one_by_one(spark, tmp_path):
     rng = random.Random(5)
     words = ["w%d" % k for k in range(30)]
