@@ -151,8 +151,8 @@ def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     known = _likely(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     a = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    a = a.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")), "a")  # a centre may have most of the pairs
-    return _keyed_join(pairs, a, "a", "b").join(b, "b").filter(_similar_sizes("n_a", "n_b")).select("a", "b", "sketch_a", "sketch_b")
+    held = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held"))  # a centre may have most of the pairs
+    return _keyed_join(pairs, a.join(held, "a"), "a", "b", held).join(b, "b").filter(_similar_sizes("n_a", "n_b")).select("a", "b", "sketch_a", "sketch_b")
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +215,18 @@ def _likely(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return _marked(df, _bitmap(ids, key), key, mark).filter(mark).drop(mark)
 
 
-def _keyed_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+def _keyed_join(rows: DataFrame, facts: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
     """rows with the facts (one row for each key, with held, the number of rows) of their key. Rows of a key that holds
     more than HEAVY are dealt by the column ``by`` over as many groups as there are partitions, and the key's facts are
     repeated for each. Which keys are heavy is asked of one bitmap on both sides, so that its few wrong marks only repeat
-    some more facts."""
+    some more facts. counts: (key, held) of all keys, where facts are dear to reckon.
+
+    The bitmap is stored first: where no key is heavy, as in most tables, rows and facts just meet, and where some are,
+    their bitmap is made once for both sides. Each exchange of a plan takes a thread and memory of the driver."""
     n = partitions(rows.sparkSession)
-    heavy = _bitmap(facts.filter(F.col("held") > HEAVY), key)
+    heavy = stored(_bitmap((facts if counts is None else counts).filter(F.col("held") > HEAVY), key), "heavy-keys")
+    if heavy.isEmpty():
+        return rows.join(facts, key)
     dealt = _marked(rows, heavy, key, "heavy").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(F.lit(7), by), F.lit(n))).otherwise(0).cast("long"))
     spread = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
     repeated = _marked(facts, heavy, key, "heavy").withColumn("salt", F.explode(spread))
@@ -385,7 +390,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a text that was copied a million times has one digest: its rows are dealt over salted groups
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     held = features.filter(linked).groupBy("digest").agg(F.count(F.lit(1)).alias("held"))
-    joined = _keyed_join(features.filter(linked).select("doc_id", "n_shingles", "digest"), of_class.join(held, "digest"), "digest", "doc_id")
+    joined = _keyed_join(features.filter(linked).select("doc_id", "n_shingles", "digest"), of_class.join(held, "digest"), "digest", "doc_id", held)
     alone = features.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = joined.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id")).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

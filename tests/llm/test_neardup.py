@@ -118,6 +118,16 @@ def test_heavy_keys_are_dealt_and_keep_their_facts(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_rows_without_heavy_keys_meet_their_facts_without_a_bitmap(spark):
+    rows = spark.range(3000).selectExpr("id % 700 as key", "id")
+    facts = rows.groupBy("key").count().selectExpr("key", "count as held", "key * 2 as twice")
+    out = neardup._keyed_join(rows, facts, "key", "id")
+    assert out.columns == ["key", "id", "held", "twice"] and out.count() == 3000
+    assert out.filter("twice <> key * 2 or held <> case when key < 200 then 5 else 4 end").count() == 0
+    # a broadcast and the exchanges of a bitmap, on each side of each join, held threads and memory of the driver
+    assert "bitmap" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_deduplicated_keeps_one_row_of_a_component_and_all_columns(spark):
     names = ["__row", "fs_row", "place", "page", "bits", "held", "kept", "likely", "a.b"]
     texts = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words in here now"), (3, "another text of this one id"), (3, "another text of this one id"), (None, "a b c d e f g"), (None, None), (4, None), (5, ""), (6, "x " * 30_000)]
