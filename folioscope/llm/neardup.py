@@ -17,8 +17,9 @@
 5. Components of all confirmed links by alternating large and small stars.
 
 No step gathers a bucket, a class or a component in one task: classes and centres are aggregates with map-side
-combination, joins on buckets can be split by AQE, blocks hold about ``BLOCK`` members, and the sets of a centre's
-partners are dealt over salted groups.
+combination, rows of heavy buckets are dealt over salted groups, blocks hold about ``BLOCK`` members, and joins on centres
+and families read stored tables on both sides, so that AQE can split them. A job that would find nothing new (a round
+without pairs, components without new links) isn't run: with many partitions and few rows, its empty tasks are its cost.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer than 5 words are one shingle;
 repeated rows all stay in the result; rows that share a doc_id share a component; a null doc_id is linked with nothing
@@ -46,8 +47,6 @@ THRESHOLD = (75, 100)
 PASS = 0.75 - 6 * (0.75 * 0.25 / BINS) ** 0.5
 BLOCK = 256
 LEAST = 256
-#: About so many partners of a centre are compared in one group.
-PARTNERS = 64
 #: A bitmap of hashed keys has 2^27 bits in pages of 32,768 bits: 4,096 rows of 4 KB, at most 16 MB whatever the input.
 PAGES, PAGE = 4096, 32768
 #: From so many rows on, the rows of one key are dealt over many tasks.
@@ -147,12 +146,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs of similar sizes with both sketches."""
-    known = _likely(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    """pairs of similar sizes with both sketches. A centre may have most of the pairs: it is joined last, when its rows
+    are as long as what they are compared with, and both sides are plain, so that Spark cuts its rows by their bytes."""
+    known = _likely(reps.select("id", "n_shingles", "sketch"), pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     a = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    held = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held"))  # a centre may have most of the pairs
-    return _keyed_join(pairs, a.join(held, "a"), "a", "b", held).join(b, "b").filter(_similar_sizes("n_a", "n_b")).select("a", "b", "sketch_a", "sketch_b")
+    return pairs.join(b, "b").join(a, "a").filter(_similar_sizes("n_a", "n_b")).select("a", "b", "sketch_a", "sketch_b")
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +167,13 @@ def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group; the sets of its centre (role 0), then of its partners."""
-    current, centres = None, []
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for a, salt, role, b, data in zip(*(batch[k].to_pylist() for k in ("a", "salt", "role", "b", "shingles")), strict=True):
-            if (a, salt) != current:
-                current, centres = (a, salt), []
-            s = np.frombuffer(data, U64)
-            if role == 0:
-                centres.append(s)
-                continue
-            for c in centres:
-                common = np.intersect1d(c, s, assume_unique=True).size
-                if THRESHOLD[1] * common >= THRESHOLD[0] * (len(c) + len(s) - common):
-                    out.append((a, b))
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+        keep = []
+        for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
+            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            common = np.intersect1d(x, y, assume_unique=True).size
+            keep.append(THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     release()
 
 
@@ -221,12 +210,14 @@ def _keyed_join(rows: DataFrame, facts: DataFrame, key: str, by: str, counts: Da
     repeated for each. Which keys are heavy is asked of one bitmap on both sides, so that its few wrong marks only repeat
     some more facts. counts: (key, held) of all keys, where facts are dear to reckon.
 
-    The bitmap is stored first: where no key is heavy, as in most tables, rows and facts just meet, and where some are,
-    their bitmap is made once for both sides. Each exchange of a plan takes a thread and memory of the driver."""
+    Where no key is heavy, as in most tables, rows and facts just meet; that is read from the counts, which callers have
+    stored. Where some are, their bitmap is made once for both sides. Each exchange of a plan takes a task for each
+    partition, and a thread and memory of the driver."""
     n = partitions(rows.sparkSession)
-    heavy = stored(_bitmap((facts if counts is None else counts).filter(F.col("held") > HEAVY), key), "heavy-keys")
+    heavy = (facts if counts is None else counts).filter(F.col("held") > HEAVY)
     if heavy.isEmpty():
         return rows.join(facts, key)
+    heavy = stored(_bitmap(heavy, key), "heavy-keys")
     dealt = _marked(rows, heavy, key, "heavy").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64(F.lit(7), by), F.lit(n))).otherwise(0).cast("long"))
     spread = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
     repeated = _marked(facts, heavy, key, "heavy").withColumn("salt", F.explode(spread))
@@ -234,37 +225,33 @@ def _keyed_join(rows: DataFrame, facts: DataFrame, key: str, by: str, counts: Da
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """Those of the pairs (a < b, distinct) whose full sets are similar enough; written to the shared folder."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """Those of the pairs (a < b) whose full sets are similar enough; written to the shared folder. Sets are joined as in
+    _with_sketches."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = stored(_likely(docs, ids, "doc_id").mapInArrow(_member_sets, "id long, shingles binary"), f"{label}-sets")
-    held = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
-    groups = F.ceil(F.col("held") / PARTNERS).cast("long")
-    salted = _keyed_join(pairs, held, "a", "b").select("a", "b", F.pmod(F.xxhash64("b"), groups).alias("salt"))
-    partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
-    centres = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "shingles")
-    n = partitions(docs.sparkSession)
-    together = partners.unionByName(centres).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role")
-    return stored(together.mapInArrow(_confirm, "a long, b long").distinct(), label)
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"), label)
 
 
 # --------------------------------------------------------------------------- components
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in the links (a, b), by large and small stars."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), label)
-    mark = None
+    """(id, component): the smallest id reachable, for every id in the links (a, b) that is larger, by large and small
+    stars. The links are read several times. The rounds end when all that is left are stars: each id has only larger
+    neighbours, or a single one."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")), f"{label}-neighbours")
+        if near.filter("m < u and m <> x").isEmpty():
+            return near.filter("m < u").select(F.col("u").alias("id"), F.col("m").alias("component"))
+        least = near.select("u", F.least("m", "u").alias("m"))
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), f"{label}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = now
+        small = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        edges = stored(large.join(low, "u").select(F.inline(small)).filter("u <> v").distinct(), label)
 
 
 # --------------------------------------------------------------------------- buckets
@@ -320,25 +307,32 @@ def _blocked_pairs(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterat
 _MEMBERS = "array<struct<id:long,component:long,n:long,sketch:binary,least:binary>>"
 
 
+def _named(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, n) with the component of each id."""
+    return members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
+
+
 def _families(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(key, id, n, component): the members of all buckets of several components, once for each family of buckets."""
-    named = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "n", "component")
+    named = _named(rows, found)
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "held")
-    open_rows = stored(_keyed_join(named, stored(mixed, "open-keys"), "key", "id"), "open-buckets")
+    open_rows = stored(named.join(stored(mixed, "open-keys"), "key"), "open-buckets")
     homes = open_rows.groupBy("id").agg(F.max(F.struct("held", "key")).alias("home"))
-    families = open_rows.select("key", "id", "held").join(homes, "id").groupBy("key").agg(F.max("home").alias("family"), F.first("held").alias("held"))
-    members = _keyed_join(open_rows.drop("held"), stored(families, "family-keys"), "key", "id")
+    families = stored(open_rows.select("key", "id").join(homes, "id").groupBy("key").agg(F.max("home").alias("family")), "family-keys")
+    members = open_rows.drop("held").join(families, "key")
     return stored(members.select(F.col("family.key").alias("key"), "id", "n", "component").distinct(), "families")
 
 
 def _rest_pairs(named: DataFrame, sketched: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (a, b) in families (key, id, n, component) of buckets; sketched: (id, sketch, least) of their members."""
     shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = shares.groupBy("key").agg(F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top")).select("key", "held", F.col("top.component").alias("main"))
-    rest = _keyed_join(named, stored(largest, "family-sizes"), "key", "id").join(sketched, "id")
+    largest = shares.groupBy("key").agg(F.sum("m").alias("held"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("several"))
+    largest = stored(largest.filter("several > 1").select("key", "held", F.col("top.component").alias("main")), "family-sizes")
+    rest = named.join(largest, "key").join(sketched, "id")
     cells = F.ceil(F.col("held") / BLOCK).cast("long")
     rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), cells)).withColumn("member", F.struct("id", "component", "n", "sketch", "least"))
     sides = rest.groupBy("key", "cell").agg(F.collect_list("member").alias("right"), F.collect_list(F.when(F.col("component") != F.col("main"), F.col("member"))).alias("left"))
+    sides = stored(sides, "family-blocks")  # both sides of the join read them
     right = sides.select("key", F.col("right").cast(_MEMBERS).alias("right"))
     left = sides.filter(F.size("left") > 0).select("key", F.col("left").cast(_MEMBERS).alias("left"))
     return left.join(right, "key").select("left", "right").mapInArrow(lambda it: _blocked_pairs(it, best_only), "a long, b long").distinct()
@@ -348,6 +342,15 @@ def _similar_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (id, component) after more links (a, b): only the components that these join are gone through again."""
+    of = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(stored(between.filter("a <> b"), "component-links"), "joined-components")
+    moved = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return stored(moved.unionByName(joined), "merged-components")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
     docs = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "neardup-input")
@@ -355,8 +358,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # one shuffle with map-side combination: equal sets have equal sizes, sketches and least hashes, so that any row's do
     members = features.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
     same = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "least")]
-    reps = stored(members.agg(F.min("doc_id").alias("id"), *same), "representatives")
-    classes = reps.select("digest", "id")
+    reps = stored(members.agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("held"), *same), "representatives")
+    classes = reps.select("digest", "id", "held")
+
+    # rows of one doc_id may have different texts, and so be representatives of several classes
+    torn = features.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).filter("x <> y").select("doc_id")
+    torn = stored(torn, "torn")
+    several = not torn.isEmpty()
 
     # star round
     bands = reps.select("id", "n_shingles", "sketch").mapInArrow(_band_rows, "key long, id long, n long")
@@ -364,33 +372,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # most buckets hold one row: the others' keys fit a bitmap, and only their rows move
     rows = stored(_keyed_join(_likely(bands, centres, "key"), centres, "key", "id").select("key", "id", "n", "centre"), "buckets")
     stars = rows.filter(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stored(_with_sketches(stored(stars, "stars"), reps).mapInArrow(_promising, "a long, b long").distinct(), "star-pairs")
+    pairs = _with_sketches(stored(stars, "stars"), reps).mapInArrow(_promising, "a long, b long")
+    pairs = stored(pairs.distinct() if several else pairs, "star-pairs")
     links = confirmed(pairs, docs, "star-links")
     found = components(links)
 
-    # rest rounds
-    known = [found.select(F.col("id").alias("a"), F.col("component").alias("b"))]
-    sketched = reps.select("id", "sketch", "least")
-    for k in range(2):
-        families = _families(rows, found)
-        # components only grow: the members of the second round are among those of the first
-        sketched = stored(_likely(sketched, families, "id"), f"open-sketches-{k}")
-        more = stored(_rest_pairs(families, sketched, best_only=k == 0).join(pairs, ["a", "b"], "left_anti"), f"rest-pairs-{k}")
-        fresh = confirmed(more, docs, f"rest-links-{k}")
-        known.append(fresh)
+    # rest rounds: components only grow, so that the second one needs no other families
+    families = _families(rows, found)
+    sketched = stored(_likely(reps.select("id", "sketch", "least"), families, "id"), "open-sketches")
+    for best_only in (True, False):
+        more = stored(_rest_pairs(families, sketched, best_only).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+        if more.isEmpty():
+            continue
         pairs = pairs.unionByName(more)
-        if k == 0:
-            found = components(known[0].unionByName(fresh))
+        fresh = confirmed(more, docs, "rest-links")
+        if not fresh.isEmpty():
+            found = _merged(found, fresh)
+            families = _named(families.drop("component"), found)
 
     # rows of one doc_id with different texts join their classes
-    torn = features.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).filter("x <> y").select("doc_id")
-    bridges = features.filter("n_shingles > 0").join(torn, "doc_id", "left_semi").join(classes, "digest").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(known[-1]).unionByName(bridges))
-    of_class = classes.join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component"))
+    if several:
+        bridges = features.filter("n_shingles > 0").join(torn, "doc_id", "left_semi").join(classes, "digest").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        found = _merged(found, bridges)
+    of_class = classes.join(found, "id", "left").select("digest", "held", F.coalesce("component", "id").alias("class_component"))
     # a text that was copied a million times has one digest: its rows are dealt over salted groups
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    held = features.filter(linked).groupBy("digest").agg(F.count(F.lit(1)).alias("held"))
-    joined = _keyed_join(features.filter(linked).select("doc_id", "n_shingles", "digest"), of_class.join(held, "digest"), "digest", "doc_id", held)
+    joined = _keyed_join(features.filter(linked).select("doc_id", "n_shingles", "digest"), of_class, "digest", "doc_id", classes)
     alone = features.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = joined.select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id")).unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

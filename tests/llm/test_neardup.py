@@ -141,3 +141,36 @@ def test_deduplicated_keeps_one_row_of_a_component_and_all_columns(spark):
     assert left == sorted((rows[k] for k in (0, 5, 6, 7, 8, 9)), key=str)
     assert [r in (rows[3], rows[4]) for r in got_rows if r[0] == 3] == [True]
     assert neardup.deduplicated(df.limit(0)).count() == 0
+
+
+def _labels(monkeypatch):
+    seen, stored = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, label: seen.append(label) or stored(df, label))
+    return seen
+
+
+def test_links_that_are_stars_take_one_pass(spark, monkeypatch):
+    seen = _labels(monkeypatch)
+    links = spark.range(1, 200).selectExpr("id as a", "id % 10 * -1 as b")
+    found = {r.id: r.component for r in neardup.components(links).collect()}
+    assert found == {k: -(k % 10) for k in range(1, 200)}
+    # the loop used to run a whole round of eight exchanges, and one more to see that nothing had changed
+    assert len(seen) == 1
+
+
+def test_jobs_that_find_nothing_new_are_not_run(spark, monkeypatch):
+    seen = _labels(monkeypatch)
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(8)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t + " more") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {k: k % 100 for k, _ in rows}
+    assert "heavy-keys" not in seen and not any(x.startswith("rest-links") for x in seen)
+    assert sum(x == "components-neighbours" for x in seen) == 1 and sum(x == "families" for x in seen) == 1
+
+
+def test_merged_components(spark):
+    found = spark.createDataFrame([(2, 1), (3, 1), (12, 11), (22, 21)], "id long, component long")
+    links = spark.createDataFrame([(3, 12), (12, 3), (2, 3), (22, 30), (5, 22)], "a long, b long")
+    got = {r.id: r.component for r in neardup._merged(found, links).collect()}
+    assert got == {2: 1, 3: 1, 12: 1, 11: 1, 22: 5, 21: 5, 30: 5}
